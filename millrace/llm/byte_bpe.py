@@ -10,6 +10,7 @@ uncut.
 from __future__ import annotations
 
 import os
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,8 @@ from .common import by_bytes, gather
 
 #: White space of Unicode before a space: there the cut could change the words.
 _UNSAFE = r"[\t-\r\x1c- \x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
-#: Bounds of the cache of pieces: entries, and bytes of one piece that is kept.
-CACHE_ENTRIES, CACHE_PIECE = 700_000, 200
+#: Pieces that a process keeps, about; beyond it the rare ones go.
+CACHE_ENTRIES = 700_000
 _SLICE = 4 << 20
 
 _encoders: dict[str, "Encoder"] = {}
@@ -48,62 +49,76 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: tuple[dict[str, int], dict[str, int]] = ({}, {})  # pieces at a text's start; after a space
         self.flat = np.empty(1 << 20, dtype=np.int32)
         self.starts = np.empty(1 << 18, dtype=np.int64)
         self.lens = np.empty(1 << 18, dtype=np.int64)
-        self.used = 0
+        self.seen = np.zeros(1 << 18, dtype=np.int32)
+        self.used = self.count = 0
+
+    def _thin(self) -> None:
+        """Keeps what was met in two slices of text or more, if that is not too much."""
+        known, flat, starts, lens, seen = self.known, self.flat, self.starts, self.lens, self.seen
+        self._forget()
+        for old, new in zip(known, self.known):
+            kept = [(p, i) for p, i in old.items() if seen[i] > 1]
+            if kept and self.count + len(kept) < CACHE_ENTRIES // 2:
+                at = np.array([i for _, i in kept])
+                ids, _ = gather(flat, starts[at], lens[at])
+                self._add([p for p, _ in kept], ids, lens[at], new)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _store(self, ids: np.ndarray, lens: np.ndarray, at: int) -> None:
+    def _add(self, pieces: list[str], ids: np.ndarray, lens: np.ndarray, known: dict[str, int]) -> None:
+        at = self.count
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
         while at + len(lens) > len(self.starts):
-            self.starts = np.concatenate([self.starts, np.empty_like(self.starts)])
-            self.lens = np.concatenate([self.lens, np.empty_like(self.lens)])
+            self.starts, self.lens, self.seen = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lens, self.seen))
         self.flat[self.used : self.used + len(ids)] = ids
         self.starts[at : at + len(lens)] = self.used + np.cumsum(lens) - lens
         self.lens[at : at + len(lens)] = lens
-        self.used += len(ids)
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Encodes pieces that aren't known, in joined runs where each starts
-        with a space and ends with a non-space; token widths show the ends."""
-        joined = [p for p in pieces if p[:1] == " " and not p[-1].isspace()]
-        rest = [p for p in pieces if not (p[:1] == " " and not p[-1].isspace())]
+        self.seen[at : at + len(lens)] = 0
+        self.used, self.count = self.used + len(ids), at + len(lens)
+        known.update(zip(pieces, range(at, self.count)))
+
+    def _learn(self, pieces: list[str], space: str, known: dict[str, int]) -> None:
+        """Encodes new pieces, in joined runs where each starts with a space and
+        ends with a non-space; the widths of the tokens show the ends."""
+        alone = [p for p in pieces if not space or not p or p[-1].isspace()]
+        joined = [p for p in pieces if p and not p[-1].isspace()] if space else []
         for k in range(0, len(joined), 2000):
             run = joined[k : k + 2000]
-            ids = np.array(self._whole(["".join(run)])[0], dtype=np.int32)
-            ends = np.cumsum([len(p.encode()) for p in run])
+            ids = np.array(self._whole([space + space.join(run)])[0], dtype=np.int32)
+            ends = np.cumsum(np.asarray(pc.binary_length(pa.array(run))).astype(np.int64) + len(space))
             at = np.cumsum(self.width[ids])
             cut = np.searchsorted(at, ends)
             if len(at) == 0 or cut[-1] >= len(at) or not (at[cut] == ends).all():
-                rest += run
-                continue
-            first = len(self.known)
-            self._store(ids, np.diff(cut + 1, prepend=0), first)
-            self.known.update(zip(run, range(first, first + len(run))))
-        for k in range(0, len(rest), 2000):
-            run = rest[k : k + 2000]
-            lists, first = self._whole(run), len(self.known)
-            self._store(np.array([i for x in lists for i in x], dtype=np.int32), np.array([len(x) for x in lists]), first)
-            self.known.update(zip(run, range(first, first + len(run))))
+                alone += run
+            else:
+                self._add(run, ids, np.diff(cut + 1, prepend=0), known)
+        for k in range(0, len(alone), 2000):
+            run = alone[k : k + 2000]
+            lists = self._whole([space + p for p in run])
+            self._add(run, np.array([i for x in lists for i in x], dtype=np.int32), np.array([len(x) for x in lists]), known)
 
     def _indices(self, pieces: pa.Array, space: str) -> np.ndarray:
+        known = self.known[bool(space)]
         coded = pieces.dictionary_encode()
-        distinct = [space + p for p in coded.dictionary.to_pylist()]
-        new = [p for p in distinct if p not in self.known]
-        if new:
-            self._learn(new)
-        known = self.known
-        ids = np.fromiter((known[p] for p in distinct), dtype=np.int64, count=len(distinct))
-        return ids[np.asarray(coded.indices)] if len(distinct) else np.empty(0, np.int64)
+        distinct = coded.dictionary.to_pylist()
+        ids = np.fromiter(map(known.get, distinct, repeat(-1)), dtype=np.int64, count=len(distinct))
+        new = np.nonzero(ids < 0)[0]
+        if len(new):
+            words = [distinct[i] for i in new]
+            self._learn(words, space, known)
+            ids[new] = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
+        self.seen[ids] += 1
+        return ids[np.asarray(coded.indices)] if len(distinct) else ids
 
     def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.known) > CACHE_ENTRIES or self.used > 8 * CACHE_ENTRIES:
-            self._forget()
+        if self.count > CACHE_ENTRIES or self.used > 8 * CACHE_ENTRIES:
+            self._thin()
         unsafe = np.asarray(pc.match_substring_regex(texts, _UNSAFE))
         if not unsafe.any():
             words = pc.split_pattern(texts, " ")
