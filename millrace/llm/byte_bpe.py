@@ -10,19 +10,17 @@ uncut.
 from __future__ import annotations
 
 import os
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import by_bytes, gather
+from .common import PieceCache, by_bytes, gather
 
+_WHITE = r"[\t-\r\x1c- \x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: White space of Unicode before a space: there the cut could change the words.
-_UNSAFE = r"[\t-\r\x1c- \x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
-#: Pieces that a process keeps, about; beyond it the rare ones go.
-CACHE_ENTRIES = 700_000
-_SLICE = 4 << 20
+_UNSAFE = f"{_WHITE} "
+_SLICE = 3 << 20
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -43,90 +41,64 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.width = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
+        self.width = np.zeros(max(vocab.values()) + 1, dtype=np.int32)
         for token, i in vocab.items():
             self.width[i] = len(token)  # a character of a byte-level token is a byte
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: tuple[dict[str, int], dict[str, int]] = ({}, {})  # pieces at a text's start; after a space
-        self.flat = np.empty(1 << 20, dtype=np.int32)
-        self.starts = np.empty(1 << 18, dtype=np.int64)
-        self.lens = np.empty(1 << 18, dtype=np.int64)
-        self.seen = np.zeros(1 << 18, dtype=np.int32)
-        self.used = self.count = 0
-
-    def _thin(self) -> None:
-        """Keeps what was met in two slices of text or more, if that is not too much."""
-        known, flat, starts, lens, seen = self.known, self.flat, self.starts, self.lens, self.seen
-        self._forget()
-        for old, new in zip(known, self.known):
-            kept = [(p, i) for p, i in old.items() if seen[i] > 1]
-            if kept and self.count + len(kept) < CACHE_ENTRIES // 2:
-                at = np.array([i for _, i in kept])
-                ids, _ = gather(flat, starts[at], lens[at])
-                self._add([p for p, _ in kept], ids, lens[at], new)
+        self.first = PieceCache(lambda pieces: self._each(pieces.to_pylist()))
+        self.later = PieceCache(self._joined)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _add(self, pieces: list[str], ids: np.ndarray, lens: np.ndarray, known: dict[str, int]) -> None:
-        at = self.count
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while at + len(lens) > len(self.starts):
-            self.starts, self.lens, self.seen = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lens, self.seen))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.starts[at : at + len(lens)] = self.used + np.cumsum(lens) - lens
-        self.lens[at : at + len(lens)] = lens
-        self.seen[at : at + len(lens)] = 0
-        self.used, self.count = self.used + len(ids), at + len(lens)
-        known.update(zip(pieces, range(at, self.count)))
-
-    def _learn(self, pieces: list[str], space: str, known: dict[str, int]) -> None:
-        """Encodes new pieces, in joined runs where each starts with a space and
-        ends with a non-space; the widths of the tokens show the ends."""
-        alone = [p for p in pieces if not space or not p or p[-1].isspace()]
-        joined = [p for p in pieces if p and not p[-1].isspace()] if space else []
-        for k in range(0, len(joined), 2000):
-            run = joined[k : k + 2000]
-            ids = np.array(self._whole([space + space.join(run)])[0], dtype=np.int32)
-            ends = np.cumsum(np.asarray(pc.binary_length(pa.array(run))).astype(np.int64) + len(space))
-            at = np.cumsum(self.width[ids])
-            cut = np.searchsorted(at, ends)
-            if len(at) == 0 or cut[-1] >= len(at) or not (at[cut] == ends).all():
-                alone += run
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lists = self._whole(texts)
+        return np.array([i for x in lists for i in x], dtype=np.int32), np.array([len(x) for x in lists], dtype=np.int64)
+
+    def _joined(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces that follow a space.  Those that end with a non-space
+        are encoded in joined runs; the widths of the tokens show their ends."""
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        alone = np.asarray(pc.match_substring_regex(pieces, f"^$|{_WHITE}$"))
+        plain = pieces.take(pa.array(np.nonzero(~alone)[0]))
+        for k in range(0, len(plain), 40_000):
+            part = plain.slice(k, 40_000)
+            at = np.append(np.arange(0, len(part), 1000), len(part)).astype(np.int32)
+            runs = pc.binary_join(pa.ListArray.from_arrays(pa.array(at), pa.concat_arrays([part])), " ")
+            ids, _ = self._each([" " + run for run in runs.to_pylist()])
+            ends = np.cumsum(np.asarray(pc.binary_length(part)).astype(np.int64) + 1)
+            reach = np.cumsum(self.width[ids], dtype=np.int64)
+            cut = np.searchsorted(reach, ends)
+            if len(reach) and cut[-1] < len(reach) and (reach[cut] == ends).all():
+                out.append((ids, np.diff(cut + 1, prepend=0)))
             else:
-                self._add(run, ids, np.diff(cut + 1, prepend=0), known)
-        for k in range(0, len(alone), 2000):
-            run = alone[k : k + 2000]
-            lists = self._whole([space + p for p in run])
-            self._add(run, np.array([i for x in lists for i in x], dtype=np.int32), np.array([len(x) for x in lists]), known)
-
-    def _indices(self, pieces: pa.Array, space: str) -> np.ndarray:
-        known = self.known[bool(space)]
-        coded = pieces.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        ids = np.fromiter(map(known.get, distinct, repeat(-1)), dtype=np.int64, count=len(distinct))
-        new = np.nonzero(ids < 0)[0]
-        if len(new):
-            words = [distinct[i] for i in new]
-            self._learn(words, space, known)
-            ids[new] = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
-        self.seen[ids] += 1
-        return ids[np.asarray(coded.indices)] if len(distinct) else ids
+                out.append(self._each([" " + p for p in part.to_pylist()]))
+        if not alone.any():
+            return np.concatenate([x for x, _ in out]), np.concatenate([n for _, n in out])
+        rest = np.nonzero(alone)[0]
+        lists = self._whole([" " + p for p in pieces.take(pa.array(rest)).to_pylist()])
+        lens = np.zeros(len(pieces), np.int64)
+        lens[~alone] = np.concatenate([n for _, n in out]) if out else []
+        lens[rest] = [len(x) for x in lists]
+        owner = np.repeat(np.arange(len(pieces)), lens)
+        ids = np.empty(len(owner), np.int32)
+        ids[~alone[owner]] = np.concatenate([x for x, _ in out]) if out else []
+        ids[alone[owner]] = [i for x in lists for i in x]
+        return ids, lens
 
     def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if self.count > CACHE_ENTRIES or self.used > 8 * CACHE_ENTRIES:
-            self._thin()
+        self.first.trim()
+        self.later.trim()
         unsafe = np.asarray(pc.match_substring_regex(texts, _UNSAFE))
         if not unsafe.any():
             words = pc.split_pattern(texts, " ")
             offsets = np.asarray(words.offsets, dtype=np.int64)
-            flat = words.values
-            index = self._indices(flat, " ")
-            index[offsets[:-1]] = self._indices(flat.take(pa.array(offsets[:-1])), "")
-            ids, at = gather(self.flat, self.starts[index], self.lens[index])
+            places = self.later.indices(words.values)
+            head = np.zeros(len(places), dtype=bool)
+            head[offsets[:-1]] = True
+            own = self.first.indices(words.values.take(pa.array(offsets[:-1])))
+            starts, lens = self.later.starts[places], self.later.lens[places].astype(np.int64)
+            starts[head], lens[head] = len(self.later.flat) + self.first.starts[own], self.first.lens[own]
+            ids, at = gather(np.concatenate([self.later.flat, self.first.flat]), starts, lens)
             return ids, at[offsets]
         parts: list[np.ndarray] = [None] * len(texts)
         safe = np.nonzero(~unsafe)[0]

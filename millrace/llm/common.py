@@ -72,3 +72,51 @@ def gather(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.n
     np.cumsum(lens, out=offsets[1:])
     at = np.repeat(starts - offsets[:-1], lens) + np.arange(offsets[-1])
     return flat[at], offsets
+
+
+class PieceCache:
+    """Ids of pieces of text that a process has met, as Arrow and NumPy arrays.
+
+    ``learn`` gives (ids in a row, number of each) for pieces that are new.  Beyond
+    ``most`` pieces only those met in several batches stay, if they are few.
+    """
+
+    def __init__(self, learn, most: int = 500_000) -> None:
+        self.learn, self.most = learn, most
+        self._reset()
+
+    def _reset(self) -> None:
+        self.pieces = pa.array([], pa.string())
+        self.flat, self.starts, self.lens, self.seen = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32)
+
+    def _add(self, pieces: pa.Array, ids: np.ndarray, lens: np.ndarray) -> None:
+        self.pieces = pa.concat_arrays([self.pieces, pieces])
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lens, dtype=np.int64) - lens])
+        self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
+        self.lens = np.concatenate([self.lens, lens.astype(np.int32)])
+        self.seen = np.concatenate([self.seen, np.zeros(len(lens), np.int32)])
+
+    def trim(self) -> None:
+        """To be called between batches, as indices change."""
+        if len(self.pieces) > self.most or len(self.flat) > 8 * self.most:
+            kept, old, flat, starts, lens = np.nonzero(self.seen > 1)[0], self.pieces, self.flat, self.starts, self.lens
+            self._reset()
+            if len(kept) < self.most // 2:
+                self._add(old.take(pa.array(kept)), gather(flat, starts[kept], lens[kept])[0], lens[kept])
+
+    def indices(self, pieces: pa.Array) -> np.ndarray:
+        """The place of every piece among ``starts`` and ``lens``."""
+        coded = pieces.dictionary_encode()
+        found = pc.index_in(coded.dictionary, value_set=self.pieces)
+        places = np.asarray(pc.fill_null(found, -1)).astype(np.int64)
+        new = np.nonzero(places < 0)[0]
+        if len(new):
+            places[new] = len(self.pieces) + np.arange(len(new))
+            fresh = coded.dictionary.take(pa.array(new))
+            self._add(fresh, *self.learn(fresh))
+        self.seen[places] += 1
+        return places[np.asarray(coded.indices)] if len(places) else places
+
+    def ids(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces in a row, and their offsets."""
+        return gather(self.flat, self.starts[places], self.lens[places])

@@ -19,14 +19,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, gather, text_array
+from .common import PieceCache, by_bytes, gather, text_array
 
 MARK = "▁"
 #: An unknown character costs this more than the worst piece.
 UNKNOWN_PENALTY = 10.0
 #: Words above this many bytes are split one by one.
 _LONG = 128
-_CACHE_WORDS = 700_000
 
 
 class DoubleArray:
@@ -102,18 +101,14 @@ class Unigram:
         self.longest = max(len(k) for k, _ in keys)
         if any(MARK in pieces[i].lstrip(MARK) for _, i in keys):
             raise ValueError("a piece holds white space after its first character; words can't be split apart")
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.starts, self.lens = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.words = PieceCache(self._learn)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("known", "flat", "starts", "lens")}
+        return {k: v for k, v in self.__dict__.items() if k != "words"}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
-        self._forget()
+        self.words = PieceCache(self._learn)
 
     def viterbi(self, text: bytes) -> list[int]:
         """Ids of one marked text; of equal scores the path whose last piece
@@ -217,54 +212,45 @@ class Unigram:
         sort = np.lexsort((place, inverse))
         return ids[sort].astype(np.int32), np.bincount(inverse, minlength=n)
 
-    def _learn(self, words: list[str]) -> None:
-        raw = [w.encode() for w in words]
-        short = [i for i, w in enumerate(raw) if len(w) <= _LONG]
+    def _learn(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        raw = words.cast(pa.binary()).to_pylist()
         long = [i for i, w in enumerate(raw) if len(w) > _LONG]
-        flats, lens = [], []
+        short = [i for i, w in enumerate(raw) if len(w) <= _LONG]
+        flats, lens = [np.empty(0, np.int32)], np.zeros(len(raw), np.int64)
         for k in range(0, len(short), 40_000):
-            ids, n = self._viterbi_many([raw[i] for i in short[k : k + 40_000]])
-            flats.append(ids)
-            lens.append(n)
-        for i in long:
-            ids = np.array(self.viterbi(raw[i]), np.int32)
+            part = short[k : k + 40_000]
+            ids, lens[part] = self._viterbi_many([raw[i] for i in part])
             flats.append(ids)
-            lens.append(np.array([len(ids)]))
-        lens = np.concatenate(lens)
-        begin = len(self.flat) + np.cumsum(lens) - lens
-        first = len(self.starts)
-        self.flat, self.starts, self.lens = np.concatenate([self.flat, *flats]), np.concatenate([self.starts, begin]), np.concatenate([self.lens, lens])
-        self.known.update((words[i], first + k) for k, i in enumerate(short + long))
-
-    def _indices(self, words: pa.Array, mark: str) -> np.ndarray:
-        coded = words.dictionary_encode()
-        distinct = [mark + w for w in coded.dictionary.to_pylist()]
-        new = [w for w in distinct if w not in self.known]
-        if new:
-            self._learn(new)
-        ids = np.fromiter((self.known[w] for w in distinct), np.int64, len(distinct))
-        return ids[np.asarray(coded.indices)] if len(ids) else ids
+        if not long:
+            return np.concatenate(flats), lens
+        lists = [self.viterbi(raw[i]) for i in long]
+        lens[long] = [len(x) for x in lists]
+        single = np.zeros(len(raw), bool)
+        single[long] = True
+        owner = np.repeat(single, lens)
+        ids = np.empty(len(owner), np.int32)
+        ids[~owner], ids[owner] = np.concatenate(flats), [i for x in lists for i in x]
+        return ids, lens
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row and their offsets."""
-        if len(self.known) > _CACHE_WORDS or len(self.flat) > 8 * _CACHE_WORDS:
-            self._forget()
+        self.words.trim()
         texts = pc.replace_substring(texts, MARK, " ")
         spaced = np.asarray(pc.match_substring_regex(texts, "^ |  | $|^$"))
         plain, odd = np.nonzero(~spaced)[0], np.nonzero(spaced)[0]
         words = pc.split_pattern(texts.take(pa.array(plain)), " ")
         at = np.asarray(words.offsets, np.int64)
-        index = self._indices(words.values, MARK)
+        index = self.words.indices(pc.binary_join_element_wise(MARK, words.values, ""))
         if len(odd):  # runs of white space, or none: the marker of each space stays with the word after
             runs = [re.findall(f"{MARK}+[^{MARK}]*", (MARK + t).replace(" ", MARK)) if t else [] for t in texts.take(pa.array(odd)).to_pylist()]
-            own = self._indices(pa.array([w for r in runs for w in r], pa.string()), "")
+            own = self.words.indices(pa.array([w for r in runs for w in r], pa.string()))
             n = np.zeros(len(texts), np.int64)
             n[plain], n[odd] = np.diff(at), [len(r) for r in runs]
             both = np.concatenate([index, own])
             begin = np.zeros(len(texts), np.int64)
             begin[plain], begin[odd] = at[:-1], len(index) + np.cumsum(n[odd]) - n[odd]
             index, at = gather(both, begin, n)
-        ids, offsets = gather(self.flat, self.starts[index], self.lens[index])
+        ids, offsets = self.words.ids(index)
         return ids, offsets[at]
 
     def decode(self, ids: list[int]) -> str:
