@@ -96,16 +96,98 @@ def log_binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(k >= n, F.lit(0.0)).otherwise(F.aggregate(terms, start, add, lambda a: a["log"] + F.log(a["sum"])))
 
 
-def certified_cutoffs(rows: DataFrame, false_rejection: float = FALSE_REJECTION, error: float = ERROR) -> DataFrame:
-    """stratum, rule, cutoff from holdout rows (stratum, good, the measures).
+def _with_rules(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({rule: _measure(rule) for rule in GRID} | {"stratum": F.coalesce(F.col("lang").cast("string"), F.lit(""))})
 
-    A cutoff is certified if P(X <= rejected good | n good, false_rejection) is
-    at most error / tests, over all strata, rules and cutoffs.  A stratum or rule
-    with nothing certified has no row: nothing is rejected there.
+
+def certified_cutoffs(measures: DataFrame, labels: DataFrame, false_rejection: float = FALSE_REJECTION, error: float = ERROR) -> DataFrame:
+    """stratum, cutoffs (map of rule to cutoff) from measured rows (doc_id, lang,
+    the measures) and labels (doc_id, quality).
+
+    The holdout is every labelled row that passes the base rules.  A cutoff is
+    certified if P(X <= rejected good | n good, false_rejection) is at most
+    error / tests, over all strata, rules and cutoffs.  Of the certified ones a
+    rule takes that with most bad rows rejected beyond the good ones, the mildest
+    of equals, and none if that is not positive.  Rows without a label, or with a
+    null one, have no part; with several labels the worst holds.
     """
+    worst = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
+    held = _with_rules(measures.where("NOT base_failed")).join(worst, "doc_id")
     trials = F.explode(F.array(*(F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("cutoff"), (F.col(rule) > c).alias("hit")) for rule, cuts in GRID.items() for c in cuts)))
-    counts = rows.where("good").select("stratum", trials.alias("t")).groupBy("stratum", "t.rule", "t.cutoff").agg(F.count("*").alias("n"), F.count_if("t.hit").alias("k"))
+    counts = held.select("stratum", "good", trials.alias("t")).groupBy("stratum", "t.rule", "t.cutoff").agg(
+        F.count_if("good").alias("n"), F.count_if(F.col("good") & F.col("t.hit")).alias("k"), F.count_if(~F.col("good") & F.col("t.hit")).alias("bad")
+    )
     counts = written(counts, "trials")
     tests = max(1, counts.count())
-    passed = counts.where(log_binomial_tail(F.col("k"), F.col("n"), false_rejection) <= math.log(error / tests))
-    return passed.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
+    gain = F.col("bad") - F.col("k")
+    passed = counts.where((log_binomial_tail(F.col("k"), F.col("n"), false_rejection) <= math.log(error / tests)) & (gain > 0))
+    best = passed.groupBy("stratum", "rule").agg(F.max_by("cutoff", F.struct(gain, F.col("cutoff"))).alias("cutoff"))
+    return best.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))  # a few rules
+
+
+#: Strata up to this number are broadcast (some hundred bytes each).
+_BROADCAST_STRATA = 10_000
+
+
+def _verdict(rows: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """Adds ``kept``; drops the helper columns."""
+    cutoffs = written(cutoffs, "cutoffs")
+    if cutoffs.count() <= _BROADCAST_STRATA:
+        cutoffs = F.broadcast(cutoffs)
+    judged = _with_rules(rows).join(cutoffs, "stratum", "left")
+    hits = [F.coalesce(F.col(rule) > F.col("cutoffs")[rule], F.lit(False)) for rule in GRID]
+    rejected = hits[0]
+    for hit in hits[1:]:
+        rejected = rejected | hit
+    return judged.withColumn("kept", ~F.col("base_failed") & ~rejected).drop("stratum", "cutoffs", *GRID)
+
+
+def judge(docs: DataFrame, labels: DataFrame, false_rejection: float = FALSE_REJECTION, error: float = ERROR) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    base_failed, kept for every row of docs (doc_id, text, lang).
+
+    Texts are measured once; only the measures are written and joined.  A null
+    lang is a stratum of its own; without labels only the base rules reject.
+    """
+    measures = written(measured(docs.select("doc_id", "text", "lang")).drop("text"), "measures")
+    judged = _verdict(measures, certified_cutoffs(measures, labels, false_rejection, error))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, false_rejection: float = FALSE_REJECTION, error: float = ERROR) -> DataFrame:
+    """The rows of docs that :func:`judge` keeps, with all their columns."""
+    measures = written(measured(docs.select("doc_id", "text", "lang")).drop("text"), "measures")
+    cutoffs = certified_cutoffs(measures, labels, false_rejection, error)
+    whole = docs.withColumn("_row", F.struct(*docs.columns)).select("doc_id", "text", "lang", "_row")
+    return _verdict(measured(whole), cutoffs).where("kept").select("_row.*")
+
+
+def _sql_measures() -> str:
+    ratio = {"symbols": "n_symbols / greatest(n_words, 1)", "dup_lines": "n_dup_lines / greatest(n_lines, 1)", "repeats": "n_repeat_words / greatest(n_words, 1)", "long_words": "word_chars / greatest(n_words, 1)", "short_words": "-word_chars / greatest(n_words, 1)"}
+    return " UNION ALL ".join(f"SELECT *, '{rule}' AS rule, {ratio[rule]} AS measure FROM m" for rule in GRID)
+
+
+_SQL_WORD = r"[^ \t-\r]+"
+
+ORACLE_SQL = f"""
+WITH w AS (SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_SQL_WORD}') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_SQL_WORD}')) AS lines FROM documents),
+g AS (SELECT doc_id, unnest(range(len(words) - 7)) AS i, words FROM w WHERE len(words) >= 8),
+h AS (SELECT doc_id, i, array_to_string(words[i + 1:i + 8], ' ') AS win FROM g),
+r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, win) AS c FROM h) WHERE c > 1),
+cov AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM r) GROUP BY doc_id),
+m0 AS (SELECT doc_id, coalesce(lang, '') AS stratum, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN cov USING (doc_id)),
+m AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m0),
+mr AS ({_sql_measures()}),
+good AS (SELECT doc_id, min(quality) = 1 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+cuts AS (SELECT * FROM (VALUES {", ".join(f"('{rule}', {c}::DOUBLE)" for rule, cuts in GRID.items() for c in cuts)}) AS t(rule, cutoff)),
+t AS (SELECT stratum, rule, cutoff, count(*) FILTER (good) AS n, count(*) FILTER (good AND measure > cutoff) AS k, count(*) FILTER (NOT good AND measure > cutoff) AS bad
+    FROM mr JOIN good USING (doc_id) JOIN cuts USING (rule) WHERE NOT base_failed GROUP BY ALL),
+tail AS (SELECT *, CASE WHEN k >= n THEN 1.0 ELSE list_sum(list_transform(range(k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({FALSE_REJECTION}) + (n - i) * ln(1 - {FALSE_REJECTION})))) END AS p FROM t),
+best AS (SELECT stratum, rule, arg_max(cutoff, (bad - k) * 1000 + cutoff) AS cutoff FROM tail WHERE p <= {ERROR} / (SELECT count(*) FROM tail) AND bad > k GROUP BY ALL),
+hit AS (SELECT DISTINCT doc_id FROM mr JOIN best USING (stratum, rule) WHERE measure > cutoff)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND hit.doc_id IS NULL AS kept
+FROM m LEFT JOIN hit USING (doc_id)
+"""

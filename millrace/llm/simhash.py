@@ -262,16 +262,10 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame
 def keep_one_each(docs: DataFrame, words: int = 5, bits: int = 8) -> DataFrame:
     """docs without near-duplicates: of each component the row with the smallest
     doc_id stays, with all its columns; of rows that repeat a doc_id one stays.
-    Rows with a null doc_id stay only where their component has no other."""
-    found = written(near_duplicates(docs, words, bits), "components")
-    lost = found.where("doc_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct()
-    stay = docs.join(lost, "doc_id", "left_anti")
-    if found.where("doc_id IS NULL").isEmpty():
-        nulls = None
-    else:
-        nulls = found.where("doc_id IS NULL AND component_id IS NULL").select("fingerprint").distinct().count()
-    if nulls is not None:
-        stay = stay.where("doc_id IS NOT NULL") if not nulls else stay
-    if not found.groupBy("doc_id").count().where("count > 1").isEmpty():
-        stay = stay.dropDuplicates(["doc_id"])
-    return stay
+    Rows without a doc_id can't be told from one another and stay."""
+    found = written(near_duplicates(docs, words, bits), "components").where("doc_id IS NOT NULL")
+    lost = found.where("doc_id <> component_id").select("doc_id").distinct()
+    stay = docs.join(lost, "doc_id", "left_anti").select(docs.columns)
+    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return stay
+    return stay.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(stay.where("doc_id IS NULL"))
