@@ -2,16 +2,17 @@
 
 Documents and gaps (the free ends of open sequences) are range-sorted together
 by size, largest first and gaps before documents of the same size.  A sweep
-gives each document its successor: the smallest gap before it that nobody else
-holds.  Inside a partition that is a stack; what partitions leave over meets by
-rank, in blocks worked out from one pair of counts a partition.  Then the gaps
-shrink and the next sweep begins; where no document finds a gap, as many
+gives each document its successor, the smallest gap before it: inside a
+partition the gaps shrink as they are used, and what partitions leave over meets
+by rank, in blocks worked out from one pair of counts a partition.  The next
+sweep sorts the shrunken gaps in anew; where no document finds a gap, as many
 sequences are opened as the rest needs at least.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,26 +68,52 @@ def document_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_i
 
 
 def _sweep_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs inside a partition.  Rows out: a document with its gap (kind 2), a
-    document without (1), a gap without (0), the last two with their rank."""
+    """Best fit inside a partition, a gap shrinking as it is used.  Rows out: a
+    document with its gap (kind 2), a document without (1), a used gap (3), an
+    unused one (0), 1 and 0 with their rank; last the counts of 1, 0 and 2 and the
+    tokens of 1 (kind 4: rank, gap, free, id)."""
     part = TaskContext.get().partitionId()
-    stack: list[tuple[int, int]] = []
-    lone = 0
+    sizes: list[int] = []  # of the gaps at hand, ascending, each once
+    at_hand: dict[int, list[int]] = {}
+    used: dict[int, int] = {}
+    lone = alone = placed = 0
+
+    def put(gap: int, size: int) -> None:
+        if size not in at_hand:
+            at_hand[size] = []
+            insort(sizes, size)
+        at_hand[size].append(gap)
+
     for batch in batches:
-        kinds, ids, sizes = (x.to_pylist() for x in batch.columns[:3])
         out: list[tuple] = []
-        for kind, i, size in zip(kinds, ids, sizes):
+        for kind, i, size in zip(*(x.to_pylist() for x in batch.columns[:3])):
             if kind == 0:
-                stack.append((i, size))
-            elif stack:
-                gap, free = stack.pop()
-                out.append((2, i, size, 0, gap, free))
-            else:
+                put(i, size)
+                continue
+            k = bisect_left(sizes, size)
+            if k == len(sizes):
                 out.append((1, i, size, lone, 0, 0))
-                lone += 1
+                lone, alone = lone + 1, alone + size
+                continue
+            free = sizes[k]
+            gap = at_hand[free].pop()
+            if not at_hand[free]:
+                del at_hand[free], sizes[k]
+            out.append((2, i, size, 0, gap, free))
+            placed += 1
+            used[gap] = free - size
+            if free > size:
+                put(gap, free - size)
         if out:
             yield _rows(part, out)
-    left = [(0, gap, free, rank, 0, 0) for rank, (gap, free) in enumerate(reversed(stack))]
+    left = [(3, gap, free, 0, 0, 0) for gap, free in used.items() if free]
+    rank = 0
+    for size in sizes:
+        for gap in reversed(at_hand[size]):
+            if gap not in used:
+                left.append((0, gap, size, rank, 0, 0))
+                rank += 1
+    left.append((4, alone, 0, lone, rank, placed))
     for k in range(0, len(left), 100_000):
         yield _rows(part, left[k : k + 100_000])
 
@@ -130,20 +157,18 @@ def best_fit(items: DataFrame, capacity: int) -> DataFrame:
     docs = items.select(F.col("item").alias("id"), F.col("length").cast("int").alias("size"))
     gaps = spark.createDataFrame([], "id long, size int")
     opened, fresh = 0, True
-    while True:
-        left = docs.agg(F.count("*"), F.sum("size")).first()
-        if not left[0]:
-            break
+    left, tokens = docs.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    while left:
         if fresh:
-            n = max(1, -(-(left[1] or 0) // capacity))
+            n = max(1, -(-tokens // capacity))
             new = spark.range(opened, opened + n).select("id", F.lit(capacity).cast("int").alias("size"))
             gaps, opened = gaps.unionByName(new), opened + n
         both = gaps.select(F.lit(0).alias("kind"), "id", "size").unionByName(docs.select(F.lit(1).alias("kind"), "id", "size"))
         order = [F.col("size").desc(), F.col("kind").asc(), F.xxhash64("id")]  # the hash splits a size that many share
-        parts = max(1, -(-(left[0] + opened) // SWEEP_ROWS))
+        parts = max(1, -(-(left + opened) // SWEEP_ROWS))
         swept = written(both.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_sweep_partition, _SWEPT), "sweep")
-        counts = swept.groupBy("part").agg(*(F.count_if(F.col("kind") == k) for k in (1, 0, 2))).orderBy("part").collect()  # a row a partition
-        blocks = rank_blocks([tuple(r)[:3] for r in counts])
+        counts = sorted(tuple(r) for r in swept.where("kind = 4").select("part", "rank", "gap", "free", "id").collect())  # a row a partition
+        blocks = rank_blocks([c[:3] for c in counts])
         alone, holes = swept.where("kind = 1"), swept.where("kind = 0")
         met = swept.where("kind = 2").select("id", "size", "gap", "free")
         if blocks:
@@ -153,16 +178,19 @@ def best_fit(items: DataFrame, capacity: int) -> DataFrame:
             # ranks of one partition that no block covers stay without a gap
             with_gap = drawn.where("n IS NOT NULL").select("id", "size", F.col("gap_part").alias("part"), (F.col("rank") - F.col("low") + F.col("gap_low")).alias("rank"))
             across = with_gap.join(holes.select("part", "rank", F.col("id").alias("gap"), F.col("size").alias("free")), ["part", "rank"])
-            taken = F.broadcast(table.groupBy("part").agg(F.max(F.col("low") + F.col("n")).alias("to")))
-            used = F.broadcast(table.groupBy(F.col("gap_part").alias("part")).agg(F.max(F.col("gap_low") + F.col("n")).alias("to")))
-            met = met.unionByName(across.select("id", "size", "gap", "free"))
+            taken, used = ({b[at]: b[at + 1] + b[4] for b in sorted(blocks)} for at in (0, 2))  # ranks below these are gone
+            taken, used = (F.broadcast(spark.createDataFrame([*x.items()], "part int, to long")) for x in (taken, used))
+            across = written(across.select("id", "size", "gap", "free"), "met")
+            met = met.unionByName(across)
             alone = alone.join(taken, "part", "left").where("to IS NULL OR rank >= to")
             holes = holes.join(used, "part", "left").where("to IS NULL OR rank >= to")
-        met = written(met, "met")
         placed.append(met.select(F.col("id").alias("item"), F.col("gap").alias("sequence"), (capacity - F.col("free")).cast("long").alias("offset")))
-        gaps = holes.select("id", "size").unionByName(met.where("free > size").select(F.col("gap").alias("id"), (F.col("free") - F.col("size")).alias("size")))
+        gaps = holes.select("id", "size").unionByName(swept.where("kind = 3").select("id", "size"))
+        if blocks:
+            gaps = gaps.unionByName(across.where("free > size").select(F.col("gap").alias("id"), (F.col("free") - F.col("size")).alias("size")))
         docs = alone.select("id", "size")
-        fresh = not blocks and not sum(r[3] for r in counts)
+        left, tokens = sum(c[1] for c in counts) - sum(b[4] for b in blocks), sum(c[4] for c in counts)
+        fresh = not blocks and not any(c[3] for c in counts)
     if not placed:
         return spark.createDataFrame([], "item long, sequence long, offset long")
     out = placed[0]
