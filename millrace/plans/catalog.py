@@ -5,12 +5,614 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from millrace.functions import html, text, times
+from millrace.operators import dedup, export, health, ingest, listing, search, state, tables
+from millrace.sources import feeds, pages, personal
+from millrace.streaming import streams
 
+from . import derived as d
+from .derived import hash_sql, norm_sql, table, with_sql
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship query."""
-    raise NotImplementedError
+    """Flagship: fingerprints, first-wins dedup, latest entry of each source."""
+    return first_wins_latest(spark, sf_dir)
+
+
+_H = hash_sql("title", "content")
+
+
+@query(
+    with_sql(
+        "items",
+        f"""SELECT source_id, count(*) AS kept, max(published_at) AS latest FROM (
+        SELECT *, row_number() OVER (PARTITION BY {_H} ORDER BY source_id, pos) AS rn FROM items) WHERE rn = 1 GROUP BY source_id""",
+    )
+)
+def first_wins_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = d.items(spark, sf_dir).withColumn("content_hash", text.identity_hash("title", "content"))
+    kept = dedup.dedup_first_wins(items, ["source_id", "pos"], ("hash",)).where("accepted")
+    return kept.groupBy("source_id").agg(F.count("*").alias("kept"), F.max("published_at").alias("latest"))
+
+
+# -- scalar functions -----------------------------------------------------------------
+
+
+@query(with_sql("items", f"SELECT pos, {norm_sql('summary')} AS normal, {_H} AS content_hash, CASE WHEN pos % 2 = 0 THEN '' ELSE {hash_sql(repr(''), 'content')} END AS identity FROM items"))
+def text_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = d.items(spark, sf_dir)
+    content = F.when(F.col("pos") % 2 == 0, F.lit("")).otherwise(F.col("content"))
+    return i.select("pos", text.normalize_text("summary").alias("normal"), text.content_hash("title", "content").alias("content_hash"), text.identity_hash(F.lit(""), content).alias("identity"))
+
+
+_URL_SQL = r"""SELECT page_id, CASE WHEN u IS NULL THEN '' WHEN NOT regexp_matches(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]') THEN u ELSE
+    lower(regexp_extract(u, '^([^:]+)://', 1)) || '://' || lower(regexp_extract(u, '://([^/?#]*)', 1)) || CASE WHEN p = '/' THEN p ELSE rtrim(p, '/') END || regexp_extract(u, '^[^?#]*(\?[^#]*)', 1) END AS url
+FROM (SELECT page_id, trim(url) AS u, regexp_extract(trim(url), '://[^/?#]*([^?#]*)', 1) AS p FROM pages)"""
+
+
+@query(_URL_SQL)
+def normalized_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", text.normalize_url("url").alias("url"))
+
+
+@query("SELECT event_id, date_trunc('second', ts) AS iso, date_trunc('second', ts) AS mail, date_trunc('minute', ts) AS short_mail, date_trunc('second', ts) AS naive, date_trunc('day', ts) AS day, NULL::TIMESTAMP AS junk FROM events")
+def feed_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    written = lambda f: F.date_format("ts", f)
+    return e.select(
+        "event_id", times.parse_feed_time(written("yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("iso"), times.parse_feed_time(F.concat(F.lit("Mon, "), written("dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))).alias("mail"),
+        times.parse_feed_time(written("dd MMM yy HH:mm' +0000'")).alias("short_mail"), times.parse_feed_time(written("yyyy-MM-dd HH:mm:ss")).alias("naive"), times.parse_feed_time(written("yyyy-MM-dd")).alias("day"),
+        times.parse_feed_time(F.concat(F.lit("on "), written("yyyy"))).alias("junk"),
+    )
+
+
+_HAN = "translate(text, 'aeoun', '苹果香蕉发')"
+
+
+@query(
+    rf"""SELECT doc_id, array_to_string(list_transform(runs, lambda r, i: CASE WHEN NOT regexp_matches(r, '^\p{{Han}}') THEN r ELSE CASE WHEN i = 1 THEN '' ELSE ' ' END ||
+        CASE WHEN length(r) = 1 THEN r ELSE array_to_string(list_transform(range(1, length(r)), lambda k: substr(r, k, 2)), ' ') END END), '') AS bigrams
+    FROM (SELECT doc_id, regexp_extract_all(coalesce({_HAN}, ''), '(\p{{Han}}+|\P{{Han}}+)') AS runs FROM documents)"""
+)
+def bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.bigram_tokenize(F.translate("text", "aeoun", "苹果香蕉发")).alias("bigrams"))
+
+
+_TOKENS = r"regexp_extract_all(lower(strip_accents({})), '[\p{{L}}\p{{N}}\p{{Co}}]+')"
+
+
+@query(f"SELECT doc_id, array_to_string({_TOKENS.format('text')}, ' ') AS tokens FROM documents WHERE text IS NOT NULL")
+def folded_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.array_join(text.index_tokens("text"), " ").alias("tokens"))
+
+
+@query(
+    r"""SELECT p_partkey, regexp_replace(p_name, '[/\\:*?"<>|]', '_', 'g') AS plain, CASE WHEN p_partkey % 3 = 0 THEN '_con' WHEN p_partkey % 3 = 1 THEN 'a_b_' || p_size ELSE p_brand END AS odd,
+    '&amp; ' || replace(replace(replace(replace(replace(p_name || ' <' || p_type || '> "x" & ''y''', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&#34;'), '''', '&#39;') AS escaped,
+    '<p>' || p_name || '<br/>' || p_type || ' &lt; 3</p>' AS xhtml, '<br clear="all"/>' || p_name || ' &amp; <img src="x"/> &amp; &#123;' AS html FROM part"""
+)
+def export_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey") % 3
+    odd = F.when(k == 0, F.lit(" con. ")).when(k == 1, F.concat(F.lit("..a/b\t"), "p_size")).otherwise(F.concat(F.lit(" "), "p_brand", F.lit(".. ")))
+    odd = F.when(k == 0, F.lit(" con ")).otherwise(odd)
+    lines = F.concat("p_name", F.lit("\n"), "p_type", F.lit(" < 3"))
+    marked = F.concat(F.lit('<br clear="all">'), "p_name", F.lit(' & <img src="x"> &amp; &#123;'))
+    return p.select(
+        "p_partkey", text.safe_name("p_name").alias("plain"), text.safe_name(odd).alias("odd"), F.concat(F.lit("&amp; "), text.xml_escape(F.concat("p_name", F.lit(" <"), "p_type", F.lit("> \"x\" & 'y'")))).alias("escaped"),
+        text.body_to_xhtml(lines, F.lit("text/plain")).alias("xhtml"), text.body_to_xhtml(marked, F.lit("text/html")).alias("html"),
+    )
+
+
+@query(
+    """SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_brand || ',' || p_type END AS tags, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_name END AS name,
+    CASE WHEN p_size % 10 <= 0 THEN i ELSE least(i * (1 << least(p_size % 10, 6)), greatest(i, 86400)) END AS wait FROM (SELECT *, (CASE WHEN p_size % 4 = 0 THEN 1800 ELSE p_size * 60 END)::BIGINT AS i FROM part)"""
+)
+def json_and_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    bad = F.col("p_partkey") % 5 == 0
+    tags = F.when(bad, F.lit("[1,")).otherwise(F.to_json(F.array("p_brand", "p_type")))
+    extra = F.when(bad, F.lit("")).otherwise(F.to_json(F.create_map(F.lit("name"), "p_name")))
+    interval = F.when(F.col("p_size") % 4 == 0, F.lit(0)).otherwise(F.col("p_size") * 60)
+    return p.select("p_partkey", F.array_join(text.parse_tags(tags), ",").alias("tags"), text.parse_extra(extra)["name"].alias("name"), text.effective_interval(interval, F.col("p_size") % 10).alias("wait"))
+
+
+@query("""SELECT doc_id, '<p>' || replace(replace(left(text, 80), '''', '&#39;'), '"', '&#34;') || '</p>' || CASE WHEN doc_id % 2 = 0 THEN '<a href="/x" rel="nofollow">t</a>' ELSE 't' END AS clean FROM documents WHERE NOT regexp_matches(left(text, 80), '[<>&]')""")
+def sanitized_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "documents").where(~F.left("text", F.lit(80)).rlike("[<>&]"))
+    href = F.when(F.col("doc_id") % 2 == 0, F.lit("/x")).otherwise(F.lit("javascript:go()"))
+    fragment = F.concat(F.lit('<p onclick="x" style="y">'), F.left("text", F.lit(80)), F.lit('</p><script>bad()</script><a href="'), href, F.lit('">t</a><iframe src="z">hidden</iframe>'))
+    return t.select("doc_id", html.sanitize_html(fragment).alias("clean"))
+
+
+@query()
+def sanitized_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", html.sanitize_html("html").alias("clean"))
+
+
+# -- sources --------------------------------------------------------------------------
+
+
+def _feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A feed document for each item: RSS, Atom or JSON Feed by turns, some broken."""
+    i = d.items(spark, sf_dir)
+    title, body, when = text.xml_escape(text.collapse_white("title")), text.xml_escape(text.collapse_white("summary")), F.col("published_at")
+    fmt = F.col("pos") % 3
+    rss = F.concat(F.lit("<rss><channel><title>ch</title><item><title>"), title, F.lit("</title><guid>"), "guid", F.lit("</guid><description>"), body, F.lit("</description><pubDate>"), F.concat(F.lit("Mon, "), F.date_format(when, "dd MMM yyyy HH:mm:ss"), F.lit(" GMT")), F.lit("</pubDate></item></channel></rss>"))
+    atom = F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><title>ch</title><entry><id>'), "guid", F.lit('</id><link rel="self" href="s"/><link href="'), "guid", F.lit('"/><title>'), title, F.lit("</title><content>"), body, F.lit("</content><updated>"), F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("</updated></entry></feed>"))
+    js = F.to_json(F.struct(F.lit("ch").alias("title"), F.array(F.struct(F.col("guid").alias("id"), F.col("guid").alias("url"), text.collapse_white("title").alias("title"), text.collapse_white("summary").alias("content_text"), F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date_published"))).alias("items")))
+    whole = F.when(fmt == 0, rss).when(fmt == 1, atom).otherwise(js)
+    broken = F.col("pos") % 17 == 16
+    return i.select("source_id", F.col("guid").alias("doc_id"), F.lit("").alias("base_url"), "fetched_at", F.when(broken, F.left(whole, F.length(whole) - 3)).otherwise(whole).alias("body"), F.lit("").alias("etag"), F.lit("").alias("last_modified"))
+
+
+_CLEAN = lambda c: f"trim(regexp_replace({c}, '[\\t-\\r ]+', ' ', 'g'), ' ')"
+
+
+@query(with_sql("items", f"SELECT source_id, guid AS doc_id, guid, guid AS url, {_CLEAN('title')} AS title, {_CLEAN('summary')} AS content, published_at, CASE WHEN pos % 3 = 2 THEN 'text/plain' ELSE 'text/html' END AS content_type FROM items WHERE pos % 17 <> 16"))
+def feed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feeds.parse_feed(_feeds(spark, sf_dir)).select("source_id", "doc_id", "guid", "url", "title", "content", "published_at", "content_type")
+
+
+@query(with_sql("items", "SELECT guid AS doc_id, CASE WHEN pos % 17 = 16 THEN '' ELSE 'ch' END AS title, pos % 17 = 16 AS failed FROM items"))
+def feed_title_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feeds.feed_titles(_feeds(spark, sf_dir)).select("doc_id", "title", (F.col("error") != "").alias("failed"))
+
+
+def _raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages")
+    return p.select((F.col("page_id") % 10).alias("source_id"), F.col("page_id").cast("string").alias("doc_id"), F.lit("https://example.com/list").alias("base_url"), F.lit(d.NOW).cast("timestamp").alias("fetched_at"), F.col("html").alias("body"))
+
+
+@query(
+    r"""SELECT page_id::VARCHAR AS doc_id, (i - 1)::INT AS pos, 'https://example.com' || regexp_extract(a, 'href="([^"]*)"', 1) AS url, trim(regexp_replace(regexp_extract(a, '>([^<]*)<', 1), '\s+', ' ', 'g')) AS title
+    FROM (SELECT page_id, unnest(l) AS a, generate_subscripts(l, 1) AS i FROM (SELECT page_id, regexp_extract_all(regexp_extract(html, '<nav>.*?</nav>'), '<a href="/[^"]*">[^<]*</a>') AS l FROM pages))"""
+)
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.parse_page_list(_raw_pages(spark, sf_dir), "nav ul li a").select("doc_id", "pos", "url", "title")
+
+
+@query(r"SELECT page_id::VARCHAR AS doc_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title FROM pages")
+def page_title_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.page_titles(_raw_pages(spark, sf_dir)).select("doc_id", "title")
+
+
+@query(with_sql("items", "SELECT source_id, pos FROM (SELECT source_id, pos, max(CASE WHEN pos % 7 = 3 THEN pos END) OVER (PARTITION BY source_id) AS stop FROM items) WHERE stop IS NULL OR pos < stop"))
+def cursor_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = d.items(spark, sf_dir)
+    cursors = i.where("pos % 7 = 3").groupBy("source_id").agg(F.max_by("url", "pos").alias("newest_url")).select("source_id", F.to_json(F.struct("newest_url")).alias("cursor"))
+    return pages.cut_at_cursor(i, cursors)[0].select("source_id", "pos")
+
+
+@query(with_sql("items", "SELECT source_id, CASE WHEN stop = low THEN '{\"newest_url\":\"HTTPS://Example.com/Post/' || stop || '/#top\"}' ELSE '{\"newest_url\":\"HTTPS://Example.com/Post/' || low || '/#top\"}' END AS cursor FROM (SELECT source_id, min(pos) AS low, max(CASE WHEN pos % 7 = 3 THEN pos END) AS stop FROM items GROUP BY source_id)"))
+def cursor_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = d.items(spark, sf_dir)
+    cursors = i.where("pos % 7 = 3").groupBy("source_id").agg(F.max_by("url", "pos").alias("newest_url")).select("source_id", F.to_json(F.struct("newest_url")).alias("cursor"))
+    return pages.cut_at_cursor(i, cursors)[1]
+
+
+def _parts(spark: SparkSession, sf_dir: str, data) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    ok = F.col("p_partkey") % 6 != 0
+    body = F.to_json(F.struct(ok.alias("ok"), F.lit("1").alias("schema_version"), F.when(ok, data).alias("data"), F.when(~ok, F.struct(F.lit("denied").alias("code"), F.col("p_brand").alias("message"))).alias("error")))
+    return p.select((F.col("p_partkey") % 3).cast("long").alias("source_id"), F.col("p_partkey").cast("string").alias("doc_id"), F.lit(d.NOW).cast("timestamp").alias("fetched_at"), body.alias("body"))
+
+
+@query("SELECT p_partkey::VARCHAR AS doc_id, CASE WHEN p_partkey % 6 = 0 THEN p_brand || '（denied）' ELSE '' END AS error, p_partkey % 6 <> 0 AS has_data FROM part")
+def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.unpack_envelope(_parts(spark, sf_dir, F.array("p_name"))).select("doc_id", "error", (F.col("data") != "").alias("has_data"))
+
+
+@query(
+    """SELECT p_partkey::VARCHAR AS doc_id, CASE WHEN p_size % 2 = 0 THEN 'BV' || p_partkey ELSE 'id' || p_partkey END AS guid, 'https://www.bilibili.com/video/' || CASE WHEN p_size % 2 = 0 THEN 'BV' || p_partkey ELSE 'id' || p_partkey END AS url,
+    p_name AS title, p_brand AS author, CASE WHEN p_size % 5 <> 0 THEN TIMESTAMP '2024-03-01 10:00:00' + to_seconds(p_size) END AS published_at, p_size % 5 = 0 AS inferred_time, CASE WHEN p_size % 5 = 0 THEN 'soon' END AS raw FROM part WHERE p_partkey % 6 <> 0"""
+)
+def watch_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    when = F.when(F.col("p_size") % 5 == 0, F.lit(" soon ")).otherwise(F.date_format(F.timestamp_seconds(F.lit(1709287200) + F.col("p_size")), "yyyy-MM-dd'T'HH:mm:ss"))
+    row = F.struct(F.concat(F.lit("id"), "p_partkey").alias("id"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("BV"), "p_partkey")).alias("bvid"), F.col("p_name").alias("title"), F.col("p_brand").alias("author"), when.alias("viewed_at"))
+    items = personal.map_history(personal.unpack_envelope(_parts(spark, sf_dir, F.array(row))))
+    return items.select("doc_id", "guid", "url", "title", "author", "published_at", "inferred_time", F.col("extra")["viewed_at"].alias("raw"))
+
+
+@query("SELECT p_partkey::VARCHAR AS doc_id, 'BV' || p_partkey AS guid, p_type AS author, CASE WHEN p_size % 4 <> 0 THEN (p_size % 4)::VARCHAR END AS seconds, true AS inferred_time FROM part WHERE p_partkey % 6 <> 0")
+def favorites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row = F.struct(F.concat(F.lit("BV"), "p_partkey").alias("bvid"), F.col("p_name").alias("title"), (F.col("p_size") % 4).alias("duration_seconds"), F.struct(F.col("p_type").alias("name")).alias("upper"))
+    items = personal.map_favorites(personal.unpack_envelope(_parts(spark, sf_dir, F.array(row))))
+    return items.select("doc_id", "guid", "author", F.col("extra")["duration_seconds"].alias("seconds"), "inferred_time")
+
+
+def _details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Details of the videos ``doc-<p_partkey>``."""
+    stats = F.struct(F.col("p_size").alias("view"), (F.col("p_size") * 2).alias("like"))
+    cover = F.concat(F.lit("http://img/"), "p_partkey")
+    video = F.struct(F.concat(F.lit("doc-"), "p_partkey").alias("bvid"), F.concat(F.lit(" "), "p_name").alias("title"), F.when(F.col("p_size") % 3 != 0, F.col("p_type")).alias("description"), cover.alias("cover"), F.struct(F.col("p_brand").alias("name")).alias("owner"), stats.alias("stats"))
+    return personal.parse_video_detail(personal.unpack_envelope(_parts(spark, sf_dir, F.struct(video.alias("video"), F.struct(F.lit("sub ").alias("text")).alias("subtitle")))).where("error = ''"))
+
+
+@query("SELECT 'doc-' || p_partkey AS bvid, trim(p_name) AS title, CASE WHEN p_size % 3 <> 0 THEN p_type ELSE '' END AS description, p_brand AS owner, 'https://img/' || p_partkey AS cover, p_size::BIGINT AS view, 0::BIGINT AS coin, 'sub' AS subtitle FROM part WHERE p_partkey % 6 <> 0")
+def video_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _details(spark, sf_dir).select("bvid", "title", "description", "owner", "cover", "view", "coin", "subtitle")
+
+
+@query(
+    with_sql(
+        "items",
+        "SELECT pos, CASE WHEN p_size % 3 <> 0 THEN p_type ELSE summary END AS summary, p_size::VARCHAR AS views, n_chars::VARCHAR AS chars FROM items LEFT JOIN (SELECT * FROM part WHERE p_partkey % 6 <> 0) ON p_partkey = pos",
+    )
+)
+def enriched_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.enrich_new(d.items(spark, sf_dir), _details(spark, sf_dir)).select("pos", "summary", F.col("extra")["bili_view"].alias("views"), F.col("extra")["chars"].alias("chars"))
+
+
+@query(with_sql("entries", "SELECT count(*) FILTER (p_size % 3 <> 0) AS backfilled, count(*) AS total FROM entries LEFT JOIN (SELECT * FROM part WHERE p_partkey % 6 <> 0) ON p_partkey = id WHERE NOT deleted AND id % 2 = 0"))
+def backfill_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = d.entries(spark, sf_dir).withColumn("summary", F.when(F.col("id") % 2 == 0, F.lit("")).otherwise(F.col("summary")))
+    return personal.backfill(e, _details(spark, sf_dir), None, d.NOW)[1]
+
+
+# -- dedup and ingest -----------------------------------------------------------------
+
+
+@query(
+    with_sql(
+        "items entries",
+        f"""SELECT i.pos, CASE WHEN g.guid IS NOT NULL THEN 'guid' WHEN h.content_hash IS NOT NULL THEN 'hash' END AS reason FROM items i
+        LEFT JOIN (SELECT DISTINCT source_id, guid FROM entries WHERE NOT deleted AND id % 4 = 0) g ON g.source_id = i.source_id AND g.guid = i.guid
+        LEFT JOIN (SELECT DISTINCT content_hash FROM entries WHERE NOT deleted AND id % 4 = 0) h ON h.content_hash = {hash_sql("i.title", "i.content")}""",
+    )
+)
+def known_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items held against a store with every fourth entry."""
+    cands = ingest.with_keys(d.items(spark, sf_dir)).withColumn("ord", F.struct("source_id", "pos"))
+    return dedup.reject_known(cands, dedup.entry_keys(d.entries(spark, sf_dir).where("id % 4 = 0"))).select("pos", "reason")
+
+
+def _colliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items whose guids, urls and contents meet in chains."""
+    i = d.items(spark, sf_dir)
+    return ingest.with_keys(i.withColumns({"guid": F.concat(F.lit("g"), F.floor(F.col("pos") / 2)), "url": F.concat(F.lit("https://e.com/"), F.floor((F.col("pos") + 1) / 3))}))
+
+
+@query()
+def three_layer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = dedup.dedup_first_wins(_colliding(spark, sf_dir), ["source_id", "pos"])
+    return judged.select("source_id", "pos", "accepted", "reason", F.col("winner.pos").alias("winner_pos"))
+
+
+@query(with_sql("items", f"SELECT row_number() OVER (ORDER BY source_id, pos) + 100 AS id, source_id, guid, {_H} AS content_hash, 'https://example.com/Post/' || pos AS url FROM (SELECT *, row_number() OVER (PARTITION BY {_H} ORDER BY source_id, pos) AS rn FROM items) WHERE rn = 1"))
+def ingested_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents into a store whose one entry is deleted and numbered 100."""
+    store = d.entries(spark, sf_dir).where("id = 0").withColumns({"id": F.lit(100).cast("long"), "deleted": F.lit(True)})
+    return ingest.ingest(d.items(spark, sf_dir), store, d.NOW).entries.select("id", "source_id", "guid", "content_hash", "url")
+
+
+@query(with_sql("items", f"SELECT count(DISTINCT source_id) AS sources, count(*) FILTER (rn = 1) AS inserted, count(*) FILTER (rn > 1)::BIGINT AS skipped, 0::BIGINT AS errors FROM (SELECT *, row_number() OVER (PARTITION BY {_H} ORDER BY source_id, pos) AS rn FROM items)"))
+def ingest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.ingest(d.items(spark, sf_dir), d.entries(spark, sf_dir).limit(0), d.NOW).summary
+
+
+# -- lists ----------------------------------------------------------------------------
+
+
+@query(with_sql("entries state", "SELECT id, source_id FROM entries LEFT JOIN state ON entry_id = id WHERE NOT deleted AND coalesce(read, false) = false AND coalesce(favorite, false) = false"))
+def filtered_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.filter_entries(d.entries(spark, sf_dir), d.state(spark, sf_dir), read=False, favorite=False).select("id", "source_id")
+
+
+@query(with_sql("entries", "SELECT id, published_at FROM entries WHERE NOT deleted AND source_id = 2 ORDER BY published_at DESC, id DESC LIMIT 20 OFFSET 20"))
+def entry_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.list_entries(d.entries(spark, sf_dir), page=2, page_size=20, source_id=2).select("id", "published_at")
+
+
+@query(with_sql("entries", "SELECT count(*) AS total FROM entries WHERE NOT deleted"))
+def entry_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.total_of(listing.filter_entries(d.entries(spark, sf_dir)))
+
+
+@query(with_sql("entries", "SELECT source_id, id, row_number() OVER (PARTITION BY source_id ORDER BY published_at DESC, id DESC) AS place FROM entries WHERE NOT deleted"))
+def all_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = W.partitionBy("source_id").orderBy(*listing.newest_first())
+    return listing.list_all_entries(d.entries(spark, sf_dir)).select("source_id", "id", F.row_number().over(order).alias("place"))
+
+
+@query(with_sql("entries state", "SELECT id, coalesce(read, false) AS read, coalesce(favorite, false) AS favorite, coalesce(archive, false) AS archive, coalesce(read_later, false) AS read_later FROM entries LEFT JOIN state ON entry_id = id"))
+def entries_with_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.with_state(d.entries(spark, sf_dir), d.state(spark, sf_dir)).select("id", "read", "favorite", "archive", "read_later")
+
+
+@query(with_sql("entries state", "SELECT id, updated_at AS marked_at FROM entries JOIN state ON entry_id = id WHERE NOT deleted AND read_later ORDER BY updated_at DESC, id DESC LIMIT 50"))
+def read_later_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.read_later(d.entries(spark, sf_dir), d.state(spark, sf_dir)).select("id", "marked_at")
+
+
+@query(
+    with_sql(
+        "entries state state_events",
+        """, ok AS (SELECT e.* FROM state_events e JOIN entries n ON n.id = e.entry_id AND NOT n.deleted),
+    old AS (UNPIVOT (SELECT entry_id, read, favorite, archive, read_later FROM state) ON read, favorite, archive, read_later INTO NAME flag VALUE old),
+    c AS (SELECT ok.*, coalesce(lag(value) OVER (PARTITION BY ok.entry_id, ok.flag ORDER BY ts, seq), old, false) AS prev FROM ok LEFT JOIN old ON old.entry_id = ok.entry_id AND old.flag = ok.flag),
+    l AS (SELECT entry_id, max(ts) AS changed_at, arg_max(value, (ts, seq)) FILTER (flag = 'read') AS r, arg_max(value, (ts, seq)) FILTER (flag = 'favorite') AS f, arg_max(value, (ts, seq)) FILTER (flag = 'archive') AS a, arg_max(value, (ts, seq)) FILTER (flag = 'read_later') AS l
+        FROM c WHERE value <> prev GROUP BY entry_id)
+    SELECT coalesce(s.entry_id, l.entry_id) AS entry_id, coalesce(r, read, false) AS read, coalesce(f, favorite, false) AS favorite, coalesce(a, archive, false) AS archive, coalesce(l.l, read_later, false) AS read_later, coalesce(changed_at, updated_at) AS updated_at
+    FROM state s FULL JOIN l ON l.entry_id = s.entry_id""",
+    )
+)
+def folded_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.apply_state_events(d.state(spark, sf_dir), d.state_events(spark, sf_dir), d.entries(spark, sf_dir))
+
+
+@query(with_sql("entries state", "SELECT entry_id, read, favorite, archive, read_later FROM state UNION ALL SELECT id, false, false, false, true FROM entries WHERE id % 2 = 1 AND id NOT IN (SELECT entry_id FROM state)"))
+def migrated_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = d.entries(spark, sf_dir).select("id", (F.col("id") % 2).cast("int").alias("read_later"), "updated_at")
+    return state.migrate_read_later(old, d.state(spark, sf_dir)).drop("updated_at")
+
+
+@query(with_sql("entries", "SELECT id, CASE WHEN id % 5 = 0 THEN 'new' ELSE title END AS title FROM entries"))
+def merged_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = d.entries(spark, sf_dir).select("id", "title")
+    return tables.merge_snapshot(e, e.where("id % 5 = 0").withColumn("title", F.lit("new")), "id")
+
+
+@query(with_sql("entries", "SELECT id, deleted OR id % 6 = 0 AS deleted, CASE WHEN NOT deleted AND id % 6 = 0 THEN TIMESTAMP '2024-07-01' ELSE fetched_at END AS updated_at FROM entries"))
+def soft_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = d.entries(spark, sf_dir)
+    return tables.soft_delete(e, e.where("id % 6 = 0").select("id"), "2024-07-01 00:00:00").select("id", "deleted", "updated_at")
+
+
+@query("SELECT source_id, cursor FROM (SELECT user_id AS source_id, arg_max(CASE WHEN event_id % 4 = 0 THEN '' ELSE 'c' || event_id END, ts::VARCHAR || lpad(CASE WHEN event_id % 4 = 0 THEN '' ELSE 'c' || event_id END, 20, ' ')) AS cursor FROM events GROUP BY user_id) WHERE cursor <> ''")
+def advanced_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    updates = e.select(F.col("user_id").alias("source_id"), F.when(F.col("event_id") % 4 == 0, F.lit("")).otherwise(F.concat(F.lit("c"), "event_id")).alias("cursor"), F.col("ts").alias("updated_at"))
+    old = e.select(F.col("user_id").alias("source_id")).distinct().select("source_id", F.lit("old").alias("cursor"), F.lit(d.NOW).cast("timestamp").alias("updated_at"))
+    return tables.advance_cursors(old, updates).select("source_id", "cursor")
+
+
+# -- search ---------------------------------------------------------------------------
+
+_T = _TOKENS.format
+_WORDS = ("que", "the", "and", "de", "der", "para", "éou", "of the", "en", "und")
+
+
+@query(with_sql("entries", f"SELECT id FROM entries WHERE NOT deleted AND list_contains({_T('title')} || {_T('summary')} || {_T('content')}, 'the') AND list_contains({_T('title')} || {_T('summary')} || {_T('content')}, 'and')"))
+def scanned_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.matching_entries(d.entries(spark, sf_dir), "The  AND").select("id")
+
+
+@query(with_sql("entries", f"""SELECT id, published_at FROM entries WHERE NOT deleted AND list_contains({_T('content')}, 'que') ORDER BY published_at DESC, id DESC LIMIT 50"""))
+def search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search_entries(d.entries(spark, sf_dir), "qué")[0].select("id", "published_at")
+
+
+@query(with_sql("entries", f"SELECT token, count(*) AS n, count(DISTINCT id) AS n_entries FROM (SELECT id, unnest({_T('title')} || {_T('summary')} || {_T('content')}) AS token FROM entries WHERE NOT deleted) GROUP BY token"))
+def index_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.build_search_index(d.entries(spark, sf_dir)).groupBy("token").agg(F.count("*").alias("n"), F.countDistinct("entry_id").alias("n_entries"))
+
+
+@query(with_sql("entries", f"SELECT token, count(*) AS n FROM (SELECT unnest({_T('title')} || {_T('summary')} || CASE WHEN id % 3 = 0 THEN ['changed'] ELSE {_T('content')} END) AS token FROM entries WHERE NOT deleted AND id % 12 <> 0) GROUP BY token"))
+def updated_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = d.entries(spark, sf_dir)
+    changed = e.where("id % 3 = 0").withColumns({"content": F.lit("changed"), "deleted": F.col("deleted") | (F.col("id") % 12 == 0)})
+    return search.update_search_index(search.build_search_index(e), changed).groupBy("token").agg(F.count("*").alias("n"))
+
+
+@query(
+    with_sql(
+        "entries",
+        f""", t AS (SELECT id, {_T('title')} AS a, {_T('summary')} AS b, {_T('content')} AS c FROM entries WHERE NOT deleted),
+    q AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{w.split()[0]}', '{w.split()[-1]}')" for i, w in enumerate(_WORDS))}) AS v(query_id, x, y))
+    SELECT query_id::BIGINT AS query_id, id AS entry_id FROM q JOIN t ON list_contains(a || b || c, lower(strip_accents(x))) AND list_contains(a || b || c, lower(strip_accents(y)))""",
+    )
+)
+def batch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = d.entries(spark, sf_dir)
+    queries = spark.createDataFrame([(i, w) for i, w in enumerate(_WORDS)], "query_id long, q string")
+    return search.search_batch(queries, search.build_search_index(e))
+
+
+@query(
+    with_sql(
+        "entries",
+        f""", t AS (SELECT id, ' ' || array_to_string({_T('content')}, ' ') || ' ' AS c FROM entries WHERE NOT deleted)
+    SELECT q.id AS query_id, t.id AS entry_id FROM (SELECT id, {_T('content')}[2:4] AS w FROM entries WHERE NOT deleted AND id % 50 = 1) q JOIN t ON contains(t.c, ' ' || array_to_string(w, ' ') || ' ')""",
+    )
+)
+def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every fiftieth entry a phrase of three of its words, against all."""
+    e = d.entries(spark, sf_dir).withColumns({"title": F.lit(""), "summary": F.lit("")})
+    words = F.slice(text.index_tokens("content"), F.lit(2), F.lit(3))
+    queries = e.where("NOT deleted AND id % 50 = 1").select(F.col("id").alias("query_id"), F.array_join(words, "-").alias("q"))
+    return search.search_batch(queries, search.build_search_index(e))
+
+
+# -- health ---------------------------------------------------------------------------
+
+
+@query(with_sql("entries", "SELECT source_id, max(published_at) AS latest FROM entries WHERE NOT deleted GROUP BY source_id"))
+def latest_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return health.latest_publish(d.entries(spark, sf_dir))
+
+
+_STATS = "SELECT source_id, count(*) AS total, count(*) FILTER (success) AS success, max(started_at) FILTER (success) AS last_success_at, arg_max(started_at, id) AS last_started_at, arg_max(elapsed_ms, id) AS last_elapsed_ms FROM fetch_log GROUP BY source_id"
+
+
+@query(with_sql("fetch_log", _STATS))
+def fetch_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return health.fetch_stats(d.fetch_log(spark, sf_dir))
+
+
+@query(
+    with_sql(
+        "fetch_log",
+        """, o AS (SELECT source_id, coalesce(max(id) FILTER (success), -1) AS ok FROM fetch_log GROUP BY source_id)
+    SELECT source_id, count(*) FILTER (NOT success AND id > ok) AS fail_count, coalesce(arg_max(error, id) FILTER (NOT success AND id > ok), '') AS last_error FROM fetch_log JOIN o USING (source_id) GROUP BY source_id""",
+    )
+)
+def health_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return health.source_health(d.fetch_log(spark, sf_dir))
+
+
+@query(
+    with_sql(
+        "entries sources fetch_log",
+        f""", l AS (SELECT source_id, max(published_at) AS latest FROM entries WHERE NOT deleted GROUP BY source_id), s AS ({_STATS})
+    SELECT id, name, latest, coalesce(total, 0) AS total, coalesce(success, 0) AS success, CASE WHEN total > 0 THEN success / total ELSE 0 END AS success_rate, last_success_at, last_started_at, last_elapsed_ms
+    FROM sources LEFT JOIN l ON l.source_id = id LEFT JOIN s ON s.source_id = id WHERE NOT deleted""",
+    )
+)
+def source_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return health.source_overview(d.sources(spark, sf_dir), d.entries(spark, sf_dir), d.fetch_log(spark, sf_dir))
+
+
+@query(with_sql("sources", "SELECT id, name FROM sources WHERE NOT deleted AND enabled"))
+def enabled_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return health.active_sources(d.sources(spark, sf_dir), enabled_only=True).select("id", "name")
+
+
+@query(
+    with_sql(
+        "sources fetch_log",
+        """, r AS (SELECT source_id, arg_max(started_at, id) AS ran_at, arg_max(elapsed_ms, id) AS ms FROM fetch_log GROUP BY source_id),
+    w AS (SELECT *, CASE WHEN "interval" > 0 THEN "interval" ELSE 1800 END::BIGINT AS base FROM sources WHERE enabled AND NOT deleted),
+    x AS (SELECT id, ran_at + to_milliseconds(ms) + to_seconds(CASE WHEN fail_count <= 0 THEN base ELSE least(base * (1 << least(fail_count, 6)), greatest(base, 86400)) END) AS due_at FROM w LEFT JOIN r ON r.source_id = w.id)
+    SELECT id, due_at FROM x WHERE due_at IS NULL OR due_at <= (SELECT max(started_at) + INTERVAL 6 HOUR FROM fetch_log)""",
+    )
+)
+def sources_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = d.fetch_log(spark, sf_dir)
+    now = log.agg(F.max("started_at") + F.expr("INTERVAL 6 HOURS")).first()[0]
+    return health.due_sources(d.sources(spark, sf_dir), log, F.lit(now))
+
+
+@query(with_sql("fetch_log", "SELECT id, source_id FROM fetch_log WHERE source_id = 3 ORDER BY id DESC LIMIT 50"))
+def last_fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.recent_fetch_logs(d.fetch_log(spark, sf_dir), 3, 0).select("id", "source_id")
+
+
+@query(with_sql("fetch_log", "SELECT id, source_id FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY id DESC) AS rank FROM fetch_log) WHERE rank <= 10"))
+def last_fetches_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.recent_fetch_logs_by_source(d.fetch_log(spark, sf_dir), 10).select("id", "source_id")
+
+
+@query(with_sql("fetch_log", "SELECT count(*) AS n, sum(id)::BIGINT AS ids FROM (SELECT id FROM fetch_log UNION ALL SELECT id FROM fetch_log WHERE id % 5 <> 0)"))
+def logged_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = d.fetch_log(spark, sf_dir)
+    return health.log_runs(log, log.withColumn("cancelled", F.col("id") % 5 == 0)).agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+
+
+# -- exports --------------------------------------------------------------------------
+
+
+@query(with_sql("entries", "SELECT count(*) AS total, count(DISTINCT source_id) AS sources FROM entries WHERE NOT deleted"))
+def exported_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.export_summary(listing.filter_entries(d.entries(spark, sf_dir)))
+
+
+@query(
+    with_sql(
+        "entries sources",
+        """SELECT e.id, s.name AS source, e.title, strftime(e.published_at, '%Y-%m-%dT%H:%M:%SZ') AS published_at, e.content, e.lang AS tag, e.n_chars::VARCHAR AS chars, 0 AS authors
+    FROM entries e LEFT JOIN (SELECT * FROM sources WHERE NOT deleted) s ON s.id = e.source_id WHERE NOT e.deleted""",
+    )
+)
+def exported_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON lines, read back."""
+    lines = export.export_json(listing.filter_entries(d.entries(spark, sf_dir)), d.sources(spark, sf_dir))
+    get = lambda p: F.get_json_object("line", p)
+    return lines.select("id", get("$.source").alias("source"), get("$.title").alias("title"), get("$.published_at").alias("published_at"), get("$.content").alias("content"), get("$.tags[0]").alias("tag"), get("$.extra.chars").alias("chars"), F.when(F.col("line").contains('"author"'), 1).otherwise(0).alias("authors"))
+
+
+_DIR_SQL = "coalesce(replace(replace(s.name, '/', '_'), ':', '_'), 'source-' || e.source_id) || '/' || strftime(e.published_at, '%Y-%m')"
+
+
+@query(
+    with_sql(
+        "entries sources",
+        f"""SELECT id, dir || '/' || base || CASE WHEN k > 1 THEN '-' || k ELSE '' END || '.md' AS path FROM (SELECT *, row_number() OVER (PARTITION BY dir, base ORDER BY published_at DESC, id DESC) AS k FROM (
+    SELECT e.id, e.published_at, {_DIR_SQL} AS dir, 't' || e.id % 7 AS base FROM entries e LEFT JOIN (SELECT * FROM sources WHERE NOT deleted) s ON s.id = e.source_id WHERE NOT e.deleted))""",
+    )
+)
+def markdown_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = listing.filter_entries(d.entries(spark, sf_dir)).withColumn("title", F.concat(F.lit("t"), F.col("id") % 7))
+    return export.export_markdown(e, d.sources(spark, sf_dir)).select("id", "path")
+
+
+@query(
+    with_sql(
+        "entries sources",
+        r"""SELECT e.id, '---' || chr(10) || 'title: "' || e.id || '"' || chr(10) || 'url: "' || e.url || '"' || chr(10) || 'source: "' || coalesce(s.name, 'source-' || e.source_id) || '"' || chr(10) || 'guid: "' || e.guid || '"' || chr(10)
+    || 'published_at: "' || strftime(e.published_at, '%Y-%m-%dT%H:%M:%SZ') || '"' || chr(10) || 'fetched_at: "2024-06-01T00:00:00Z"' || chr(10) || 'content_type: "text/plain"' || chr(10) || 'tags:' || chr(10) || '    - "' || e.lang || '"' || chr(10)
+    || 'extra:' || chr(10) || '    "chars": "' || e.n_chars || '"' || chr(10) || '---' || chr(10) || chr(10) || e.content || CASE WHEN e.content = '' OR ends_with(e.content, chr(10)) THEN '' ELSE chr(10) END AS text
+    FROM entries e LEFT JOIN (SELECT * FROM sources WHERE NOT deleted) s ON s.id = e.source_id WHERE NOT e.deleted AND e.content <> ''""",
+    )
+)
+def markdown_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = listing.filter_entries(d.entries(spark, sf_dir)).where("content <> ''").withColumn("title", F.col("id").cast("string"))
+    return export.export_markdown(e, d.sources(spark, sf_dir)).select("id", "text")
+
+
+_MONTH = "strftime(published_at, '%Y-%m')"
+
+
+@query(with_sql("entries", f"SELECT source_id, {_MONTH} AS month, row_number() OVER (PARTITION BY source_id ORDER BY max(published_at) DESC) AS chapter, string_agg(id::VARCHAR, ',' ORDER BY published_at DESC, id DESC) AS ids FROM entries WHERE NOT deleted GROUP BY source_id, month"))
+def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = export.month_chapters(listing.filter_entries(d.entries(spark, sf_dir)))
+    return c.select("source_id", "month", "chapter", F.array_join("ids", ",").alias("ids"))
+
+
+@query(with_sql("entries", f"SELECT source_id, 'chapter-' || {_MONTH} || '.xhtml' AS file_name, count(*) AS articles FROM entries WHERE NOT deleted GROUP BY source_id, {_MONTH}"))
+def epub_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = export.export_epub_chapters(listing.filter_entries(d.entries(spark, sf_dir)), d.sources(spark, sf_dir))
+    return c.select("source_id", "file_name", (F.size(F.split("xhtml", "<article>")) - 1).cast("long").alias("articles"))
+
+
+@query()
+def epub_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    books = export.export_epub(listing.filter_entries(d.entries(spark, sf_dir)), d.sources(spark, sf_dir))
+    return books.select("source_id", "file_name", F.length("content").alias("n_bytes"))
+
+
+# -- streams --------------------------------------------------------------------------
+
+
+def _progress(events: DataFrame) -> DataFrame:
+    return events.select((F.col("user_id") % 20 + 1).alias("source_id"), F.col("event_type").alias("type"), "ts", (F.col("event_id") % 4).alias("inserted"), (F.col("event_id") % 3).alias("skipped"))
+
+
+@query("SELECT user_id % 20 + 1 AS source_id, event_type AS type, count(*) AS events, sum(event_id % 4)::BIGINT AS inserted, sum(event_id % 3)::BIGINT AS skipped, max(ts) AS last_at FROM events GROUP BY ALL")
+def progress_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams.run_progress(_progress(table(spark, sf_dir, "events")))
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, user_id % 20 + 1 AS source_id, event_type AS type, count(*) AS events FROM events GROUP BY ALL")
+def progress_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams.windowed_progress(_progress(table(spark, sf_dir, "events")))
+
+
+@query("SELECT user_id % 20 + 1 AS source_id, event_type AS type, count(*) AS events, sum(event_id % 4)::BIGINT AS inserted, sum(event_id % 3)::BIGINT AS skipped, max(ts) AS last_at FROM events GROUP BY ALL")
+def streamed_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stream over the events' file, batch by batch."""
+    base = f"{tables.shared_dir(spark)}/progress-{spark.sql('SELECT uuid()').first()[0]}"
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern may name a file or a folder
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.parquet(f"{base}/out/{number}")
+
+    streams.run_progress(_progress(events)).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out/0")
