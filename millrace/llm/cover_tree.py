@@ -138,7 +138,7 @@ def _blocks(placed: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     """Rows with their block (cover, part), and block, n, radius of the blocks: a
     cover with many rows is cut by a hash of the id."""
     n = placed.groupBy("cover").agg(F.count("*").alias("n")).collect()  # a row a pivot
-    parts = F.create_map(*(F.lit(x) for r in n for x in (r["cover"], -(-r["n"] // size))))
+    parts = F.create_map(F.lit(-1), F.lit(1), *(F.lit(x) for r in n for x in (r["cover"], -(-r["n"] // size))))  # -1: no cover, so that there is one entry
     rows = placed.withColumn("part", F.pmod(F.xxhash64("vec_id"), parts[F.col("cover")]).cast("int"))
     return rows, rows.groupBy("cover", "part").agg(F.max("away").alias("radius"))
 

@@ -26,7 +26,7 @@ from .common import text_array, written
 
 _SWEPT = "part int, kind int, id long, size int, rank long, gap long, free int"
 #: Rows of sizes in a partition of a sweep, about.
-SWEEP_ROWS = 1_000_000
+SWEEP_ROWS = 250_000
 
 
 def document_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int | None = 0) -> DataFrame:
@@ -166,7 +166,8 @@ def best_fit(items: DataFrame, capacity: int) -> DataFrame:
         both = gaps.select(F.lit(0).alias("kind"), "id", "size").unionByName(docs.select(F.lit(1).alias("kind"), "id", "size"))
         order = [F.col("size").desc(), F.col("kind").asc(), F.xxhash64("id")]  # the hash splits a size that many share
         parts = max(1, -(-(left + opened) // SWEEP_ROWS))
-        swept = written(both.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_sweep_partition, _SWEPT), "sweep")
+        ranged = both.repartition(1) if parts == 1 else both.repartitionByRange(parts, *order)  # what fits into one partition needs no ranges
+        swept = written(ranged.sortWithinPartitions(*order).mapInArrow(_sweep_partition, _SWEPT), "sweep")
         counts = sorted(tuple(r) for r in swept.where("kind = 4").select("part", "rank", "gap", "free", "id").collect())  # a row a partition
         blocks = rank_blocks([c[:3] for c in counts])
         alone, holes = swept.where("kind = 1"), swept.where("kind = 0")

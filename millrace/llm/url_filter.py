@@ -48,14 +48,19 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
     return F.coalesce(*found, F.lit(None).cast("string")) if found else F.lit(None).cast("string")
 
 
-def _shrunk(level: DataFrame, prior: str, out: str) -> DataFrame:
-    """Adds ``out``, the posterior mean of each row's (n, bad) about ``prior``,
-    and ``strength``: the prior counts as so many pages, by the method of moments."""
-    p, n, k = F.col(prior), F.col("n"), F.col("bad")
+def _shrunk(level: DataFrame, up: str, out: str) -> DataFrame:
+    """Adds p_<out> and size_<out>, mean and pages' worth of the posterior of each
+    row's (n, bad), from the parent's p_<up> and size_<up>.
+
+    How far rows lie from their parents (method of moments) tells how many pages
+    a parent's mean is worth at most; the parent's own uncertainty adds to that.
+    """
+    p, n, k = F.col(f"p_{up}"), F.col("n"), F.col("bad")
     spread = F.sum((k - n * p) * (k - n * p) - n * p * (1 - p)) / F.nullif(F.sum(n * (n - 1) * p * (1 - p)), F.lit(0.0))
     rho = F.least(F.greatest(F.coalesce(spread, F.lit(0.0)), F.lit(0.001)), F.lit(0.5))
-    strength = F.lit(level.agg((1 / rho - 1).alias("strength")).first()[0])  # one number
-    return level.withColumns({"strength": strength, out: (strength * p + k) / (strength + n)})
+    most = F.lit(level.agg((1 / rho - 1).alias("most")).first()[0])  # one number
+    level = level.withColumn("strength", 1 / (1 / most + 1 / F.col(f"size_{up}")))
+    return level.withColumns({f"p_{out}": (F.col("strength") * p + k) / (F.col("strength") + n), f"size_{out}": F.col("strength") + n})
 
 
 def host_reputation(pages: DataFrame, labels: DataFrame, risk: float = RISK) -> DataFrame:
@@ -81,14 +86,13 @@ def host_reputation(pages: DataFrame, labels: DataFrame, risk: float = RISK) ->
     hosts = written(hosts, "hosts")
     sums = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
     total = hosts.agg(*sums).first()
-    p0 = F.lit(((total["bad"] or 0) + 1) / ((total["n"] or 0) + 2))
-    suffixes = _shrunk(hosts.groupBy("suffix").agg(*sums).withColumn("p0", p0), "p0", "p_suffix").select("suffix", "p_suffix")
+    every = {"p_all": F.lit(((total["bad"] or 0) + 1) / ((total["n"] or 0) + 2)), "size_all": F.lit((total["n"] or 0) + 2.0)}
+    suffixes = _shrunk(hosts.groupBy("suffix").agg(*sums).withColumns(every), "all", "suffix").select("suffix", "p_suffix", "size_suffix")
     domains = hosts.groupBy("domain", "suffix").agg(*sums).join(suffixes, "suffix")
-    domains = _shrunk(domains, "p_suffix", "p_domain").select("domain", "p_domain")
-    known = _shrunk(hosts.join(domains, "domain"), "p_domain", "mean")
-    size = F.col("strength") + F.col("n")
-    sd = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (size + 1))
-    return known.select("host", "n", "bad", "mean", (F.col("mean") - sd * F.sqrt(F.lit(1 / risk - 1))).alias("lower"))
+    domains = _shrunk(domains, "suffix", "domain").select("domain", "p_domain", "size_domain")
+    known = _shrunk(hosts.join(domains, "domain"), "domain", "host")
+    sd = F.sqrt(F.col("p_host") * (1 - F.col("p_host")) / (F.col("size_host") + 1))
+    return known.select("host", "n", "bad", F.col("p_host").alias("mean"), (F.col("p_host") - sd * F.sqrt(F.lit(1 / risk - 1))).alias("lower"))
 
 
 def judge_urls(
@@ -109,23 +113,24 @@ def judge_urls(
     return judged.select("page_id", "host", "path", "rule", F.coalesce(listed, method).alias("verdict"), "lower")
 
 
-def _level_sql(source: str, prior: str, out: str) -> str:
-    return f"""SELECT *, (strength * {prior} + bad) / (strength + n) AS {out} FROM {source}, (
-        SELECT 1 / least(greatest(coalesce(sum((bad - n * {prior}) * (bad - n * {prior}) - n * {prior} * (1 - {prior})) / nullif(sum(n * (n - 1) * {prior} * (1 - {prior})), 0), 0.0), 0.001), 0.5) - 1 AS strength FROM {source})"""
+def _level_sql(source: str, up: str, out: str) -> str:
+    p = f"p_{up}"
+    return f"""SELECT *, (strength * {p} + bad) / (strength + n) AS p_{out}, strength + n AS size_{out} FROM (SELECT *, 1 / (1 / most + 1 / size_{up}) AS strength FROM {source}, (
+        SELECT 1 / least(greatest(coalesce(sum((bad - n * {p}) * (bad - n * {p}) - n * {p} * (1 - {p})) / nullif(sum(n * (n - 1) * {p} * (1 - {p})), 0), 0.0), 0.001), 0.5) - 1 AS most FROM {source}))"""
 
 
 ORACLE_SQL = f"""
 WITH worst AS (SELECT doc_id AS page_id, max(CASE WHEN coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1 THEN 1 ELSE 0 END) AS worst FROM labels GROUP BY doc_id),
 p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}'), '') AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 hosts AS (SELECT host, count(worst) AS n, coalesce(sum(worst), 0)::BIGINT AS bad, regexp_extract(host, '([^.]*\\.)?[^.]*$') AS domain, regexp_extract(host, '[^.]*$') AS suffix FROM p LEFT JOIN worst USING (page_id) GROUP BY host),
-overall AS (SELECT (sum(bad) + 1) / (sum(n) + 2) AS p0 FROM hosts),
+overall AS (SELECT (sum(bad) + 1) / (sum(n) + 2) AS p_all, sum(n)::DOUBLE + 2 AS size_all FROM hosts),
 s0 AS (SELECT * FROM (SELECT suffix, sum(n)::DOUBLE AS n, sum(bad)::DOUBLE AS bad FROM hosts GROUP BY suffix), overall),
-s1 AS ({_level_sql("s0", "p0", "p_suffix")}),
-d0 AS (SELECT * FROM (SELECT domain, suffix, sum(n)::DOUBLE AS n, sum(bad)::DOUBLE AS bad FROM hosts GROUP BY domain, suffix) JOIN (SELECT suffix, p_suffix FROM s1) USING (suffix)),
-d1 AS ({_level_sql("d0", "p_suffix", "p_domain")}),
-h0 AS (SELECT host, n::DOUBLE AS n, bad::DOUBLE AS bad, p_domain FROM hosts JOIN (SELECT domain, p_domain FROM d1) USING (domain)),
-h1 AS ({_level_sql("h0", "p_domain", "mean")}),
-rep AS (SELECT host, mean - sqrt(mean * (1 - mean) / (strength + n + 1)) * sqrt({1 / RISK - 1}) AS lower_bound FROM h1),
+s1 AS ({_level_sql("s0", "all", "suffix")}),
+d0 AS (SELECT * FROM (SELECT domain, suffix, sum(n)::DOUBLE AS n, sum(bad)::DOUBLE AS bad FROM hosts GROUP BY domain, suffix) JOIN (SELECT suffix, p_suffix, size_suffix FROM s1) USING (suffix)),
+d1 AS ({_level_sql("d0", "suffix", "domain")}),
+h0 AS (SELECT host, n::DOUBLE AS n, bad::DOUBLE AS bad, p_domain, size_domain FROM hosts JOIN (SELECT domain, p_domain, size_domain FROM d1) USING (domain)),
+h1 AS ({_level_sql("h0", "domain", "host")}),
+rep AS (SELECT host, p_host - sqrt(p_host * (1 - p_host) / (size_host + 1)) * sqrt({1 / RISK - 1}) AS lower_bound FROM h1),
 r AS (SELECT p.*, CASE {" ".join(f"WHEN (host = '{r.partition('/')[0]}' OR ends_with(host, '.{r.partition('/')[0]}')) AND starts_with(path, '/{r.partition('/')[2]}') THEN '{r}'" for _, r in sorted(RULES, key=lambda x: -len(x[1])))} END AS rule FROM p)
 SELECT page_id, host, path, rule, CASE {" ".join(f"WHEN rule = '{r}' THEN '{v}'" for v, r in RULES)} WHEN lower_bound > {TOLERATED} THEN 'block' ELSE 'allow' END AS verdict
 FROM r LEFT JOIN rep USING (host)
