@@ -173,3 +173,22 @@ def scan_licenses(docs: DataFrame, base: dict[str, str] = BASE, notices: dict[st
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(scan, _SCHEMA)
+
+
+def _sql_values() -> str:
+    rows = [(p, label, "base") for p, label in BASE.items()] + [(p, label, "notice") for p, label in NOTICES.items()]
+    return ", ".join(f"({p.split()}, '{label}', '{kind}', {FREEDOM[label]}::DOUBLE)" for p, label, kind in rows)
+
+
+#: Phrases only: the documents hold no identifier tags, whose expressions SQL
+#: can't evaluate; tests/llm holds those against examples.
+ORACLE_SQL = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+p AS (SELECT * FROM (VALUES {_sql_values()}) AS v(phrase, label, kind, freedom)),
+t AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) - 1 AS place FROM w),
+n AS (SELECT *, lead(x) OVER o AS y, lead(x, 2) OVER o AS z, lead(x, 3) OVER o AS u FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY place)),
+h AS (SELECT doc_id, label, kind, freedom, place FROM n JOIN p ON x = phrase[1] AND y = phrase[2] AND (len(phrase) < 3 OR z = phrase[3]) AND (len(phrase) < 4 OR u = phrase[4])),
+a AS (SELECT doc_id, count(*) FILTER (kind = 'base') AS n_base, min(place) FILTER (kind = 'base') AS first_word, max(place) FILTER (kind = 'base') AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (kind = 'base') AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, min(freedom) AS score FROM h GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score FROM w LEFT JOIN a USING (doc_id)
+"""

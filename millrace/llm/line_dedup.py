@@ -100,3 +100,19 @@ def without_copies(docs: DataFrame, min_words: int = 50) -> DataFrame:
     some = (F.col("n_dropped") == 0) | F.col("text").rlike(r"[^ \t-\r]")
     kept = cut.where(some).withColumn("n_chars", F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return kept.select(docs.columns)
+
+
+_SQL_TRIM = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+ORACLE_SQL = f"""
+WITH every AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, no, trim(line, {_SQL_TRIM}) AS line, len(regexp_extract_all(line, '[^ \\t-\\r]+')) AS w FROM every),
+l AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY no) AS q, sum(w) OVER (PARTITION BY doc_id ORDER BY no) - w AS p FROM w WHERE w > 0),
+spans AS (SELECT 'f' AS kind, a.doc_id, a.no AS low, min(b.no) AS high FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.no >= a.no AND b.q - a.p >= 50 GROUP BY a.doc_id, a.no
+    UNION ALL SELECT 'b', a.doc_id, max(b.no), a.no FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.no <= a.no AND a.q - b.p >= 50 GROUP BY a.doc_id, a.no),
+c AS (SELECT kind, s.doc_id, low, high, string_agg(line, chr(10) ORDER BY no) AS content FROM spans s JOIN l ON l.doc_id = s.doc_id AND no BETWEEN low AND high GROUP BY ALL),
+later AS (SELECT * FROM (SELECT *, min((doc_id, low)) OVER (PARTITION BY kind, content) AS first FROM c) WHERE (doc_id, low) > first),
+gone AS (SELECT DISTINCT l.doc_id, no FROM later JOIN l ON l.doc_id = later.doc_id AND no BETWEEN low AND high),
+cut AS (SELECT e.doc_id, string_agg(line, chr(10) ORDER BY e.no) FILTER (g.no IS NULL) AS text, count(g.no) AS n FROM every e LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.no = e.no GROUP BY e.doc_id)
+SELECT d.doc_id, CASE WHEN n > 0 THEN coalesce(cut.text, '') ELSE d.text END AS text, coalesce(n, 0) AS n_dropped FROM documents d LEFT JOIN cut USING (doc_id)
+"""

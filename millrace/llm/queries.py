@@ -78,7 +78,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_line_dedup": line_dedup.ORACLE_SQL,
     "op4_cover_tree_search": cover_tree.ORACLE_SQL,
     "op7_quality_rules": quality.ORACLE_SQL,
     "op8_url_reputation": url_filter.ORACLE_SQL,
+    "op10_license_scan": license_scan.ORACLE_SQL,
 }
