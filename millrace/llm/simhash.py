@@ -12,7 +12,7 @@ compared, on all 64 bits.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -37,11 +37,15 @@ _GOLAY = 0b101011100011
 # -- fingerprints ---------------------------------------------------------------
 
 
-def simhashes(texts: list[bytes], words: int) -> np.ndarray:
-    """64-bit fingerprints of UTF-8 texts: a bit is set if it is set in over half
-    the XXH64 values (seed 42) of the shingles of ``words`` words, repeats
+#: Seed of the shingles' hash.
+SEED = 42
+
+
+def simhashes(texts: list[bytes], words: int, seeds: tuple[int, ...] = (SEED,)) -> np.ndarray:
+    """64-bit fingerprints of UTF-8 texts, a column a seed: a bit is set if it is
+    set in over half the XXH64 values of the shingles of ``words`` words, repeats
     included; without words it is 0."""
-    out = np.zeros(len(texts), dtype=np.uint64)
+    out = np.zeros((len(texts), len(seeds)), dtype=np.uint64)
     digest = xxhash.xxh64_digest
     for row, text in enumerate(texts):
         tokens = text.lower().split()
@@ -52,25 +56,30 @@ def simhashes(texts: list[bytes], words: int) -> np.ndarray:
         ends = np.cumsum(lens + 1) - 1
         starts = (ends - lens)[:n].tolist()
         ends = ends[min(words, len(tokens)) - 1 :].tolist()
-        total = np.zeros(64, dtype=np.int64)
+        total = np.zeros((len(seeds), 64), dtype=np.int64)
         for k in range(0, n, 1 << 16):
-            hashes = b"".join([digest(line[i:j], 42) for i, j in zip(starts[k : k + (1 << 16)], ends[k : k + (1 << 16)])])
-            total += np.unpackbits(np.frombuffer(hashes, dtype=np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
-        out[row] = int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
+            shingles = [line[i:j] for i, j in zip(starts[k : k + (1 << 16)], ends[k : k + (1 << 16)])]
+            for own, seed in zip(total, seeds):
+                hashes = b"".join([digest(x, seed) for x in shingles])
+                own += np.unpackbits(np.frombuffer(hashes, dtype=np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
+        out[row] = np.packbits(2 * total > n, axis=1).view(">u8")[:, 0]
     return out
 
 
-def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) of every row of docs."""
+def fingerprints(docs: DataFrame, words: int = 4, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
+    """doc_id, fp_0, fp_1, ... (the fingerprints by seed as signed longs) of every
+    row of docs."""
+    names = ["doc_id", *(f"fp_{k}" for k in range(len(seeds)))]
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = text_array(batch.column(1)).cast(pa.binary())
             for a, b in by_bytes(texts, 8 << 20):
-                found = simhashes(texts.slice(a, b - a).to_pylist(), words)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+                found = simhashes(texts.slice(a, b - a).to_pylist(), words, seeds).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(np.ascontiguousarray(c)) for c in found.T)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(hashed, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(hashed, ", ".join(f"{n} long" for n in names))
 
 
 # -- anchors --------------------------------------------------------------------
@@ -156,20 +165,24 @@ def _to_anchors(fps: DataFrame, bits: int) -> DataFrame:
 
 
 def _forest(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect the components of one group, one fewer than members."""
+    """Linked pairs that span the components of one group, one fewer than members:
+    each took its component's least label from the other."""
     n = len(fps)
-    label = np.arange(n)
+    label, parent = np.arange(n), np.arange(n)
     while True:
         new = label.copy()
         for k in range(0, n, 512):
             near = np.bitwise_count(fps[k : k + 512, None] ^ fps[None, :]) <= bits
-            new[k : k + 512] = np.where(near, label[None, :], n).min(axis=1)
-        new = np.minimum(new, new[new])
+            seen = np.where(near, label[None, :], n)
+            by = seen.argmin(axis=1)
+            low = seen[np.arange(len(by)), by]
+            rows = k + np.nonzero(low < label[k : k + 512])[0]
+            new[rows], parent[rows] = low[rows - k], by[rows - k]
         if (new == label).all():
             break
         label = new
-    moved = np.nonzero(label != np.arange(n))[0]
-    return fps[moved], fps[label[moved]]
+    moved = np.nonzero(parent != np.arange(n))[0]
+    return fps[moved], fps[parent[moved]]
 
 
 def _linked(bits: int):
@@ -218,7 +231,7 @@ def _linked(bits: int):
 
 
 def links(fps: DataFrame, bits: int = 4) -> DataFrame:
-    """(a, b): edges between distinct fingerprints (column fp) that connect all
+    """(a, b): linked pairs of distinct fingerprints (column fp) that connect all
     that can be reached by steps of at most ``bits`` differing bits (<= 8).
 
     A group at an anchor gives at most as many edges as it has members, times a
@@ -250,7 +263,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame
     component has no other.  Equal fingerprints are collapsed before anything is
     compared, so a group of copies costs as much as one text.
     """
-    rows = written(fingerprints(docs, words), "simhash")
+    rows = written(fingerprints(docs, words).withColumnRenamed("fp_0", "fp"), "simhash")
     unique = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(links(unique, bits))
     rooted = written(unique.join(roots, unique["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
@@ -259,13 +272,30 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame
     return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_each(docs: DataFrame, words: int = 5, bits: int = 8) -> DataFrame:
+#: A link by one seed's fingerprints counts if those of all others differ in no
+#: more bits than this; unrelated texts pass with a chance of 0.2 % a seed.
+CONFIRM = 20
+
+
+def keep_one_each(docs: DataFrame, words: int = 5, bits: int = 8, seeds: tuple[int, ...] = (SEED, 43, 44)) -> DataFrame:
     """docs without near-duplicates: of each component the row with the smallest
     doc_id stays, with all its columns; of rows that repeat a doc_id one stays.
-    Rows without a doc_id can't be told from one another and stay."""
-    found = written(near_duplicates(docs, words, bits), "components").where("doc_id IS NOT NULL")
-    lost = found.where("doc_id <> component_id").select("doc_id").distinct()
+    Documents are linked if their fingerprints by one of the seeds are, and those
+    by the others don't contradict (``CONFIRM``).  Rows without a doc_id can't be
+    told from one another and stay."""
+    names = [f"fp_{k}" for k in range(len(seeds))]
+    rows = written(fingerprints(docs, words, seeds).where("doc_id IS NOT NULL"), "simhash")
+    edges = []
+    for name in names:
+        unique = written(rows.groupBy(F.col(name).alias("fp")).agg(F.min(F.struct("doc_id", *names)).alias("rep")), "unique")
+        copies = rows.select("doc_id", F.col(name).alias("fp")).join(unique, "fp").select(F.col("doc_id").alias("a"), F.col("rep.doc_id").alias("b"))
+        a, b = (unique.select(F.col("fp").alias(end), F.col("rep").alias(f"rep_{end}")) for end in "ab")
+        linked = links(unique, bits).distinct().join(a, "a").join(b, "b")
+        for other in names:
+            linked = linked.where(F.bit_count(F.col(f"rep_a.{other}").bitwiseXOR(F.col(f"rep_b.{other}"))) <= CONFIRM)
+        edges += [copies.where("a <> b"), linked.select(F.col("rep_a.doc_id").alias("a"), F.col("rep_b.doc_id").alias("b"))]
+    lost = written(components(reduce(DataFrame.unionByName, edges)).where("node <> root").select(F.col("node").alias("doc_id")), "copies")
     stay = docs.join(lost, "doc_id", "left_anti").select(docs.columns)
-    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
+    if rows.groupBy("doc_id").count().where("count > 1").isEmpty():
         return stay
     return stay.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(stay.where("doc_id IS NULL"))

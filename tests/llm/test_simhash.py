@@ -8,12 +8,12 @@ SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, root string"
 
 
-def plain_fingerprint(text, words=4):
+def plain_fingerprint(text, words=4, seed=42):
     tokens = (text or "").encode().lower().split()
     if not tokens:
         return 0
     shingles = [b" ".join(tokens[i : i + words]) for i in range(max(1, len(tokens) - words + 1))]
-    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    hashes = [xxhash.xxh64_intdigest(s, seed) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
