@@ -164,7 +164,7 @@ EXPORTED = [
 ]
 
 
-def test_markdown(spark):
+def test_markdown(spark, tmp_path):
     e, s = entries(spark, EXPORTED), sources(spark, [(1, "源A"), (2, "源B/")])
     files = {r.path: r.text for r in export.export_markdown(e, s).collect()}
     assert sorted(files) == ["源A/2023-01/摘要条目.md", "源A/2023-01/标题一.md", "源A/2023-02/标题一.md", "源B_/2023-01/无链接.md"]
@@ -172,6 +172,9 @@ def test_markdown(spark):
     assert one.startswith('---\ntitle: "标题一"\nauthor: "Ann"\nurl: "https://e.com/1"\nsource: "源A"\n') and one.endswith('tags:\n    - "t1"\n    - "t2"\nextra:\n    "a": "\\"x\\""\n    "b": "2"\n---\n\n正文\n')
     assert "url:" not in files["源B_/2023-01/无链接.md"] and files["源A/2023-01/摘要条目.md"].endswith("只有摘要\n")
     assert tuple(export.export_summary(e).first()) == (4, 2)
+    for _ in range(2):
+        export.write_markdown(e, s, str(tmp_path / "md"))
+    assert {r.path: r.text for r in spark.read.parquet(str(tmp_path / "md")).collect()} == files
 
 
 def test_json(spark):
