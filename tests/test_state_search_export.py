@@ -35,7 +35,7 @@ def fold(old, events, live):
         if out.get(entry, {}).get(flag, False) != value:
             row = out.setdefault(entry, {"at": ts})
             row[flag] = value
-            row["at"] = max(row["at"], ts) if False else ts
+            row["at"] = ts
     return {k: (*(v.get(f, False) for f in ("read", "favorite", "archive", "read_later")), v["at"]) for k, v in out.items()}
 
 
