@@ -290,7 +290,17 @@ def _colliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.with_keys(i.withColumns({"guid": F.concat(F.lit("g"), F.floor(F.col("pos") / 2)), "url": F.concat(F.lit("https://e.com/"), F.floor((F.col("pos") + 1) / 3))}))
 
 
-@query()
+@query(
+    with_sql(
+        "items",
+        f""", k AS (SELECT row_number() OVER (ORDER BY source_id, pos) AS i, source_id, pos, 'g' || source_id || ' ' || pos // 2 AS g, 'u' || (pos + 1) // 3 AS u, 'h' || {_H} AS h FROM items),
+    r AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS held, false AS ok UNION ALL
+        SELECT k.i, CASE WHEN list_has_any(held, [g, u, h]) THEN held ELSE list_concat(held, [g, u, h]) END, NOT list_has_any(held, [g, u, h]) FROM r JOIN k ON k.i = r.i + 1),
+    a AS (SELECT k.* FROM k JOIN r USING (i) WHERE ok)
+    SELECT k.source_id, k.pos, r.ok AS accepted, CASE WHEN r.ok THEN NULL WHEN ag.i IS NOT NULL THEN 'guid' WHEN au.i IS NOT NULL THEN 'url' ELSE 'hash' END AS reason, CASE WHEN NOT r.ok THEN coalesce(ag.pos, au.pos, ah.pos) END AS winner_pos
+    FROM k JOIN r USING (i) LEFT JOIN a ag ON ag.g = k.g AND ag.i < k.i LEFT JOIN a au ON au.u = k.u AND au.i < k.i LEFT JOIN a ah ON ah.h = k.h AND ah.i < k.i""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+)
 def three_layer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = dedup.dedup_first_wins(_colliding(spark, sf_dir), ["source_id", "pos"])
     return judged.select("source_id", "pos", "accepted", "reason", F.col("winner.pos").alias("winner_pos"))
