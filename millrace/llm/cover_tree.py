@@ -21,7 +21,7 @@ from .common import written
 
 #: Rows of a data block and of a query block, about; query blocks of one task;
 #: pivots, and vectors among which they are chosen.
-DATA_BLOCK, QUERY_BLOCK, QUERY_BLOCKS_TOGETHER = 4096, 256, 8
+DATA_BLOCK, QUERY_BLOCK, QUERY_BLOCKS_TOGETHER = 4096, 256, 16
 PIVOTS, PIVOT_SAMPLE = 64, 4096
 _LEAF, _FAN_OUT = 64, 16
 _FOUND = "query_id long, vec_id long, score long"
@@ -143,13 +143,14 @@ def _blocks(placed: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     return rows, rows.groupBy("cover", "part").agg(F.max("away").alias("radius"))
 
 
-def _search(queries: DataFrame, data: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+def _search(queries: DataFrame, data: DataFrame, pairs: DataFrame, k: int, bundles: int) -> DataFrame:
     """Best k rows of each query in each pair of blocks (q_cover, q_part, cover,
-    part).  queries: query_id, q, q_cover, q_part, floor."""
-    units = pairs.withColumn("bundle", F.floor(F.col("q_part") / QUERY_BLOCKS_TOGETHER).cast("int"))
-    left = queries.join(units, ["q_cover", "q_part"]).select("cover", "part", "q_cover", "bundle", "query_id", "q", "floor")
-    right = data.join(units.select("cover", "part", "q_cover", "bundle").distinct(), ["cover", "part"]).select(*(F.col(c).alias(c) for c in ("cover", "part", "q_cover", "bundle", "vec_id", "v")))
-    keys = ["cover", "part", "q_cover", "bundle"]
+    part).  queries: query_id, q, q_cover, q_part, floor.  Query blocks that look
+    at one data block meet it in ``bundles`` tasks at most."""
+    units = pairs.withColumn("bundle", F.pmod(F.xxhash64("q_cover", "q_part"), F.lit(bundles)).cast("int"))
+    keys = ["cover", "part", "bundle"]
+    left = queries.join(units, ["q_cover", "q_part"]).select(*keys, "query_id", "q", "floor")
+    right = data.join(units.select(*keys).distinct(), ["cover", "part"]).select(*(F.col(c).alias(c) for c in (*keys, "vec_id", "v")))
 
     def search(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(x):
@@ -193,9 +194,10 @@ def _top_k(vectors: DataFrame, is_query, k: int) -> DataFrame:
     names = {"cover": "q_cover", "part": "q_part"}
     asked = asked.select("vec_id", "v", "cover", "part").withColumnsRenamed(names | {"vec_id": "query_id", "v": "q"})
     q_blocks = written(q_blocks.withColumnsRenamed(names | {"radius": "q_radius"}), "query-blocks")
+    bundles = -(-q_blocks.count() // QUERY_BLOCKS_TOGETHER) or 1
     own = q_blocks.join(blocks.where("part = 0"), F.col("q_cover") == F.col("cover")).select("q_cover", "q_part", "cover", "part")
     low = F.lit(float("-inf")).alias("floor")
-    first = written(_search(asked.select("*", low), data, own, k), "first-blocks")
+    first = written(_search(asked.select("*", low), data, own, k, bundles), "first-blocks")
     floors = _best(first, k).where(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("floor"))
     asked = written(asked.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf")))), "asked")
     worst = asked.groupBy("q_cover", "q_part").agg(F.min("floor").alias("worst"))
@@ -208,7 +210,7 @@ def _top_k(vectors: DataFrame, is_query, k: int) -> DataFrame:
     bound = F.col("product") + F.col("q_norm") * F.col("radius") + F.col("norm") * F.col("q_radius") + F.col("radius") * F.col("q_radius")
     pairs = q_blocks.join(worst, ["q_cover", "q_part"]).join(F.broadcast(near), "q_cover").join(blocks, "cover")
     pairs = pairs.where((bound + F.abs(bound) * 1e-9 + 1e-6 >= F.col("worst")) & ~((F.col("q_cover") == F.col("cover")) & (F.col("part") == 0)))
-    rest = _search(asked, data, written(pairs.select("q_cover", "q_part", "cover", "part"), "pairs"), k)
+    rest = _search(asked, data, written(pairs.select("q_cover", "q_part", "cover", "part"), "pairs"), k, bundles)
     return _best(first.unionByName(rest), k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -157,16 +157,16 @@ def judge(docs: DataFrame, labels: DataFrame, false_rejection: float = FALSE_REJ
 def keep_good(docs: DataFrame, labels: DataFrame, false_rejection: float = FALSE_REJECTION, error: float = ERROR) -> DataFrame:
     """The rows of docs that :func:`judge` keeps, with all their columns.
 
-    Rows are told apart by doc_id and a hash of text and lang; rows that agree in
-    these agree in the verdict.  Only the keys of rejected rows meet the texts.
+    Texts are measured twice, for the cutoffs and for the verdicts, and never
+    shuffled: measuring costs less than moving them.
     """
-    keys = {"k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "k2": F.xxhash64("text", "lang")}
-    rows = docs.select("doc_id", "text", "lang").withColumns(keys)
-    measures = written(measured(rows).drop("text"), "measures")
-    judged = _verdict(measures, certified_cutoffs(measures, labels, false_rejection, error))
-    lost = written(judged.where("NOT kept").select("k1", "k2").distinct(), "rejected")
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(c.alias(k) for k, c in keys.items()))
-    return whole.join(lost, ["k1", "k2"], "left_anti").select("row.*")
+    measures = written(measured(docs.select("doc_id", "text", "lang")).drop("text"), "measures")
+    cutoffs = certified_cutoffs(measures, labels, false_rejection, error)
+    whole = docs.select("doc_id", "text", "lang", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    names = [c for c in measures.columns if c not in ("doc_id", "lang")]
+    # filters don't pass an explode; they would repeat the measuring for each of their columns
+    once = measured(whole).select("row", "lang", F.explode(F.array(F.struct(*names))).alias("m")).select("row", "lang", "m.*")
+    return _verdict(once, cutoffs).where("kept").select("row.*")
 
 
 def _sql_measures() -> str:

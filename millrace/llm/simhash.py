@@ -27,7 +27,7 @@ from .components import components
 #: Rows that meet in one comparison; anchors with more are cut into parts whose
 #: pairs are compared apart.
 MOST = 4096
-#: Up to this size a group's pairs are compared by shifts of the whole batch.
+#: Up to this size groups are compared by shifts of the whole batch.
 _FEW = 24
 
 #: Generator polynomial of the (23, 12) Golay code, from the lowest power.
@@ -185,6 +185,23 @@ def _forest(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return fps[moved], fps[parent[moved]]
 
 
+def _spanning(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the linked rows (a, b) among n those by which rows take their component's
+    least number: one fewer than members."""
+    u, v = np.concatenate([a, b]), np.concatenate([b, a])
+    label, parent = np.arange(n), np.arange(n)
+    while len(u):
+        new = label.copy()
+        np.minimum.at(new, v, label[u])
+        by = (new[v] < label[v]) & (label[u] == new[v])
+        if not by.any():
+            break
+        parent[v[by]] = u[by]
+        label = new
+    moved = np.nonzero(parent != np.arange(n))[0]
+    return moved, parent[moved]
+
+
 def _linked(bits: int):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
@@ -200,8 +217,10 @@ def _linked(bits: int):
                 if not len(at):
                     break
                 at = at[np.bitwise_count(fp[at] ^ fp[at + step]) <= bits]
-                a.append(fp[at])
-                b.append(fp[at + step])
+                a.append(at)
+                b.append(at + step)
+            rows, parents = _spanning(len(fp), np.concatenate(a) if a else np.empty(0, np.int64), np.concatenate(b) if b else np.empty(0, np.int64))
+            a, b = [fp[rows]], [fp[parents]]
             for g in np.nonzero(sizes > _FEW)[0]:
                 x, y = _forest(fp[starts[g] : starts[g + 1]], bits)
                 a.append(x)
