@@ -189,7 +189,7 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.parse_page_list(_raw_pages(spark, sf_dir), "nav ul li a").select("doc_id", "pos", "url", "title")
 
 
-@query(r"SELECT page_id::VARCHAR AS doc_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title FROM pages")
+@query(r"SELECT page_id::VARCHAR AS doc_id, trim(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS title FROM pages")
 def page_title_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.page_titles(_raw_pages(spark, sf_dir)).select("doc_id", "title")
 
