@@ -19,9 +19,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import by_bytes, text_array, written
+from .common import by_bytes, gather, text_array, written
 from .components import components
 
 #: Rows that meet in one comparison; anchors with more are cut into parts whose
@@ -291,29 +292,177 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame
     return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: A link by one seed's fingerprints counts if those of all others differ in no
-#: more bits than this; unrelated texts pass with a chance of 0.2 % a seed.
-CONFIRM = 20
+# -- similarity -----------------------------------------------------------------
+
+
+#: Documents are near-duplicates if their shingle sets share at least this part of
+#: their union (as a fraction).
+LEAST = (4, 5)
+#: Bands of a set's least hashes, and hashes a band: sets at 0.8 agree in a band
+#: with a chance of 1 - (1 - 0.8 ** 6) ** 40, all but 5 in a million.
+BANDS, ROWS = 40, 6
+#: Shingles of the rows that meet in one comparison, about.
+MOST_SHINGLES = 4_000_000
+
+_FACTORS = np.random.default_rng(SEED).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """XXH64 values of the text's different shingles, sorted; none without words."""
+    tokens = text.lower().split()
+    if not tokens:
+        return np.empty(0, np.uint64)
+    line, n = b" ".join(tokens), max(1, len(tokens) - words + 1)
+    ends = np.cumsum(np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()
+    ends = ends[min(words, len(tokens)) - 1 :].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(line[i:j], SEED) for i, j in zip(starts, ends)), dtype=np.uint64, count=n))
+
+
+def band_keys(own: np.ndarray) -> np.ndarray:
+    """A key of each band of a set's least hashes; a set without shingles has none."""
+    if not len(own):
+        return np.empty(0, np.int64)
+    low = np.full(len(_FACTORS), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for k in range(0, len(own), 512):
+        np.minimum(low, (own[k : k + 512, None] * _FACTORS).min(axis=0), out=low)
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(x.tobytes(), k) for k, x in enumerate(low.reshape(BANDS, ROWS))], dtype=np.uint64).view(np.int64)
+
+
+def _of_texts(docs: DataFrame, schema: str, make) -> DataFrame:
+    """Rows of ``schema``: doc_id, and what ``make`` gives for a list of texts, by column."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = text_array(batch.column(1)).cast(pa.binary())
+            for a, b in by_bytes(texts, 8 << 20):
+                found = make(texts.slice(a, b - a).to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *found], names=[x.split()[0] for x in schema.split(", ")])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(rows, schema)
+
+
+def sketches(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, digest of the shingle set, its size, keys of its bands."""
+
+    def make(texts: list[bytes]) -> list[pa.Array]:
+        sets = [shingle_set(x, words) for x in texts]
+        digests = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
+        return [digests, pa.array([len(x) for x in sets], pa.int64()), pa.array([band_keys(x) for x in sets], pa.list_(pa.int64()))]
+
+    return _of_texts(docs, "doc_id long, digest binary, size long, bands array<long>", make)
+
+
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, shingles (their hashes)."""
+    make = lambda texts: [pa.array([shingle_set(x, words).view(np.int64) for x in texts], pa.list_(pa.int64()))]
+    return _of_texts(docs, "doc_id long, shingles array<long>", make)
+
+
+def alike(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs at ``LEAST`` or more that span the components of the sets that lie in
+    ``flat`` one after another.  A set is held against those only that no pair has
+    reached yet, so a large group of copies is soon done with."""
+    n, (part, whole) = len(sizes), LEAST
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    codes = np.unique(flat, return_inverse=True)[1]
+    order = np.argsort(codes, kind="stable")
+    held, of = np.repeat(np.arange(n), sizes)[order], codes[order]
+    counts = np.bincount(codes)
+    first, kinds = np.cumsum(counts) - counts, len(counts)
+    fresh, left, compacted = np.ones(n, dtype=bool), n, n
+    a, b = [], []
+    for seed in range(n):
+        if not fresh[seed]:
+            continue
+        fresh[seed], left, waiting = False, left - 1, [seed]
+        while waiting and left:
+            i = waiting.pop()
+            if left <= compacted // 2:
+                keep = fresh[held]
+                held, of, compacted = held[keep], of[keep], left
+                counts = np.bincount(of, minlength=kinds)
+                first = np.cumsum(counts) - counts
+            own = codes[offsets[i] : offsets[i + 1]]
+            shared = np.bincount(gather(held, first[own], counts[own])[0], minlength=n)
+            near = np.nonzero(fresh & (shared * whole >= part * (sizes[i] + sizes - shared)))[0]
+            fresh[near], left = False, left - len(near)
+            a.append(near)
+            b.append(np.full(len(near), i))
+            waiting += near.tolist()
+    return tuple(np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64) for x in (a, b))
+
+
+def _alike_in_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of rows (root, part, doc_id, shingles) that are sorted by group."""
+    key, ids, sets = None, [], []
+
+    def found() -> pa.RecordBatch:
+        x, y = alike(np.concatenate(sets), np.array([len(s) for s in sets]))
+        names = np.array(ids, dtype=np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(names[x]), pa.array(names[y])], names=["a", "b"])
+
+    for batch in batches:
+        shingles = batch.column(3)
+        flat, ends = np.asarray(shingles.values), np.asarray(shingles.offsets)
+        for k, row in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+            if row[:2] != key:
+                if len(ids) > 1:
+                    yield found()
+                key, ids, sets = row[:2], [], []
+            ids.append(row[2])
+            sets.append(flat[ends[k] : ends[k + 1]].copy())
+    if len(ids) > 1:
+        yield found()
+
+
+def similar(docs: DataFrame, sketched: DataFrame, candidates: DataFrame, words: int) -> DataFrame:
+    """(a, b): doc_ids that connect all documents that steps of pairs at ``LEAST``
+    or more can reach within the components of ``candidates`` (a, b).
+
+    Equal sets are collapsed first.  A component is compared as one group, in parts
+    by rows and shingles if it is large (every pair of parts meets), and exact links
+    only are thinned to those that span.
+    """
+    firsts = written(sketched.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("size").alias("size")), "sets")
+    copies = sketched.join(firsts.select("digest", "first"), "digest").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).where("a <> b")
+    # equal ids with different texts have the largest size
+    unique = firsts.where("size > 0").groupBy(F.col("first").alias("doc_id")).agg(F.max("size").alias("size"))
+    rooted = written(components(candidates.unionByName(copies)).withColumnRenamed("node", "doc_id").join(unique, "doc_id"), "clusters")
+    share = F.greatest(F.count("*") * 2 / MOST, F.sum("size") * 2 / MOST_SHINGLES)
+    parts = rooted.groupBy("root").agg(F.count("*").alias("n"), F.ceil(share).cast("int").alias("parts")).where("n > 1")
+    own = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least(own, j).cast("long") * F.col("parts") + F.greatest(own, j))
+    members = rooted.join(parts, "root").select("doc_id", "root", meets.alias("meets"))
+    sets = shingle_sets(docs.join(members.select("doc_id"), "doc_id", "left_semi"), words)
+    met = sets.join(members, "doc_id").select("root", F.explode("meets").alias("part"), "doc_id", "shingles")
+    linked = met.repartition("root", "part").sortWithinPartitions("root", "part").mapInArrow(_alike_in_groups, "a long, b long")
+    return copies.unionByName(linked)
 
 
 def keep_one_each(docs: DataFrame, words: int = 5, bits: int = 8, seeds: tuple[int, ...] = (SEED, 43, 44)) -> DataFrame:
     """docs without near-duplicates: of each component the row with the smallest
     doc_id stays, with all its columns; of rows that repeat a doc_id one stays.
-    Documents are linked if their fingerprints by one of the seeds are, and those
-    by the others don't contradict (``CONFIRM``).  Rows without a doc_id can't be
-    told from one another and stay."""
-    names = [f"fp_{k}" for k in range(len(seeds))]
-    rows = written(fingerprints(docs, words, seeds).where("doc_id IS NOT NULL"), "simhash")
+    Documents are linked if their shingle sets are alike by ``LEAST``.  Which are
+    compared comes from fingerprints by any of the seeds that link, and from bands of
+    least hashes.  Rows without a doc_id can't be told from one another and stay."""
+    named = docs.where("doc_id IS NOT NULL")
+    rows = written(fingerprints(named, words, seeds), "simhash")
     edges = []
-    for name in names:
-        unique = written(rows.groupBy(F.col(name).alias("fp")).agg(F.min(F.struct("doc_id", *names)).alias("rep")), "unique")
-        copies = rows.select("doc_id", F.col(name).alias("fp")).join(unique, "fp").select(F.col("doc_id").alias("a"), F.col("rep.doc_id").alias("b"))
+    for name in (f"fp_{k}" for k in range(len(seeds))):
+        unique = written(rows.groupBy(F.col(name).alias("fp")).agg(F.min("doc_id").alias("rep")), "unique")
+        copies = rows.select("doc_id", F.col(name).alias("fp")).join(unique, "fp").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
         a, b = (unique.select(F.col("fp").alias(end), F.col("rep").alias(f"rep_{end}")) for end in "ab")
         linked = links(unique, bits).distinct().join(a, "a").join(b, "b")
-        for other in names:
-            linked = linked.where(F.bit_count(F.col(f"rep_a.{other}").bitwiseXOR(F.col(f"rep_b.{other}"))) <= CONFIRM)
-        edges += [copies.where("a <> b"), linked.select(F.col("rep_a.doc_id").alias("a"), F.col("rep_b.doc_id").alias("b"))]
-    lost = written(components(reduce(DataFrame.unionByName, edges)).where("node <> root").select(F.col("node").alias("doc_id")), "copies")
+        edges += [copies.where("a <> b"), linked.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))]
+    sketched = written(sketches(named, words), "sketches")
+    keyed = sketched.groupBy("digest").agg(F.min(F.struct("doc_id", "bands")).alias("x")).select("x.doc_id", F.explode("x.bands").alias("key"))
+    lowest = F.min("doc_id").over(W.partitionBy("key"))
+    edges.append(keyed.select(F.col("doc_id").alias("a"), lowest.alias("b")).where("a <> b").distinct())
+    pairs = similar(named, sketched, reduce(DataFrame.unionByName, edges), words)
+    lost = written(components(pairs).where("node <> root").select(F.col("node").alias("doc_id")), "copies")
     stay = docs.join(lost, "doc_id", "left_anti").select(docs.columns)
     if rows.groupBy("doc_id").count().where("count > 1").isEmpty():
         return stay

@@ -79,3 +79,48 @@ def test_components_of_a_long_path(spark):
     roots = {r.node: r.root for r in components(edges).collect()}
     assert roots == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def plain_roots(rows, words=5):
+    """The least doc_id that steps of pairs at Jaccard 0.8 or more can reach."""
+    sets, root = [], {i: i for i, _ in rows}
+    for i, t in rows:
+        tokens = (t or "").encode().lower().split()
+        sets.append((i, {b" ".join(tokens[k : k + words]) for k in range(max(1, len(tokens) - words + 1))}))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[:k]:
+            if 5 * len(a & b) >= 4 * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in root}
+
+
+def test_kept_rows_match_exact_similarity(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    roots = plain_roots([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+    assert {r.doc_id for r in simhash.keep_one_each(docs).collect()} == {i for i, root in roots.items() if i == root}
+
+
+def test_near_copies_at_the_threshold(spark, monkeypatch):
+    """Groups around one hub, members from 0.6 to 0.97 to it, and in several parts."""
+    rng, rows = np.random.default_rng(3), []
+    for group in range(12):
+        base = [f"w{group}x{k}" for k in range(200)]
+        for changes in (0, 1, 2, 3, 4, 4, 4, 5, 5, 5, 6, 7, 8, 9):
+            own = list(base)
+            for place in rng.choice(200, changes, replace=False):
+                own[place] = f"n{rng.integers(1 << 40)}"
+            rows.append((len(rows), " ".join(own), "g"))
+    roots = plain_roots([r[:2] for r in rows])
+    want = {i for i, root in roots.items() if i == root}
+    assert 12 < len(want) < len(rows) - 12
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {r.doc_id for r in simhash.keep_one_each(df).collect()} == want
+    monkeypatch.setattr(simhash, "MOST", 8)
+    assert {r.doc_id for r in simhash.keep_one_each(df).collect()} == want
