@@ -124,3 +124,13 @@ def test_near_copies_at_the_threshold(spark, monkeypatch):
     assert {r.doc_id for r in simhash.keep_one_each(df).collect()} == want
     monkeypatch.setattr(simhash, "MOST", 8)
     assert {r.doc_id for r in simhash.keep_one_each(df).collect()} == want
+
+
+def test_links_survive_where_the_hub_does_not_and_equal_fingerprints_are_held(spark):
+    x, y, z = (np.arange(a, a + 100, dtype=np.uint64) for a in (0, 10, 20))  # x-y and y-z at 0.82, x-z at 0.67
+    a, b = simhash.alike(np.concatenate([x, z, y]), np.array([100, 100, 100]))
+    assert sorted(zip(a.tolist(), b.tolist())) == [(1, 2), (2, 0)]
+    # one shingle outweighs all others: equal fingerprints by all seeds, sets that share little
+    rows = [(k, "x " * 3000 + " ".join(f"{k}w{n}" for n in range(40)), "r") for k in range(3)]
+    assert len({plain_fingerprint(t, 5, 42) for _, t, _ in rows}) == 1
+    assert simhash.keep_one_each(spark.createDataFrame(rows, SCHEMA)).count() == 3
