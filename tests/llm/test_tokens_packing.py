@@ -1,8 +1,10 @@
+import bisect
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from millrace.llm import packing, token_files
@@ -125,5 +127,31 @@ def test_best_fit_across_partitions(spark, monkeypatch):
         assert max(counts) <= 1.1 * least + 1
 
 
-def test_rank_blocks_take_the_nearest_gaps():
-    assert packing.rank_blocks([(0, 0, 3), (1, 0, 2), (2, 4, 1), (3, 5, 0)]) == [(2, 0, 1, 0, 2), (2, 2, 0, 0, 2), (3, 0, 2, 0, 1), (3, 1, 0, 2, 1)]
+def test_rank_blocks_take_the_nearest_gaps_that_are_sure():
+    one = packing.rank_blocks([(2, 0, 4, 1), (3, 0, 5, 1)], [(0, 0, 3, 1), (1, 0, 2, 1), (2, 0, 1, 1)], 9)
+    assert one == [(2, 0, 1, 0, 2, 1), (2, 2, 0, 0, 2, 1), (3, 0, 2, 0, 1, 1), (3, 1, 0, 2, 1, 1)]
+    # three gaps of 10: two documents of 4 each, then one of 2 each in what is left
+    assert packing.rank_blocks([(1, 0, 5, 4), (2, 0, 4, 2)], [(0, 0, 3, 10)], 10) == [(1, 0, 0, 0, 5, 2), (2, 0, 0, 0, 3, 1)]
+    assert packing.rank_blocks([(1, 0, 2, 0)], [(0, 0, 1, 3)], 3) == [(1, 0, 0, 0, 2, 3)] and packing.rank_runs([5, 5, 4, 1, 1, 1], 3) == [(0, 2), (2, 6)]
+
+
+def plain_best_fit(lengths, capacity):
+    """Sequences that best fit, largest first, opens one item at a time."""
+    gaps, opened = [], 0
+    for n in sorted(lengths, reverse=True):
+        k = bisect.bisect_left(gaps, n)
+        opened += k == len(gaps)
+        free = (gaps.pop(k) if k < len(gaps) else capacity) - n
+        bisect.insort(gaps, free)
+    return opened
+
+
+def test_ranges_come_near_plain_best_fit(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    lengths = [r[0] for r in docs.selectExpr("length(text) % 2000 + 1").collect()]
+    items = spark.createDataFrame(list(enumerate(lengths)), "item long, length long")
+    plain = plain_best_fit(lengths, 2048)
+    for rows in (10**6, 50):  # one range, and some dozens
+        monkeypatch.setattr(packing, "SWEEP_ROWS", rows)
+        used = packing.best_fit(items, 2048).agg(F.countDistinct("sequence")).first()[0]
+        assert used <= 1.02 * plain + 1
