@@ -11,15 +11,14 @@ compared, on all 64 bits.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import cache, reduce
+from collections.abc import Callable, Iterator
+from functools import cache
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import by_bytes, gather, text_array, written
@@ -165,16 +164,15 @@ def _to_anchors(fps: DataFrame, bits: int) -> DataFrame:
 # -- comparison -----------------------------------------------------------------
 
 
-def _forest(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs that span the components of one group, one fewer than members:
-    each took its component's least label from the other."""
-    n = len(fps)
+def _forest(n: int, near: Callable[[int, int], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs (rows) that span the components of one group, one fewer than
+    members: each took its component's least label from the other.  ``near`` tells
+    the links of rows a to b with all rows."""
     label, parent = np.arange(n), np.arange(n)
     while True:
         new = label.copy()
         for k in range(0, n, 512):
-            near = np.bitwise_count(fps[k : k + 512, None] ^ fps[None, :]) <= bits
-            seen = np.where(near, label[None, :], n)
+            seen = np.where(near(k, min(n, k + 512)), label[None, :], n)
             by = seen.argmin(axis=1)
             low = seen[np.arange(len(by)), by]
             rows = k + np.nonzero(low < label[k : k + 512])[0]
@@ -183,7 +181,7 @@ def _forest(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
             break
         label = new
     moved = np.nonzero(parent != np.arange(n))[0]
-    return fps[moved], fps[parent[moved]]
+    return moved, parent[moved]
 
 
 def _spanning(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,38 +201,45 @@ def _spanning(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndar
     return moved, parent[moved]
 
 
-def _linked(bits: int):
+def _linked(bits: int, far: int = 64):
+    """Links (a, b) of rows (anchor, part, fp, and perhaps a second fingerprint that
+    may differ in ``far`` places and the number to give for the row) that are sorted
+    by anchor and part."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
 
-        def edges(anchor: np.ndarray, part: np.ndarray, fp: np.ndarray) -> pa.RecordBatch | None:
+        def edges(anchor: np.ndarray, part: np.ndarray, *rest: np.ndarray) -> pa.RecordBatch | None:
+            fp, names = rest[0], rest[-1]
+            near = lambda x, y: np.bitwise_count(fp[x] ^ fp[y]) <= bits
+            if len(rest) > 1:
+                near = lambda x, y: (np.bitwise_count(fp[x] ^ fp[y]) <= bits) & (np.bitwise_count(rest[1][x] ^ rest[1][y]) <= far)
             starts = np.concatenate([[0], np.nonzero((np.diff(anchor) != 0) | (np.diff(part) != 0))[0] + 1, [len(fp)]])
             sizes = np.diff(starts)
-            a, b = [], []
+            a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             group = np.repeat(np.arange(len(sizes)), sizes)
             few = (sizes <= _FEW)[group]
             for step in range(1, min(_FEW, int(sizes.max()))):
                 at = np.nonzero((group[step:] == group[:-step]) & few[step:])[0]
                 if not len(at):
                     break
-                at = at[np.bitwise_count(fp[at] ^ fp[at + step]) <= bits]
+                at = at[near(at, at + step)]
                 a.append(at)
                 b.append(at + step)
-            rows, parents = _spanning(len(fp), np.concatenate(a) if a else np.empty(0, np.int64), np.concatenate(b) if b else np.empty(0, np.int64))
-            a, b = [fp[rows]], [fp[parents]]
+            a, b = ([x] for x in _spanning(len(fp), np.concatenate(a), np.concatenate(b)))
             for g in np.nonzero(sizes > _FEW)[0]:
-                x, y = _forest(fp[starts[g] : starts[g + 1]], bits)
-                a.append(x)
-                b.append(y)
-            x, y = (np.concatenate(z) if z else np.empty(0, np.uint64) for z in (a, b))
-            x, y = np.minimum(x, y), np.maximum(x, y)
+                own = np.arange(starts[g], starts[g + 1])
+                x, y = _forest(len(own), lambda i, j, own=own: near(own[i:j, None], own[None, :]))
+                a.append(own[x])
+                b.append(own[y])
+            x, y = (names[np.concatenate(z)].view(np.int64) for z in (a, b))
             if not len(x):
                 return None
-            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
         for batch in batches:
             new = [np.asarray(c) for c in batch.columns]
-            new[2] = new[2].astype(np.int64).view(np.uint64)
+            new[2:] = [c.astype(np.int64).view(np.uint64) for c in new[2:]]
             if held is not None:
                 new = [np.concatenate(x) for x in zip(held, new)]
             if not len(new[0]):
@@ -250,6 +255,20 @@ def _linked(bits: int):
     return compare
 
 
+def _met(spread: DataFrame) -> DataFrame:
+    """Rows (anchor, fp, ...) with ``part``, dealt and sorted by both: an anchor with
+    more than ``MOST`` rows is cut into parts, and each pair of parts meets."""
+    hot = spread.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > MOST)
+    hot = written(hot.select("anchor", F.ceil(F.col("n") * 2 / MOST).cast("int").alias("parts")), "hot-anchors")
+    own = F.pmod(F.xxhash64(*spread.columns[1:]), F.col("parts"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least(own, j) * F.col("parts") + F.greatest(own, j))
+    if hot.isEmpty():
+        dealt = spread.withColumn("part", F.lit(0).cast("long"))
+    else:
+        dealt = spread.join(hot, "anchor", "left").withColumn("part", F.explode(F.coalesce(pairs.cast("array<long>"), F.array(F.lit(0).cast("long")))))
+    return dealt.select("anchor", "part", *spread.columns[1:]).repartition("anchor", "part").sortWithinPartitions("anchor", "part")
+
+
 def links(fps: DataFrame, bits: int = 4) -> DataFrame:
     """(a, b): linked pairs of distinct fingerprints (column fp) that connect all
     that can be reached by steps of at most ``bits`` differing bits (<= 8).
@@ -260,17 +279,7 @@ def links(fps: DataFrame, bits: int = 4) -> DataFrame:
     if not 0 <= bits <= 8:
         raise ValueError("bits is 0 to 8")
     fps = written(fps.select("fp").distinct(), "fingerprints")
-    spread = _to_anchors(fps, bits)
-    hot = spread.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > MOST)
-    hot = written(hot.select("anchor", F.ceil(F.col("n") * 2 / MOST).cast("int").alias("parts")), "hot-anchors")
-    own = F.pmod(F.xxhash64("fp"), F.col("parts"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least(own, j) * F.col("parts") + F.greatest(own, j))
-    if hot.isEmpty():
-        dealt = spread.withColumn("part", F.lit(0).cast("long"))
-    else:
-        dealt = spread.join(hot, "anchor", "left").select("anchor", F.explode(F.coalesce(pairs.cast("array<long>"), F.array(F.lit(0).cast("long")))).alias("part"), "fp")
-    met = dealt.select("anchor", "part", "fp").repartition("anchor", "part").sortWithinPartitions("anchor", "part")
-    return met.mapInArrow(_linked(bits), "a long, b long")
+    return _met(_to_anchors(fps, bits)).mapInArrow(_linked(bits), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
@@ -298,13 +307,19 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame
 #: Documents are near-duplicates if their shingle sets share at least this part of
 #: their union (as a fraction).
 LEAST = (4, 5)
-#: Bands of a set's least hashes, and hashes a band: sets at 0.8 agree in a band
-#: with a chance of 1 - (1 - 0.8 ** 6) ** 40, all but 5 in a million.
-BANDS, ROWS = 40, 6
-#: Shingles of the rows that meet in one comparison, about.
-MOST_SHINGLES = 4_000_000
+#: Fingerprints of a set.  Two of sets at 0.8 differ in 9.7 bits on average and in 8
+#: or fewer with a chance of about a third: all twelve miss a pair in 150.
+FINGERPRINTS = 12
+#: The next fingerprint of a pair may differ in so many bits: at 0.8 all but one in
+#: 100,000 do, of two unrelated sets one in 120.
+FAR = 22
+#: Keys of a set, each from two least hashes: sets at 0.8 have one in common, all
+#: but 5 in a million; a set that shares none with any other is compared to nothing.
+KEYS = 12
+#: Sets, and their shingles, that meet in one comparison, about.
+MOST_SETS, MOST_SHINGLES = 2048, 4_000_000
 
-_FACTORS = np.random.default_rng(SEED).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD = np.random.default_rng(SEED).integers(0, 2**63, FINGERPRINTS + 2 * KEYS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_set(text: bytes, words: int) -> np.ndarray:
@@ -320,15 +335,28 @@ def shingle_set(text: bytes, words: int) -> np.ndarray:
     return np.unique(np.fromiter((digest(line[i:j], SEED) for i, j in zip(starts, ends)), dtype=np.uint64, count=n))
 
 
-def band_keys(own: np.ndarray) -> np.ndarray:
-    """A key of each band of a set's least hashes; a set without shingles has none."""
+def set_keys(own: np.ndarray) -> np.ndarray:
+    """``KEYS`` keys of a set; one without shingles has none."""
     if not len(own):
         return np.empty(0, np.int64)
-    low = np.full(len(_FACTORS), np.iinfo(np.uint64).max, dtype=np.uint64)
-    for k in range(0, len(own), 512):
-        np.minimum(low, (own[k : k + 512, None] * _FACTORS).min(axis=0), out=low)
+    low = np.full(2 * KEYS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for k in range(0, len(own), 4096):
+        np.minimum(low, (own[k : k + 4096, None] * _ODD[FINGERPRINTS:]).min(axis=0), out=low)
     digest = xxhash.xxh64_intdigest
-    return np.array([digest(x.tobytes(), k) for k, x in enumerate(low.reshape(BANDS, ROWS))], dtype=np.uint64).view(np.int64)
+    return np.array([digest(x.tobytes(), k) for k, x in enumerate(low.reshape(KEYS, 2))], dtype=np.uint64).view(np.int64)
+
+
+def set_fingerprints(own: np.ndarray) -> np.ndarray:
+    """``FINGERPRINTS`` SimHash values of a set of hashes: each is taken from another
+    mixture of them."""
+    total = np.zeros((FINGERPRINTS, 64), dtype=np.int64)
+    for k in range(0, len(own), 4096):
+        mixed = own[k : k + 4096, None] * _ODD[:FINGERPRINTS]
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+        total += np.unpackbits(mixed.view(np.uint8).reshape(len(mixed), FINGERPRINTS, 8), axis=2).sum(axis=0, dtype=np.int32)
+    return np.packbits(2 * total > len(own), axis=1).view(">u8")[:, 0].astype(np.uint64).view(np.int64)
 
 
 def _of_texts(docs: DataFrame, schema: str, make) -> DataFrame:
@@ -345,54 +373,70 @@ def _of_texts(docs: DataFrame, schema: str, make) -> DataFrame:
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, digest of the shingle set, its size, keys of its bands."""
+    """doc_id, digest of the shingle set, its size, its keys."""
 
     def make(texts: list[bytes]) -> list[pa.Array]:
         sets = [shingle_set(x, words) for x in texts]
         digests = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
-        return [digests, pa.array([len(x) for x in sets], pa.int64()), pa.array([band_keys(x) for x in sets], pa.list_(pa.int64()))]
+        return [digests, pa.array([len(x) for x in sets], pa.int64()), pa.array([set_keys(x) for x in sets], pa.list_(pa.int64()))]
 
-    return _of_texts(docs, "doc_id long, digest binary, size long, bands array<long>", make)
+    return _of_texts(docs, "doc_id long, digest binary, size long, keys array<long>", make)
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, shingles (their hashes)."""
-    make = lambda texts: [pa.array([shingle_set(x, words).view(np.int64) for x in texts], pa.list_(pa.int64()))]
-    return _of_texts(docs, "doc_id long, shingles array<long>", make)
+    """doc_id, shingles (their hashes), fps (their fingerprints)."""
+
+    def make(texts: list[bytes]) -> list[pa.Array]:
+        sets = [shingle_set(x, words) for x in texts]
+        return [pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array([set_fingerprints(x) for x in sets], pa.list_(pa.int64()))]
+
+    return _of_texts(docs, "doc_id long, shingles array<long>, fps array<long>", make)
+
+
+def _sets_to_anchors(sets: DataFrame, bits: int) -> DataFrame:
+    """(anchor, fp, other, node) for each fingerprint of each set; other is the next."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = np.asarray(batch.column(0))
+            fps = np.asarray(batch.column(1).flatten()).astype(np.int64).view(np.uint64).reshape(len(nodes), FINGERPRINTS)
+            for k in range(0, len(nodes), 4000):
+                for seed in range(FINGERPRINTS):
+                    own, other = fps[k : k + 4000, seed], fps[k : k + 4000, (seed + 1) % FINGERPRINTS]
+                    rows, keys = anchors(own, bits)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(keys | seed << 50), pa.array(own[rows].view(np.int64)), pa.array(other[rows].view(np.int64)), pa.array(nodes[k : k + 4000][rows])],
+                        names=["anchor", "fp", "other", "node"],
+                    )
+
+    return sets.select("doc_id", "fps").mapInArrow(spread, "anchor long, fp long, other long, node long")
 
 
 def alike(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs at ``LEAST`` or more that span the components of the sets that lie in
-    ``flat`` one after another.  A set is held against those only that no pair has
-    reached yet, so a large group of copies is soon done with."""
+    ``flat`` one after another.  What they share is counted exactly: hashes that
+    many sets hold by matrix products, the others by their holders."""
     n, (part, whole) = len(sizes), LEAST
-    offsets = np.concatenate([[0], np.cumsum(sizes)])
     codes = np.unique(flat, return_inverse=True)[1]
     order = np.argsort(codes, kind="stable")
-    held, of = np.repeat(np.arange(n), sizes)[order], codes[order]
+    held = np.repeat(np.arange(n), sizes)[order]
     counts = np.bincount(codes)
-    first, kinds = np.cumsum(counts) - counts, len(counts)
-    fresh, left, compacted = np.ones(n, dtype=bool), n, n
-    a, b = [], []
-    for seed in range(n):
-        if not fresh[seed]:
-            continue
-        fresh[seed], left, waiting = False, left - 1, [seed]
-        while waiting and left:
-            i = waiting.pop()
-            if left <= compacted // 2:
-                keep = fresh[held]
-                held, of, compacted = held[keep], of[keep], left
-                counts = np.bincount(of, minlength=kinds)
-                first = np.cumsum(counts) - counts
-            own = codes[offsets[i] : offsets[i + 1]]
-            shared = np.bincount(gather(held, first[own], counts[own])[0], minlength=n)
-            near = np.nonzero(fresh & (shared * whole >= part * (sizes[i] + sizes - shared)))[0]
-            fresh[near], left = False, left - len(near)
-            a.append(near)
-            b.append(np.full(len(near), i))
-            waiting += near.tolist()
-    return tuple(np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64) for x in (a, b))
+    first = np.cumsum(counts) - counts
+    shared = np.zeros((n, n), dtype=np.float32)  # whole numbers far below 2 ** 24
+    many = np.nonzero(counts > max(8, n // 8))[0]
+    for k in range(0, len(many), 1024):
+        own = many[k : k + 1024]
+        rows, at = gather(held, first[own], counts[own])
+        holds = np.zeros((n, len(own)), dtype=np.float32)
+        holds[rows, np.repeat(np.arange(len(own)), np.diff(at))] = 1
+        shared += holds @ holds.T
+    for count in np.unique(counts[(counts > 1) & (counts <= max(8, n // 8))]):
+        own = np.nonzero(counts == count)[0]
+        for k in range(0, len(own), max(1, 4_000_000 // int(count) ** 2)):
+            holders = held[first[own[k : k + max(1, 4_000_000 // int(count) ** 2)], None] + np.arange(count)]
+            np.add.at(shared.reshape(-1), (holders[:, :, None] * n + holders[:, None, :]).reshape(-1), np.float32(1))
+    sizes = sizes.astype(np.float32)
+    return _forest(n, lambda i, j: shared[i:j] * whole >= part * (sizes[i:j, None] + sizes[None, :] - shared[i:j]))
 
 
 def _alike_in_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -418,52 +462,51 @@ def _alike_in_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield found()
 
 
-def similar(docs: DataFrame, sketched: DataFrame, candidates: DataFrame, words: int) -> DataFrame:
-    """(a, b): doc_ids that connect all documents that steps of pairs at ``LEAST``
-    or more can reach within the components of ``candidates`` (a, b).
+def similar(sets: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(a, b): doc_ids of ``sets`` (doc_id, shingles) that connect all that steps of
+    pairs at ``LEAST`` or more can reach within the components of ``candidates``.
 
-    Equal sets are collapsed first.  A component is compared as one group, in parts
-    by rows and shingles if it is large (every pair of parts meets), and exact links
-    only are thinned to those that span.
+    A component is compared as one group, in parts by rows and shingles if it is
+    large (every pair of parts meets), and exact links only are thinned to those
+    that span.
     """
-    firsts = written(sketched.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("size").alias("size")), "sets")
-    copies = sketched.join(firsts.select("digest", "first"), "digest").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).where("a <> b")
-    # equal ids with different texts have the largest size
-    unique = firsts.where("size > 0").groupBy(F.col("first").alias("doc_id")).agg(F.max("size").alias("size"))
-    rooted = written(components(candidates.unionByName(copies)).withColumnRenamed("node", "doc_id").join(unique, "doc_id"), "clusters")
-    share = F.greatest(F.count("*") * 2 / MOST, F.sum("size") * 2 / MOST_SHINGLES)
+    sized = sets.select("doc_id", F.size("shingles").alias("size"))
+    rooted = written(components(candidates).withColumnRenamed("node", "doc_id").join(sized, "doc_id"), "clusters")
+    share = F.greatest(F.count("*") * 2 / MOST_SETS, F.sum("size") * 2 / MOST_SHINGLES)
     parts = rooted.groupBy("root").agg(F.count("*").alias("n"), F.ceil(share).cast("int").alias("parts")).where("n > 1")
     own = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
     meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least(own, j).cast("long") * F.col("parts") + F.greatest(own, j))
     members = rooted.join(parts, "root").select("doc_id", "root", meets.alias("meets"))
-    sets = shingle_sets(docs.join(members.select("doc_id"), "doc_id", "left_semi"), words)
     met = sets.join(members, "doc_id").select("root", F.explode("meets").alias("part"), "doc_id", "shingles")
-    linked = met.repartition("root", "part").sortWithinPartitions("root", "part").mapInArrow(_alike_in_groups, "a long, b long")
-    return copies.unionByName(linked)
+    return met.repartition("root", "part").sortWithinPartitions("root", "part").mapInArrow(_alike_in_groups, "a long, b long")
 
 
-def keep_one_each(docs: DataFrame, words: int = 5, bits: int = 8, seeds: tuple[int, ...] = (SEED, 43, 44)) -> DataFrame:
+def keep_one_each(docs: DataFrame, words: int = 5, bits: int = 8) -> DataFrame:
     """docs without near-duplicates: of each component the row with the smallest
     doc_id stays, with all its columns; of rows that repeat a doc_id one stays.
-    Documents are linked if their shingle sets are alike by ``LEAST``.  Which are
-    compared comes from fingerprints by any of the seeds that link, and from bands of
-    least hashes.  Rows without a doc_id can't be told from one another and stay."""
-    named = docs.where("doc_id IS NOT NULL")
-    rows = written(fingerprints(named, words, seeds), "simhash")
-    edges = []
-    for name in (f"fp_{k}" for k in range(len(seeds))):
-        unique = written(rows.groupBy(F.col(name).alias("fp")).agg(F.min("doc_id").alias("rep")), "unique")
-        copies = rows.select("doc_id", F.col(name).alias("fp")).join(unique, "fp").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-        a, b = (unique.select(F.col("fp").alias(end), F.col("rep").alias(f"rep_{end}")) for end in "ab")
-        linked = links(unique, bits).distinct().join(a, "a").join(b, "b")
-        edges += [copies.where("a <> b"), linked.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))]
+
+    Documents are linked if their sets of shingles of ``words`` words (A-Z
+    lower-cased) are alike by ``LEAST``.  Equal sets are collapsed first.  Those that
+    could have a partner (they share a key with another) get fingerprints that meet
+    at anchors; what links there, on one fingerprint by ``bits`` and on the next by
+    ``FAR``, is held against the whole sets.  Null and empty texts, and texts of white
+    space, have one (empty) set and count as copies of each other.  Rows without a
+    doc_id can't be told from one another and stay.  An empty table gives no rows.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    named = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
     sketched = written(sketches(named, words), "sketches")
-    keyed = sketched.groupBy("digest").agg(F.min(F.struct("doc_id", "bands")).alias("x")).select("x.doc_id", F.explode("x.bands").alias("key"))
-    lowest = F.min("doc_id").over(W.partitionBy("key"))
-    edges.append(keyed.select(F.col("doc_id").alias("a"), lowest.alias("b")).where("a <> b").distinct())
-    pairs = similar(named, sketched, reduce(DataFrame.unionByName, edges), words)
-    lost = written(components(pairs).where("node <> root").select(F.col("node").alias("doc_id")), "copies")
-    stay = docs.join(lost, "doc_id", "left_anti").select(docs.columns)
-    if rows.groupBy("doc_id").count().where("count > 1").isEmpty():
+    # equal ids with different texts: each set counts, all under that id
+    firsts = written(sketched.groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys")), "sets")
+    copies = sketched.join(firsts.select("digest", "first"), "digest").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).where("a <> b")
+    keyed = firsts.select("digest", "first", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("key")
+    close = written(keyed.join(shared, "key", "left_semi").select(F.col("first").alias("doc_id")).distinct(), "close")
+    sets = written(shingle_sets(named.join(close, "doc_id", "left_semi"), words), "shingles")
+    candidates = _met(_sets_to_anchors(sets, bits)).mapInArrow(_linked(bits, FAR), "a long, b long")
+    lost = components(copies.unionByName(similar(sets, candidates))).where("node <> root")
+    lost = written(lost.select(F.col("node").alias("doc_id")), "copies")
+    stay = docs.join(lost, "doc_id", "left_anti").select(columns)
+    if sketched.groupBy("doc_id").count().where("count > 1").isEmpty():
         return stay
     return stay.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(stay.where("doc_id IS NULL"))

@@ -205,7 +205,7 @@ def test_all_documents_come_back(spark):
 def test_stages_one_after_another(spark):
     from millrace.llm.common import load, written
     from tests.llm.test_line_dedup import brute as cut_lines
-    from tests.llm.test_simhash import plain_fingerprint
+    from tests.llm.test_simhash import plain_roots
 
     docs = load(spark, SF, "documents")
     names = [n for n, _ in corpus_pipeline.STAGES]
@@ -218,19 +218,6 @@ def test_stages_one_after_another(spark):
     assert {r.doc_id: r.text for r in cut.collect()} == want and cut.columns == docs.columns
     assert all(r.n_chars == len(r.text) for r in cut.collect())
     near = corpus_pipeline.near_copies(spark, cut, SF)
-    fps = sorted((i, [plain_fingerprint(t, 5, seed) for seed in (42, 43, 44)]) for i, t in want.items())
-    root = {i: i for i, _ in fps}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for k, (i, a) in enumerate(fps):
-        for j, b in fps[:k]:
-            far = [(p ^ q).bit_count() for p, q in zip(a, b)]
-            if min(far) <= 8 and max(far) <= 20:
-                x, y = find(i), find(j)
-                root[max(x, y)] = min(x, y)
-    assert {r.doc_id for r in near.collect()} == {i for i in root if find(i) == i} and near.columns == docs.columns
+    roots = plain_roots(sorted(want.items()))
+    assert {r.doc_id for r in near.collect()} == {i for i, root in roots.items() if root == i} and near.columns == docs.columns
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()} == {r.doc_id for r in near.collect()}

@@ -123,6 +123,7 @@ def test_near_copies_at_the_threshold(spark, monkeypatch):
     df = spark.createDataFrame(rows, SCHEMA)
     assert {r.doc_id for r in simhash.keep_one_each(df).collect()} == want
     monkeypatch.setattr(simhash, "MOST", 8)
+    monkeypatch.setattr(simhash, "MOST_SETS", 8)
     assert {r.doc_id for r in simhash.keep_one_each(df).collect()} == want
 
 
