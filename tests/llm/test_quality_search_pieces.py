@@ -68,9 +68,47 @@ def test_cutoffs_are_certified(spark):
     assert verdict[1800] and not verdict[1801] and not verdict[None]  # no label in its stratum; too short
     kept = quality.keep_good(docs, labels)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for i, v in verdict.items() if v)
-    few = labels.where("doc_id % 10 = 0")
+    few = labels.where("doc_id % 20 = 0")
     assert sum(r.kept for r in quality.judge(docs, few).collect()) == 1801  # too few labels to certify anything
     assert quality.judge(docs.limit(0), labels).count() == 0
+    plain = docs.select("doc_id", "text", F.lit(1).alias("a.b"))  # no lang, a dotted name
+    assert quality.keep_good(plain, labels).columns == plain.columns
+    # languages with too few good rows each are certified together, one without labels is not
+    mixed = docs.withColumn("lang", F.when(F.col("doc_id") < 1790, F.concat(F.lit("l"), F.col("doc_id") % 12)).otherwise(F.col("lang")))
+    verdict = {r.doc_id: r.kept for r in quality.judge(mixed, labels).collect()}
+    assert sum(verdict[i] for i in range(1500)) >= 1495 and not any(verdict[i] for i in range(1500, 1790)) and verdict[1800]
+
+
+def plain_lasts(rows):
+    """The step up to which each language is rejected, by a plain loop: rows are
+    (language, first step that rejects, good)."""
+    langs = sorted({r[0] for r in rows})
+    level = quality.ERROR / len(langs)
+    n = {x: sum(g for a, _, g in rows if a == x) for x in langs}
+    pool = {x: x if n[x] and (1 - quality.FALSE_REJECTION) ** n[x] <= level else None for x in langs}
+    out = {}
+    for own in set(pool.values()):
+        mine = [(s, g) for x, s, g in rows if pool[x] == own]
+        goods, best = sum(g for _, g in mine), (0, None)
+        for last in range(len(quality.STEPS)):
+            k = sum(g for s, g in mine if s is not None and s <= last)
+            bad = sum(not g for s, g in mine if s is not None and s <= last)
+            if sum(math.comb(goods, i) * quality.FALSE_REJECTION**i * (1 - quality.FALSE_REJECTION) ** (goods - i) for i in range(k + 1)) > level:
+                break
+            if bad - k > best[0]:
+                best = (bad - k, last)
+        out |= {x: best[1] for x in langs if pool[x] == own}
+    return out
+
+
+def test_certified_steps_match_a_plain_loop(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality._with_step(quality.measured(docs).where("NOT base_failed")).join(labels, "doc_id").selectExpr("stratum", "step", "quality = 1").collect()
+    want = plain_lasts([tuple(r) for r in rows])
+    assert {r.stratum: r["last"] for r in quality.certified_steps(quality.measured(docs), labels).collect()} == {x: k for x, k in want.items() if k is not None}
+    assert want["en"] is not None
+    judged = queries.op7_quality_rules(spark, SF)
+    assert judged.where("NOT base_failed AND NOT kept").count() > 10  # the method's own verdicts
 
 
 def test_measures_equal_the_sql(spark):
