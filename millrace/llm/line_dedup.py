@@ -49,7 +49,8 @@ def _windows(lines: Column, min_words: int, seed: int) -> Column:
 
 def repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """k1, k2 (doc_id and hash of the text), runs (array of first and last line
-    number) of every document that holds a later copy of a run."""
+    number) of every document that holds a later copy of a run.  Where a run
+    overlaps its first copy, the first stays whole."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("k1"), F.xxhash64(text).alias("k2"), _lines(text).alias("lines"))
     both = keyed.select("k1", "k2", F.explode(F.concat(_windows(F.col("lines"), min_words, 42), _windows(F.reverse("lines"), min_words, 43))).alias("x"))
@@ -59,11 +60,15 @@ def repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
     )
     windows = written(windows, "windows")
     place = F.struct("k1", "k2", "at")
-    met = windows.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("fp")
+    # tables of their own, so that a join with a frequent fingerprint can be split
+    met = written(windows.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("fp"), "met-prints")
     met = written(windows.join(met, "fp"), "met")
-    place = F.struct("k1", "k2", "low")
-    firsts = met.groupBy("fp", "h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("fp", "h", "first")
-    later = met.join(firsts, ["fp", "h"]).where(place > F.col("first"))
+    place = F.struct("k1", "k2", "low", "high")
+    firsts = met.groupBy("fp", "h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
+    firsts = written(firsts.select("fp", "h", "first"), "first-runs")
+    later = met.join(firsts, ["fp", "h"]).where(F.struct("k1", "k2", "low") > F.struct("first.k1", "first.k2", "first.low"))
+    own = (F.col("k1") == F.col("first.k1")) & (F.col("k2") == F.col("first.k2"))
+    later = later.withColumn("low", F.when(own, F.greatest("low", F.col("first.high") + 1)).otherwise(F.col("low"))).where("low <= high")
     return later.groupBy("k1", "k2").agg(F.collect_set(F.struct("low", "high")).alias("runs"))
 
 
@@ -84,9 +89,11 @@ def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("k1"), F.xxhash64(text).alias("k2"),
     )
-    found = whole.join(runs, ["k1", "k2"], "left").withColumn("lines", F.split("row.text", "\n"))
+    # the explode of one element holds the lines, which would be split again for each line
+    found = whole.join(runs, ["k1", "k2"], "left").select("row", "runs", F.explode(F.array(F.split("row.text", "\n"))).alias("lines"))
     within = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["low"], r["high"]))))
-    found = found.withColumn("gone", F.filter(within, lambda i: F.get("lines", i).rlike(r"[^ \t-\r]")))
+    blank = F.filter(F.transform("lines", lambda x, i: F.when(~x.rlike(r"[^ \t-\r]"), i)), lambda i: i.isNotNull())
+    found = found.withColumn("gone", F.array_except(within, blank))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     cut = F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n")
     columns = [F.when(F.col("runs").isNull(), F.col("row.text")).otherwise(cut).alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != "n_dropped"]
@@ -94,12 +101,15 @@ def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
 
 
 def without_copies(docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """docs after :func:`dedup_lines`, with n_chars set anew and without the rows
-    of which nothing was left."""
-    cut = dedup_lines(docs, min_words)
-    some = (F.col("n_dropped") == 0) | F.col("text").rlike(r"[^ \t-\r]")
-    kept = cut.where(some).withColumn("n_chars", F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return kept.select(docs.columns)
+    """docs after :func:`dedup_lines` without the rows of which nothing was left; a
+    column n_chars is set anew where lines went.  Null and empty texts stay, as do
+    all columns and the order of them."""
+    cut = dedup_lines(docs.withColumnRenamed("n_dropped", "_n_dropped"), min_words)
+    kept = cut.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^ \t-\r]"))
+    if "n_chars" in docs.columns:
+        length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        kept = kept.withColumn("n_chars", F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(length))
+    return kept.select(*(F.col("`_n_dropped`").alias(c) if c == "n_dropped" else F.col(f"`{c}`") for c in docs.columns))
 
 
 _SQL_TRIM = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -111,7 +121,8 @@ l AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY no) AS q, sum(w) OVER
 spans AS (SELECT 'f' AS kind, a.doc_id, a.no AS low, min(b.no) AS high FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.no >= a.no AND b.q - a.p >= 50 GROUP BY a.doc_id, a.no
     UNION ALL SELECT 'b', a.doc_id, max(b.no), a.no FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.no <= a.no AND a.q - b.p >= 50 GROUP BY a.doc_id, a.no),
 c AS (SELECT kind, s.doc_id, low, high, string_agg(line, chr(10) ORDER BY no) AS content FROM spans s JOIN l ON l.doc_id = s.doc_id AND no BETWEEN low AND high GROUP BY ALL),
-later AS (SELECT * FROM (SELECT *, min((doc_id, low)) OVER (PARTITION BY kind, content) AS first FROM c) WHERE (doc_id, low) > first),
+firsts AS (SELECT *, min({{'d': doc_id, 'low': low, 'high': high}}) OVER (PARTITION BY kind, content) AS first FROM c),
+later AS (SELECT doc_id, CASE WHEN doc_id = first.d THEN greatest(low, first.high + 1) ELSE low END AS low, high FROM firsts WHERE doc_id > first.d OR low > first.low),
 gone AS (SELECT DISTINCT l.doc_id, no FROM later JOIN l ON l.doc_id = later.doc_id AND no BETWEEN low AND high),
 cut AS (SELECT e.doc_id, string_agg(line, chr(10) ORDER BY e.no) FILTER (g.no IS NULL) AS text, count(g.no) AS n FROM every e LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.no = e.no GROUP BY e.doc_id)
 SELECT d.doc_id, CASE WHEN n > 0 THEN coalesce(cut.text, '') ELSE d.text END AS text, coalesce(n, 0) AS n_dropped FROM documents d LEFT JOIN cut USING (doc_id)

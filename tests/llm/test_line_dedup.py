@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 from millrace.llm import line_dedup
 
 SF = "/root/testdata/sf0.01"
@@ -27,11 +29,13 @@ def brute(rows, least=50):
                     content = (step, tuple(lines[i].strip(strip) for i in span))
                     spans.append((content, min(span), max(span)))
         docs.append((key, text, lines, spans))
-        for content, low, _ in spans:
-            windows[content] = min(windows.get(content, (key, low)), (key, low))
+        for content, low, high in spans:
+            windows[content] = min(windows.get(content, (key, low, high)), (key, low, high))
     out = []
     for key, text, lines, spans in docs:
-        gone = {i for c, low, high in spans if (key, low) > windows[c] for i in range(low, high + 1) if words(lines[i])}
+        # of a run that overlaps its first copy only what lies beyond that goes
+        start = lambda c, low: max(low, windows[c][2] + 1) if windows[c][0] == key else low
+        gone = {i for c, low, high in spans if (key, low) > windows[c][:2] for i in range(start(c, low), high + 1) if words(lines[i])}
         out.append((key, text if not gone else "\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone)))
     return out
 
@@ -61,9 +65,11 @@ def test_nulls_repeats_empty_and_long(spark):
     assert got[None, "a"] == (line, 0)
     assert got[1, "b"] == got[1, "c"] == ("", 1)
     assert got[2, None] == (None, 0) and got[3, "d"] == ("", 0)
-    assert got[4, "e"][1] == 19_999  # all but the first, as runs may overlap their copy
+    assert got[4, "e"][1] == 19_975 and got[4, "e"][0].count("x y") == 25  # the first run of 50 words stays whole
     assert got[5, "f"] == ("new", 1)
     kept = line_dedup.without_copies(df)
     assert kept.columns == df.columns
     assert sorted((r.doc_id or 0, r.n_chars) for r in kept.collect() if r.n_chars is not None and r.doc_id != 4) == [(0, 1), (3, 0), (5, 3)]
     assert line_dedup.dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0
+    odd = line_dedup.without_copies(df.select("doc_id", "text", F.lit(7).alias("n_dropped"), F.lit("z").alias("a.b")))
+    assert odd.columns == ["doc_id", "text", "n_dropped", "a.b"] and {r.n_dropped for r in odd.collect()} == {7}
