@@ -201,15 +201,39 @@ def _spanning(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndar
     return moved, parent[moved]
 
 
+def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node of the edges (a, b) with the least node that it reaches, but for
+    those least nodes themselves."""
+    nodes, codes = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, label = codes[: len(a)], codes[len(a) :], np.arange(len(nodes))
+    while True:
+        low, new = np.minimum(label[x], label[y]), label.copy()
+        np.minimum.at(new, label[x], low)
+        np.minimum.at(new, label[y], low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    moved = np.nonzero(label != np.arange(len(nodes)))[0]
+    return nodes[moved], nodes[label[moved]]
+
+
+#: Links that a task holds before it thins them to stars.
+_MOST_HELD = 1_000_000
+
+
 def _linked(bits: int, far: int = 64):
-    """Links (a, b) of rows (anchor, part, fp, and perhaps a second fingerprint that
-    may differ in ``far`` places and the number to give for the row) that are sorted
-    by anchor and part."""
+    """Edges (a, b) that connect what rows (anchor, part, fp, and perhaps a second
+    fingerprint that may differ in ``far`` places and the number to give for the row)
+    link, sorted by anchor and part.  A task gives a node one edge, to the least node
+    that it reaches there: groups that meet at many anchors make no edge for each."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
+        found: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def edges(anchor: np.ndarray, part: np.ndarray, *rest: np.ndarray) -> pa.RecordBatch | None:
+        def edges(anchor: np.ndarray, part: np.ndarray, *rest: np.ndarray) -> None:
             fp, names = rest[0], rest[-1]
             near = lambda x, y: np.bitwise_count(fp[x] ^ fp[y]) <= bits
             if len(rest) > 1:
@@ -232,10 +256,9 @@ def _linked(bits: int, far: int = 64):
                 x, y = _forest(len(own), lambda i, j, own=own: near(own[i:j, None], own[None, :]))
                 a.append(own[x])
                 b.append(own[y])
-            x, y = (names[np.concatenate(z)].view(np.int64) for z in (a, b))
-            if not len(x):
-                return None
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+            found.append(tuple(names[np.concatenate(z)].view(np.int64) for z in (a, b)))
+            if sum(len(x) for x, _ in found) > _MOST_HELD:
+                found[:] = [_stars(*map(np.concatenate, zip(*found)))]
 
         for batch in batches:
             new = [np.asarray(c) for c in batch.columns]
@@ -247,10 +270,13 @@ def _linked(bits: int, far: int = 64):
             whole = np.nonzero((new[0] != new[0][-1]) | (new[1] != new[1][-1]))[0]
             cut = int(whole[-1]) + 1 if len(whole) else 0
             held = [x[cut:] for x in new]
-            if cut and (out := edges(*(x[:cut] for x in new))) is not None:
-                yield out
-        if held is not None and (out := edges(*held)) is not None:
-            yield out
+            if cut:
+                edges(*(x[:cut] for x in new))
+        if held is not None:
+            edges(*held)
+        if found:
+            x, y = _stars(*map(np.concatenate, zip(*found)))
+            yield pa.RecordBatch.from_arrays([pa.array(y), pa.array(x)], names=["a", "b"])
 
     return compare
 
@@ -270,11 +296,11 @@ def _met(spread: DataFrame) -> DataFrame:
 
 
 def links(fps: DataFrame, bits: int = 4) -> DataFrame:
-    """(a, b): linked pairs of distinct fingerprints (column fp) that connect all
-    that can be reached by steps of at most ``bits`` differing bits (<= 8).
+    """(a, b): pairs of distinct fingerprints (column fp) that connect all that can be
+    reached by steps of at most ``bits`` differing bits (<= 8).
 
-    A group at an anchor gives at most as many edges as it has members, times a
-    small constant; pairs are compared in place and not written out.
+    Pairs are compared in place and not written out; a task gives a fingerprint one
+    edge at most.
     """
     if not 0 <= bits <= 8:
         raise ValueError("bits is 0 to 8")
