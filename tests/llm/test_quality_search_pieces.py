@@ -153,8 +153,13 @@ def test_search_of_few_or_odd_vectors(spark):
     schema = "vec_id long, embedding array<float>, label int, v string"
     rows = [(0, [0.5, -0.5], 1, "x"), (1, None, 1, "x"), (2, [float("nan"), 1.0], 1, "x"), (3, [None, 1.0], 1, "x"), (4, [1.0, 0.25], 1, "x"), (4, [1.0, 0.25], 2, "y"), (None, [1.0, 1.0], 1, "x"), (5, [float("inf"), 0.0], 1, "x")]
     vectors = cover_tree.integer_vectors(spark.createDataFrame(rows, schema))
-    assert sorted(map(tuple, vectors.collect())) == [(0, [128, -128]), (4, [256, 64])]
-    assert list(map(tuple, cover_tree.top_k(vectors, F.col("vec_id") % 50 == 0).collect())) == [(0, 1, 4, 128 * 256 - 128 * 64)]
+    assert sorted(map(tuple, vectors.collect())) == [(0, [128, -128]), (4, [256, 64]), (4, [256, 64])]
+    score = 128 * 256 - 128 * 64
+    assert sorted(map(tuple, cover_tree.top_k(vectors, F.col("vec_id") % 50 == 0).collect())) == [(0, 1, 4, score), (0, 2, 4, score)]
+    # repeated ids with different vectors: each row counts, as a query too
+    rows = [(0, [256, 0]), (4, [256, 0]), (4, [512, 0]), (7, [128, 0]), (0, [0, 256])]
+    twice = cover_tree.top_k(spark.createDataFrame(rows, "vec_id long, v array<long>"), F.col("vec_id") % 50 == 0, 2)
+    assert sorted(map(tuple, twice.collect())) == [(0, 1, 0, 0), (0, 1, 4, 131072), (0, 2, 4, 0), (0, 2, 4, 65536)]
     assert cover_tree.top_k(vectors.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
