@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -17,7 +18,7 @@ from .tables import written
 
 
 class Ingested(NamedTuple):
-    """entries: new rows; rejected: source_id, pos, reason; summary: one row."""
+    """entries: new rows; rejected: the order columns and reason; summary: one row."""
 
     entries: DataFrame
     rejected: DataFrame
@@ -53,26 +54,43 @@ def with_ids(rows: DataFrame, order_cols: list[str], first_id: int) -> DataFrame
     return ranged.withColumn("_p", part).join(F.broadcast(table), "_p").withColumn("id", F.col("_start") + F.col("_n") - F.shiftleft("_p", 33)).drop("_n", "_p", "_start")
 
 
-def ingest(items: DataFrame, entries: DataFrame, now, details: DataFrame | None = None, order_cols: list[str] | None = None, layers: tuple[str, ...] = LAYERS) -> Ingested:
+def order_columns(items: DataFrame) -> list[str]:
+    """What tells items apart and orders them: source, then the document as it was
+    fetched (where items know it), then the place in it."""
+    return ["source_id", "fetched_at", "doc_id", "pos"] if "doc_id" in items.columns else ["source_id", "pos"]
+
+
+def ingest(
+    items: DataFrame, entries: DataFrame, now, details: DataFrame | None = None, order_cols: list[str] | None = None, layers: tuple[str, ...] = LAYERS, failed: DataFrame | None = None
+) -> Ingested:
     """New entries of a batch: cleaned, keyed, without identity-less items, held
-    against the store and against each other in order (source, position), enriched,
-    numbered in the order of acceptance."""
-    order_cols = order_cols or ["source_id", "pos"]
+    against the store and against each other in order (see :func:`order_columns`),
+    enriched, numbered in the order of acceptance.
+
+    Order columns that two items share are an error, as neither would be first.
+    ``failed`` (source_id, error) are documents that could not be read; they count as
+    errors in the summary.  Only keys are joined; the texts are written once, with
+    their keys, and join the accepted keys in the end.
+    """
+    order_cols = order_cols or order_columns(items)
     stamp = F.lit(now).cast("timestamp")
     keyed = written(with_keys(sanitize_items(items)), "keyed")
+    keys = keyed.select(*order_cols, *(c for c in ("source_id", "guid", "url", "content_hash") if c not in order_cols))
+    if not keys.groupBy(*order_cols).count().where("count > 1").isEmpty():
+        raise ValueError(f"several items share their {', '.join(order_cols)}: give order_cols that tell items apart")
     nameless = (F.col("guid") == "") & (F.col("url") == "") & (F.col("content_hash") == "")
-    checked = written(reject_known(keyed.where(~nameless).withColumn("ord", F.struct(*order_cols)), entry_keys(entries, layers), layers), "checked")
+    checked = written(reject_known(keys.where(~nameless).withColumn("ord", F.struct(*order_cols)), entry_keys(entries, layers), layers), "checked")
     judged = written(dedup_first_wins(checked.where("reason IS NULL").drop("reason", "entry_id", "ord"), order_cols, layers), "judged")
-    accepted = judged.where("accepted").drop("accepted", "reason", "winner")
+    last = entries.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    numbers = with_ids(judged.where("accepted").select(*order_cols), order_cols, last + 1)
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in order_cols]
+    accepted = keyed.alias("a").join(numbers.alias("b"), same).select("a.*", "b.id")
     if details is not None:
         accepted = enrich_new(accepted, details)
-    last = entries.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    numbered = with_ids(accepted, order_cols, last + 1)
-    new = item_to_entry(numbered, stamp)
-    reasons = [keyed.where(nameless).select("source_id", "pos", F.lit("no_identity").alias("reason")), checked.where("reason IS NOT NULL").select("source_id", "pos", "reason"), judged.where("NOT accepted").select("source_id", "pos", "reason")]
-    rejected = reasons[0].unionByName(reasons[1]).unionByName(reasons[2])
-    new = written(new, "new-entries")
-    return Ingested(new, rejected, ingest_summary(new, rejected))
+    new = written(item_to_entry(accepted, stamp), "new-entries")
+    reasons = [keys.where(nameless).withColumn("reason", F.lit("no_identity")), checked.where("reason IS NOT NULL"), judged.where("NOT accepted")]
+    rejected = reduce(DataFrame.unionByName, (r.select(*order_cols, "reason") for r in reasons))
+    return Ingested(new, rejected, ingest_summary(new, rejected, failed))
 
 
 def ingest_summary(new: DataFrame, rejected: DataFrame, failed: DataFrame | None = None) -> DataFrame:

@@ -8,18 +8,18 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder where it is unset, as in tests."""
+    """spark.checkpoint.dir, the folder that driver and executors share.  Only in a
+    local session may it be unset: there one is taken for the application; elsewhere
+    executors would lose what each of them writes, so that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="millrace-")
-    return _own[app]
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="millrace-"))
+    return spark.conf.get("spark.checkpoint.dir")
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:

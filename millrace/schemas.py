@@ -4,6 +4,8 @@ ITEM = (
     "source_id long, pos int, guid string, url string, title string, author string, published_at timestamp, inferred_time boolean, "
     "summary string, content string, content_type string, tags array<string>, extra map<string,string>, fetched_at timestamp"
 )
+#: Items of landed documents also know their document; ``pos`` counts inside it.
+DOCUMENT_ITEM = ITEM + ", doc_id string"
 ENTRY = (
     "id long, source_id long, guid string, url string, content_hash string, title string, author string, published_at timestamp, summary string, "
     "content string, content_type string, tags array<string>, extra map<string,string>, fetched_at timestamp, created_at timestamp, updated_at timestamp, deleted boolean"

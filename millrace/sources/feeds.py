@@ -140,8 +140,11 @@ def _read_feeds(bodies: pd.Series) -> pd.DataFrame:
 
 
 def read_feeds(raw_docs: DataFrame) -> DataFrame:
-    """raw_docs with ``feed``: error ('' if fine), format, title, items."""
-    return raw_docs.withColumn("feed", _read_feeds("body"))
+    """raw_docs with ``feed``: error ('' if fine), format, title, items.
+
+    The explode of one element keeps later filters and projections from reading the
+    documents again for each of their columns."""
+    return raw_docs.select("*", F.explode(F.array(_read_feeds("body"))).alias("feed"))
 
 
 def limit_items(items: Column, limit: int = ITEM_LIMIT) -> Column:
