@@ -134,12 +134,17 @@ def json_and_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", F.array_join(text.parse_tags(tags), ",").alias("tags"), text.parse_extra(extra)["name"].alias("name"), text.effective_interval(interval, F.col("p_size") % 10).alias("wait"))
 
 
-@query("""SELECT doc_id, '<p>' || replace(replace(left(text, 80), '''', '&#39;'), '"', '&#34;') || '</p>' || CASE WHEN doc_id % 2 = 0 THEN '<a href="/x" rel="nofollow">t</a>' ELSE 't' END AS clean FROM documents WHERE NOT regexp_matches(left(text, 80), '[<>&]')""")
+@query(
+    """SELECT doc_id, '<p>' || replace(replace(replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '''', '&#39;'), '"', '&#34;') || '</p>' || CASE WHEN doc_id % 2 = 0 THEN '<a href="/x" rel="nofollow">t</a>' ELSE 't' END AS clean FROM documents"""
+)
 def sanitized_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "documents").where(~F.left("text", F.lit(80)).rlike("[<>&]"))
+    """Whole texts, escaped, amid hostile markup."""
     href = F.when(F.col("doc_id") % 2 == 0, F.lit("/x")).otherwise(F.lit("javascript:go()"))
-    fragment = F.concat(F.lit('<p onclick="x" style="y">'), F.left("text", F.lit(80)), F.lit('</p><script>bad()</script><a href="'), href, F.lit('">t</a><iframe src="z">hidden</iframe>'))
-    return t.select("doc_id", html.sanitize_html(fragment).alias("clean"))
+    body = F.coalesce("text", F.lit(""))
+    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        body = F.replace(body, F.lit(plain), F.lit(entity))
+    fragment = F.concat(F.lit('<p onclick="x" style="y">'), body, F.lit('</p><script>bad()</script><a href="'), href, F.lit('">t</a><iframe src="z">hidden</iframe>'))
+    return table(spark, sf_dir, "documents").select("doc_id", html.sanitize_html(fragment).alias("clean"))
 
 
 @query()
@@ -151,27 +156,36 @@ def sanitized_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A feed document for each item: RSS, Atom or JSON Feed by turns, some broken."""
+    """Feed documents of up to 80 items with whole texts: RSS, Atom or JSON Feed by
+    turns, some broken."""
     i = d.items(spark, sf_dir)
-    title, body, when = text.xml_escape(text.collapse_white("title")), text.xml_escape(text.collapse_white("summary")), F.col("published_at")
-    fmt = F.col("pos") % 3
-    rss = F.concat(F.lit("<rss><channel><title>ch</title><item><title>"), title, F.lit("</title><guid>"), "guid", F.lit("</guid><description>"), body, F.lit("</description><pubDate>"), F.concat(F.lit("Mon, "), F.date_format(when, "dd MMM yyyy HH:mm:ss"), F.lit(" GMT")), F.lit("</pubDate></item></channel></rss>"))
-    atom = F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><title>ch</title><entry><id>'), "guid", F.lit('</id><link rel="self" href="s"/><link href="'), "guid", F.lit('"/><title>'), title, F.lit("</title><content>"), body, F.lit("</content><updated>"), F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("</updated></entry></feed>"))
-    js = F.to_json(F.struct(F.lit("ch").alias("title"), F.array(F.struct(F.col("guid").alias("id"), F.col("guid").alias("url"), text.collapse_white("title").alias("title"), text.collapse_white("summary").alias("content_text"), F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date_published"))).alias("items")))
-    whole = F.when(fmt == 0, rss).when(fmt == 1, atom).otherwise(js)
-    broken = F.col("pos") % 17 == 16
-    return i.select("source_id", F.col("guid").alias("doc_id"), F.lit("").alias("base_url"), "fetched_at", F.when(broken, F.left(whole, F.length(whole) - 3)).otherwise(whole).alias("body"), F.lit("").alias("etag"), F.lit("").alias("last_modified"))
+    title, body, when = text.xml_escape(text.collapse_white("title")), text.xml_escape(text.collapse_white("content")), F.col("published_at")
+    number = F.floor(F.col("pos") / 80)
+    rss = F.concat(F.lit("<item><title>"), title, F.lit("</title><guid>"), "guid", F.lit("</guid><description>"), body, F.lit("</description><pubDate>"), F.concat(F.lit("Mon, "), F.date_format(when, "dd MMM yyyy HH:mm:ss"), F.lit(" GMT")), F.lit("</pubDate></item>"))
+    atom = F.concat(F.lit("<entry><id>"), "guid", F.lit('</id><link rel="self" href="s"/><link href="'), "guid", F.lit('"/><title>'), title, F.lit("</title><content>"), body, F.lit("</content><updated>"), F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("</updated></entry>"))
+    js = F.to_json(F.struct(F.col("guid").alias("id"), F.col("guid").alias("url"), text.collapse_white("title").alias("title"), text.collapse_white("content").alias("content_text"), F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date_published")))
+    each = i.select("source_id", "pos", "fetched_at", number.alias("number"), F.when(number % 3 == 0, rss).when(number % 3 == 1, atom).otherwise(js).alias("item"))
+    docs = each.groupBy("source_id", "number", "fetched_at").agg(F.array_sort(F.collect_list(F.struct("pos", "item"))).alias("items"))  # 80 at most
+    joined = F.when(F.col("number") % 3 == 2, F.array_join("items.item", ",")).otherwise(F.array_join("items.item", ""))
+    whole = F.when(F.col("number") % 3 == 0, F.concat(F.lit("<rss><channel><title>ch</title>"), joined, F.lit("</channel></rss>")))
+    whole = whole.when(F.col("number") % 3 == 1, F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><title>ch</title>'), joined, F.lit("</feed>"))).otherwise(F.concat(F.lit('{"title":"ch","items":['), joined, F.lit("]}")))
+    broken = F.col("number") % 5 == 4
+    return docs.select(
+        "source_id", F.concat("source_id", F.lit("-"), "number").alias("doc_id"), F.lit("").alias("base_url"), "fetched_at", F.when(broken, F.left(whole, F.length(whole) - 3)).otherwise(whole).alias("body"),
+        F.lit("").alias("etag"), F.lit("").alias("last_modified"),
+    )
 
 
 _CLEAN = lambda c: f"trim(regexp_replace({c}, '[\\t-\\r ]+', ' ', 'g'), ' ')"
+_PLACE = "(row_number() OVER (PARTITION BY source_id, pos // 80 ORDER BY pos) - 1)::INT"
 
 
-@query(with_sql("items", f"SELECT source_id, guid AS doc_id, guid, guid AS url, {_CLEAN('title')} AS title, {_CLEAN('summary')} AS content, published_at, CASE WHEN pos % 3 = 2 THEN 'text/plain' ELSE 'text/html' END AS content_type FROM items WHERE pos % 17 <> 16"))
+@query(with_sql("items", f"SELECT source_id, source_id || '-' || pos // 80 AS doc_id, {_PLACE} AS pos, guid, guid AS url, {_CLEAN('title')} AS title, {_CLEAN('content')} AS content, published_at, CASE WHEN pos // 80 % 3 = 2 THEN 'text/plain' ELSE 'text/html' END AS content_type FROM items WHERE pos // 80 % 5 <> 4"))
 def feed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feeds.parse_feed(_feeds(spark, sf_dir)).select("source_id", "doc_id", "guid", "url", "title", "content", "published_at", "content_type")
+    return feeds.parse_feed(_feeds(spark, sf_dir)).select("source_id", "doc_id", "pos", "guid", "url", "title", "content", "published_at", "content_type")
 
 
-@query(with_sql("items", "SELECT guid AS doc_id, CASE WHEN pos % 17 = 16 THEN '' ELSE 'ch' END AS title, pos % 17 = 16 AS failed FROM items"))
+@query(with_sql("items", "SELECT DISTINCT source_id || '-' || pos // 80 AS doc_id, CASE WHEN pos // 80 % 5 = 4 THEN '' ELSE 'ch' END AS title, pos // 80 % 5 = 4 AS failed FROM items"))
 def feed_title_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.feed_titles(_feeds(spark, sf_dir)).select("doc_id", "title", (F.col("error") != "").alias("failed"))
 
@@ -318,6 +332,50 @@ def ingest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.ingest(d.items(spark, sf_dir), d.entries(spark, sf_dir).limit(0), d.NOW).summary
 
 
+def _landed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON Feed documents of up to 80 items, several a source: some items share a
+    guid or a url with others or have none, some are hostile HTML, some documents
+    end with an item without anything."""
+    i = d.items(spark, sf_dir)
+    pos, bare = F.col("pos"), F.col("pos") % 7 == 3
+    guid = F.when(bare, F.lit("")).when(pos % 9 == 2, F.concat(F.lit("shared-"), F.floor(pos / 27))).otherwise(F.col("guid"))
+    url = F.when(bare, F.lit("")).when(pos % 11 == 4, F.concat(F.lit("https://example.com/Post/same-"), F.floor(pos / 33))).otherwise(F.col("url"))
+    html_text = F.when(pos % 6 == 1, F.concat(F.lit('<p onclick="x">Post '), pos, F.lit("</p><script>1</script>")))
+    item = F.struct(guid.alias("id"), url.alias("url"), "title", html_text.alias("content_html"), F.col("content").alias("content_text"))
+    docs = i.groupBy("source_id", F.floor(pos / 80).alias("number"), "fetched_at").agg(F.array_sort(F.collect_list(F.struct("pos", item.alias("item")))).alias("items"))  # 80 at most
+    nothing = F.array(F.struct(*(F.lit("").alias(c) for c in ("id", "url", "title", "content_html", "content_text"))))
+    items = F.when(F.col("number") % 5 == 0, F.concat(F.col("items.item"), nothing)).otherwise(F.col("items.item"))
+    return docs.select("source_id", F.concat("source_id", F.lit("-"), "number").alias("doc_id"), "fetched_at", F.to_json(F.struct(F.lit("ch").alias("title"), items.alias("items"))).alias("body"))
+
+
+@query(
+    with_sql(
+        "items entries",
+        f""", own AS (SELECT source_id, pos // 80 AS number, pos AS place, CASE WHEN pos % 7 = 3 THEN '' WHEN pos % 9 = 2 THEN 'shared-' || pos // 27 ELSE guid END AS guid,
+        CASE WHEN pos % 7 = 3 THEN '' WHEN pos % 11 = 4 THEN 'https://example.com/Post/same-' || pos // 33 ELSE url END AS url, title, CASE WHEN pos % 6 = 1 THEN '<p>Post ' || pos || '</p>' ELSE content END AS content FROM items
+        UNION ALL SELECT DISTINCT source_id, pos // 80, 2147483647, '', '', '', '' FROM items WHERE pos // 80 % 5 = 0),
+    k AS (SELECT source_id, source_id || '-' || number AS doc_id, (row_number() OVER (PARTITION BY source_id, number ORDER BY place) - 1)::INT AS pos, guid, url, CASE WHEN {norm_sql("title")} = '' AND {norm_sql("content")} = '' THEN '' ELSE {_H} END AS h FROM own),
+    store AS (SELECT * FROM entries WHERE id % 3 = 0 AND NOT deleted),
+    c AS (SELECT *, CASE WHEN guid = '' AND url = '' AND h = '' THEN 'no_identity' WHEN guid <> '' AND (source_id, guid) IN (SELECT (source_id, guid) FROM store) THEN 'guid'
+        WHEN url <> '' AND url IN (SELECT url FROM store) THEN 'url' WHEN h IN (SELECT content_hash FROM store) THEN 'hash' END AS known FROM k),
+    f AS (SELECT *, row_number() OVER (ORDER BY source_id, doc_id, pos) AS i, CASE WHEN guid <> '' THEN 'g' || source_id || ' ' || guid END AS kg, CASE WHEN url <> '' THEN 'u' || url END AS ku, 'h' || h AS kh FROM c WHERE known IS NULL),
+    r AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS held, false AS ok, NULL::VARCHAR AS reason UNION ALL
+        SELECT f.i, CASE WHEN list_has_any(held, [kg, ku, kh]) THEN held ELSE list_concat(held, list_filter([kg, ku, kh], lambda x: x IS NOT NULL)) END, NOT list_has_any(held, [kg, ku, kh]),
+            CASE WHEN list_contains(held, kg) THEN 'guid' WHEN list_contains(held, ku) THEN 'url' WHEN list_contains(held, kh) THEN 'hash' END FROM r JOIN f ON f.i = r.i + 1)
+    SELECT source_id, doc_id, pos, NULL::BIGINT AS id, NULL::VARCHAR AS guid, NULL::VARCHAR AS url, NULL::VARCHAR AS content_hash, known AS reason FROM c WHERE known IS NOT NULL
+    UNION ALL SELECT source_id, doc_id, pos, NULL, NULL, NULL, NULL, r.reason FROM f JOIN r USING (i) WHERE NOT ok
+    UNION ALL SELECT source_id, NULL, NULL, row_number() OVER (ORDER BY i) + (SELECT max(id) FROM entries WHERE id % 3 = 0), guid, url, h, NULL FROM f JOIN r USING (i) WHERE ok""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+)
+def ingested_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed documents, several a source, into a store that holds every third item:
+    new entries, and what was rejected and why."""
+    got = ingest.ingest(feeds.parse_feed(_landed(spark, sf_dir)), d.entries(spark, sf_dir).where("id % 3 = 0"), d.NOW)
+    none = lambda t, *names: [F.lit(None).cast(t).alias(n) for n in names]
+    new = got.entries.select("source_id", *none("string", "doc_id"), *none("int", "pos"), "id", "guid", "url", "content_hash", *none("string", "reason"))
+    return new.unionByName(got.rejected.select("source_id", "doc_id", "pos", *none("long", "id"), *none("string", "guid", "url", "content_hash"), "reason"))
+
+
 # -- lists ----------------------------------------------------------------------------
 
 
