@@ -11,8 +11,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-_own_dirs: dict[str, str] = {}
-
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the test data by name."""
@@ -22,17 +20,16 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Where it is unset (a local session in tests) a temporary folder is taken,
-    the same one as long as the application lives.
+    Only in a local session (as in tests) may it be unset; a temporary folder is
+    taken there.  Elsewhere that would lose what executors write, and is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="millrace-")
-        spark.sparkContext.setCheckpointDir(_own_dirs[app])
-    return _own_dirs[app]
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="millrace-"))
+    return spark.conf.get("spark.checkpoint.dir")
 
 
 def new_path(spark: SparkSession, tag: str) -> str:

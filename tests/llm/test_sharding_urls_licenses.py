@@ -49,6 +49,34 @@ def test_a_new_shard_only_takes(spark):
     assert {r.virtual_slot: r.shard for r in sharding.read_map(spark, path, 1).collect()} == old
 
 
+def test_a_stored_map_is_kept_and_edited(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    path = new_path(spark, "map")
+    first = {r.doc_id: (r.shard, r.map_version) for r in sharding.shard_documents(docs, map_path=path).collect()}
+    assert {r.doc_id: (r.shard, r.map_version) for r in sharding.shard_documents(docs, map_path=path).collect()} == first
+    assert sharding.add_shard(docs, path) == 2
+    grown = {r.doc_id: (r.shard, r.map_version) for r in sharding.shard_documents(docs, map_path=path).collect()}
+    moved = [i for i in grown if grown[i][0] != first[i][0]]
+    assert moved and {v for _, v in grown.values()} <= {2, 3} and len(moved) < 0.2 * len(grown)
+    # other rows: only what has to moves, and a version is added
+    drifted = docs.withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.repeat("text", F.lit(3))).otherwise(F.col("text")))
+    rows = sharding.shard_documents(drifted, map_path=path).collect()
+    loads = [sum(r.size for r in rows if r.shard == h) for h in range(17)]
+    assert max(loads) - min(loads) < 0.05 * sum(loads) / 17 and {r.map_version for r in rows} == {max(v for _, v in grown.values()) + 1}
+    with pytest.raises(ValueError):
+        sharding.add_shard(docs, new_path(spark, "none"))
+
+
+def test_evened_maps_move_little():
+    old = {s: s % 4 for s in range(40)}
+    assert sharding.evened_map(old, dict.fromkeys(old, 5)) == old
+    sizes = {s: 30 if s % 4 == 0 else 10 for s in old}
+    new = sharding.evened_map(old, sizes)
+    load = [sum(sizes[s] for s in new if new[s] == h) for h in range(4)]
+    assert max(load) - min(load) <= 30 and sum(new[s] != old[s] for s in old) <= 8  # five at least
+    assert sharding.evened_map(old, {0: 100}) == {**old, 0: old[0]}  # one slot can't be split
+
+
 URLS = [
     ("http://A.Example.ORG/es/x?q#f", "a.example.org", "/es/x", "example.org/es/"),
     ("https://example.org/en/12", "example.org", "/en/12", "example.org/en/1"),
