@@ -4,13 +4,14 @@ Items are taken in order; one is accepted unless an accepted earlier item, or th
 store, holds one of its keys.  That is the first maximal independent set of the
 graph whose cliques are the keys.  It is found in rounds: what is first on all
 its keys is accepted, what shares a key with it is rejected, the rest goes on.
+Chains, where an item has one earlier neighbour only, are decided at once by
+pointer jumping: such an item is accepted if that neighbour is not.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +20,6 @@ from millrace.functions.text import text
 from .tables import written
 
 LAYERS = ("guid", "url", "hash")
-#: Rounds after which chains that are left are walked component by component.
-ROUNDS = 12
 
 
 def key_array(layers: tuple[str, ...] = LAYERS) -> Column:
@@ -55,39 +54,39 @@ def reject_known(cands: DataFrame, keys: DataFrame, layers: tuple[str, ...] = LA
     return joined.select(*cands.columns, layer_name(F.col("h.layer")).alias("reason"), F.col("h.entry_id").alias("entry_id"))
 
 
-def _walk(keys: DataFrame) -> DataFrame:
-    """Accepted ords of the (ord, layer, key) left after many rounds, by walking
-    each connected component in order; components are found by spreading minima."""
-    found = written(keys.select("ord", "layer", "key", F.col("ord").alias("root")), "walk")
+def _decided(left: DataFrame) -> DataFrame:
+    """Ords of (ord, layer, key) that are sure to be accepted: those first on all
+    their keys, and along chains that begin at one every second item.
+
+    On each key an item is the first, the second or a later one.  One that is first
+    or second on all its keys, and second to the same item wherever it is second, has
+    that item as its one earlier neighbour.  Pointers to it are doubled until they
+    end at items that have none or several, so a chain takes rounds by the logarithm
+    of its length.
+    """
+    firsts = left.join(left.groupBy("layer", "key").agg(F.min("ord").alias("first")), ["layer", "key"])
+    seconds = firsts.where("ord > first").groupBy("layer", "key").agg(F.min("ord").alias("second"))
+    late = F.col("ord") != F.col("first")
+    before = F.when(late, F.col("first"))
+    state = firsts.join(seconds, ["layer", "key"], "left").groupBy("ord").agg(
+        F.min(~late | (F.col("ord") == F.col("second"))).alias("near"), F.min(before).alias("least"), F.max(before).alias("most")
+    )
+    state = written(state.select("ord", F.col("least").isNull().alias("free"), (F.col("near") & (F.col("least") == F.col("most"))).alias("one"), F.col("least").alias("to")), "decided")
+    chain = state.where("one").select("ord", "to", F.lit(True).alias("odd"))
     while True:
-        low = found.groupBy("layer", "key").agg(F.min("root").alias("a"))
-        down = found.join(low, ["layer", "key"]).groupBy("ord").agg(F.min("a").alias("b"))
-        new = written(found.join(down, "ord").select("ord", "layer", "key", F.least("root", "b").alias("root"), (F.col("b") < F.col("root")).alias("moved")), "walk")
-        if new.where("moved").isEmpty():
+        ahead = chain.select(F.col("ord").alias("to"), F.col("to").alias("next"), F.col("odd").alias("next_odd"))
+        step = chain.join(ahead, "to", "left").select(
+            "ord", F.coalesce("next", "to").alias("to"), (F.col("odd") != F.coalesce("next_odd", F.lit(False))).alias("odd"), F.col("next").isNotNull().alias("moved")
+        )
+        step = written(step, "chains")
+        chain = step.drop("moved")
+        if step.where("moved").isEmpty():
             break
-        found = new.drop("moved")
-    schema = keys.select("ord").schema
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
-        for o, rows in pdf.sort_values("n").groupby("n", sort=True):
-            own = set(zip(rows["layer"], rows["key"]))
-            if not own & taken:
-                taken |= own
-                out.append(o)
-        return pd.DataFrame({"n": out}, dtype="int64")
-
-    numbered = written(found.join(_numbers(found.select("ord").distinct()), "ord"), "walk")
-    accepted = numbered.groupBy(F.xxhash64("root").alias("component")).applyInPandas(walk, "n long")
-    return numbered.select("ord", "n").distinct().join(accepted, "n").select("ord").to(schema)
+    free = state.where("free").select("ord")
+    return free.unionByName(chain.where("NOT odd").join(free.select(F.col("ord").alias("to")), "to", "left_semi").select("ord"))
 
 
-def _numbers(ords: DataFrame) -> DataFrame:
-    """A number by order for each ord: partitions are ranges, rows count inside."""
-    return ords.repartitionByRange("ord").sortWithinPartitions("ord").withColumn("n", F.monotonically_increasing_id())
-
-
-def dedup_first_wins(cands: DataFrame, order_cols: list[str], layers: tuple[str, ...] = LAYERS, rounds: int = ROUNDS) -> DataFrame:
+def dedup_first_wins(cands: DataFrame, order_cols: list[str], layers: tuple[str, ...] = LAYERS) -> DataFrame:
     """cands with accepted, reason (layer) and winner (struct of the order columns
     of the accepted item that holds that key).
 
@@ -103,17 +102,13 @@ def dedup_first_wins(cands: DataFrame, order_cols: list[str], layers: tuple[str,
     accepted = [state.where("n = 1 OR first").select("ord")]
     left = written(left.join(state.where("n > 1").select("ord"), "ord", "left_semi"), "shared-keys")
     new = state.where("n > 1 AND first").select("ord")
-    for k in range(rounds + 1):
+    while True:
         held = left.join(new, "ord", "left_semi").select("layer", "key").distinct()
         gone = left.join(held, ["layer", "key"], "left_semi").select("ord").distinct()
         left = written(left.join(gone, "ord", "left_anti"), "shared-keys")
         if left.isEmpty():
             break
-        if k == rounds:
-            accepted.append(_walk(left))
-            break
-        firsts = left.groupBy("layer", "key").agg(F.min("ord").alias("first"))
-        new = written(left.join(firsts, ["layer", "key"]).groupBy("ord").agg(F.min(F.col("ord") == F.col("first")).alias("all")).where("all").select("ord"), "accepted")
+        new = written(_decided(left), "accepted")
         accepted.append(new)
     accepted = written(reduce(DataFrame.unionByName, accepted), "accepted")
     owners = keys.join(accepted, "ord", "left_semi").select("layer", "key", F.col("ord").alias("winner"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import bigram_tokenize, index_tokens, search_terms, text
+from millrace.functions.text import bigram_tokenize, index_tokens, search_terms, text, trim_white
 
 from .listing import filter_entries, newest_first, page_of
 
@@ -28,7 +28,7 @@ def _holds(tokens: Column, phrase: list[str]) -> Column:
 
 def query_phrases(df: DataFrame, q: str) -> list[list[str]]:
     """The phrases of one query; ValueError if nothing is left of it."""
-    raw = df.sparkSession.range(1).select(search_terms(F.lit(q)).alias("t"), (F.trim(bigram_tokenize(F.lit(q))) == "").alias("empty")).first()
+    raw = df.sparkSession.range(1).select(search_terms(F.lit(q)).alias("t"), (trim_white(bigram_tokenize(F.lit(q))) == "").alias("empty")).first()
     if raw["empty"]:
         raise ValueError("empty query")
     return raw["t"]

@@ -638,10 +638,17 @@ def markdown_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MONTH = "strftime(published_at, '%Y-%m')"
 
 
-@query(with_sql("entries", f"SELECT source_id, {_MONTH} AS month, row_number() OVER (PARTITION BY source_id ORDER BY max(published_at) DESC) AS chapter, string_agg(id::VARCHAR, ',' ORDER BY published_at DESC, id DESC) AS ids FROM entries WHERE NOT deleted GROUP BY source_id, month"))
+@query(
+    with_sql(
+        "entries",
+        f"""SELECT source_id, month, dense_rank() OVER (PARTITION BY source_id ORDER BY max(newest) DESC) AS chapter, part, string_agg(id::VARCHAR, ',' ORDER BY published_at DESC, id DESC) AS ids FROM (
+    SELECT *, (row_number() OVER (PARTITION BY source_id, month ORDER BY published_at DESC, id DESC) - 1) // {export.IDS_A_ROW} AS part, max(published_at) OVER (PARTITION BY source_id, month) AS newest FROM (
+    SELECT source_id, id, published_at, {_MONTH} AS month FROM entries WHERE NOT deleted)) GROUP BY source_id, month, part""",
+    )
+)
 def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = export.month_chapters(listing.filter_entries(d.entries(spark, sf_dir)))
-    return c.select("source_id", "month", "chapter", F.array_join("ids", ",").alias("ids"))
+    return c.select("source_id", "month", "chapter", "part", F.array_join("ids", ",").alias("ids"))
 
 
 @query(with_sql("entries", f"SELECT source_id, 'chapter-' || {_MONTH} || '.xhtml' AS file_name, count(*) AS articles FROM entries WHERE NOT deleted GROUP BY source_id, {_MONTH}"))

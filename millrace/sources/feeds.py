@@ -21,6 +21,10 @@ _DOC = T.StructType([*(T.StructField(n, T.StringType()) for n in ("error", "form
 ITEM_LIMIT = 200
 
 
+#: Fixed value: what a document without any content says.
+EMPTY = "empty response body"
+
+
 class FeedError(ValueError):
     """A document that is no feed; it fails as a whole."""
 
@@ -78,7 +82,7 @@ def _typed(doc: dict, name: str, kind: type):
     if value is None:
         return kind()
     if not isinstance(value, kind):
-        raise FeedError(f"invalid JSON Feed: {name} is no {kind.__name__}")
+        raise FeedError(f"broken JSON, {name} is no {kind.__name__}")
     return value
 
 
@@ -86,17 +90,17 @@ def _json_feed(text: str) -> tuple[str, list[dict]]:
     try:
         doc = json.loads(text)
     except ValueError as e:
-        raise FeedError(f"invalid JSON Feed: {e}") from e
+        raise FeedError(f"broken JSON, {e}") from e
     if not isinstance(doc, dict):
-        raise FeedError("invalid JSON Feed: the document is no object")
+        raise FeedError("broken JSON, the document is no object")
     items = []
     for item in _typed(doc, "items", list):
         if not isinstance(item, dict):
-            raise FeedError("invalid JSON Feed: an item is no object")
+            raise FeedError("broken JSON, an item is no object")
         get = lambda name, item=item: _typed(item, name, str).strip()
         tags = _typed(item, "tags", list)
         if not all(isinstance(t, str) for t in tags):
-            raise FeedError("invalid JSON Feed: a tag is no string")
+            raise FeedError("broken JSON, a tag is no string")
         link = get("url") or get("external_url")
         html = get("content_html")
         items.append(
@@ -114,7 +118,7 @@ def read_feed(body: str | None) -> dict:
     text = (body or "").strip()
     try:
         if not text:
-            raise FeedError("empty response body")
+            raise FeedError(EMPTY)
         if text[0] in "{[":
             title, items = _json_feed(text)
             kind = "json"
@@ -122,13 +126,13 @@ def read_feed(body: str | None) -> dict:
             try:
                 root = ElementTree.fromstring(text.encode() if text.startswith("<?xml") and "encoding" not in text[:100] else text)
             except (ElementTree.ParseError, ValueError) as e:
-                raise FeedError(f"invalid XML: {e}") from e
+                raise FeedError(f"broken XML, {e}") from e
             kind = {"rss": "rss", "feed": "atom"}.get(_local(root.tag))
             if kind is None:
-                raise FeedError(f"unsupported XML root element {_local(root.tag)!r}")
+                raise FeedError(f"{_local(root.tag)!r} is the root of no known feed format")
             title, items = _rss(root) if kind == "rss" else _atom(root)
         else:
-            raise FeedError("unrecognized content, expected XML or JSON")
+            raise FeedError("starts like neither XML nor JSON")
     except FeedError as e:
         return {"error": f"feed: {e}", "format": "", "title": "", "items": []}
     return {"error": "", "format": kind, "title": title, "items": items}

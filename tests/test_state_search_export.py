@@ -93,21 +93,22 @@ def test_fetch_log(spark):
 
 
 def test_search_examples(spark):
-    e = entries(spark, [{"id": 1, "title": "苹果公司发布新品", "content": "苹果发布新一代 iPhone"}, {"id": 2, "title": "香蕉价格", "content": "今日香蕉涨价"}, {"id": 3, "title": "苹果", "deleted": True}, *({"id": 10 + i, "title": f"苹果新闻{i}"} for i in range(3))])
+    told = [{"id": 1, "title": "山路很滑", "content": "雨后山路 Warning 牌"}, {"id": 2, "title": "湖面结冰", "content": "湖面已结冰"}, {"id": 3, "title": "山路", "deleted": True}]
+    e = entries(spark, [*told, *({"id": 20 + i, "title": f"河流记录{i}"} for i in range(3))])
     find = lambda q: sorted(r.id for r in search.matching_entries(e, q).collect())
-    assert find("苹果 发布") == [1] and find("香蕉") == [2] and find("葡萄") == [] and find("iphone") == [1] and find("- 香蕉") == [2] and find("-") == []
-    page, total = search.search_entries(e, "果新", page=2, page_size=2)
+    assert find("山路 很滑") == [1] and find("结冰") == [2] and find("沙漠") == [] and find("WARNING") == [1] and find("+ 湖面") == [2] and find("+") == []
+    page, total = search.search_entries(e, "流记", page=2, page_size=2)
     assert (page.count(), total.first().total) == (1, 3)
     with pytest.raises(ValueError):
-        search.search_entries(e, "  ")
+        search.search_entries(e, " \t")
 
 
 def test_search_agrees_with_fts5(spark):
     rng = random.Random(5)
-    words = ["foo", "Bar", "baz-qux", "Éclair", "苹果", "发布", "苹果公司", "a1", "x.y", "ΑΣ"]
+    words = ["oak", "Elm", "ash-bay", "Über", "山路", "很滑", "山路牌子", "k7", "p.q", "ΜΣ"]
     rows = [{"id": i, "title": " ".join(rng.choices(words, k=3)), "content": " ".join(rng.choices(words, k=6)), "author": rng.choice(words)} for i in range(60)]
     e = entries(spark, rows)
-    terms = spark.createDataFrame([(i, " ".join(rng.choices(words + ["foo-bar", "苹果发布", "bar foo", "-"], k=k))) for i, k in enumerate([1, 1, 1, 2, 2, 2, 3, 1, 2, 1, 1, 1])], "query_id long, q string")
+    terms = spark.createDataFrame([(i, " ".join(rng.choices(words + ["oak-elm", "山路很滑", "elm oak", "+"], k=k))) for i, k in enumerate([1, 1, 1, 2, 2, 2, 3, 1, 2, 1, 1, 1])], "query_id long, q string")
     from millrace.functions.text import bigram_tokenize, collapse_white
 
     con = sqlite3.connect(":memory:")
@@ -157,20 +158,20 @@ def test_file_names_match_a_loop(spark):
 
 
 EXPORTED = [
-    {"id": 1, "source_id": 1, "title": "标题一", "content": "正文", "published": "2023-01-05", "tags": ["t1", "t2"], "extra": {"b": "2", "a": '"x"'}, "url": "https://e.com/1", "guid": "g", "author": "Ann"},
-    {"id": 2, "source_id": 1, "title": "摘要条目", "summary": "只有摘要\n", "published": "2023-01-06"},
-    {"id": 3, "source_id": 1, "title": "标题一", "content": "c", "published": "2023-02-01"},
-    {"id": 4, "source_id": 2, "title": "无链接", "content": "d", "published": "2023-01-07"},
+    {"id": 1, "source_id": 1, "title": "Ferns", "content": "text body", "published": "2023-01-05", "tags": ["t1", "t2"], "extra": {"b": "2", "a": '"x"'}, "url": "https://e.com/1", "guid": "g", "author": "Ann"},
+    {"id": 2, "source_id": 1, "title": "Only a summary", "summary": "summed up\n", "published": "2023-01-06"},
+    {"id": 3, "source_id": 1, "title": "Ferns", "content": "c", "published": "2023-02-01"},
+    {"id": 4, "source_id": 2, "title": "Unlinked", "content": "d", "published": "2023-01-07"},
 ]
 
 
 def test_markdown(spark, tmp_path):
-    e, s = entries(spark, EXPORTED), sources(spark, [(1, "源A"), (2, "源B/")])
+    e, s = entries(spark, EXPORTED), sources(spark, [(1, "North"), (2, "South/")])
     files = {r.path: r.text for r in export.export_markdown(e, s).collect()}
-    assert sorted(files) == ["源A/2023-01/摘要条目.md", "源A/2023-01/标题一.md", "源A/2023-02/标题一.md", "源B_/2023-01/无链接.md"]
-    one = files["源A/2023-01/标题一.md"]
-    assert one.startswith('---\ntitle: "标题一"\nauthor: "Ann"\nurl: "https://e.com/1"\nsource: "源A"\n') and one.endswith('tags:\n    - "t1"\n    - "t2"\nextra:\n    "a": "\\"x\\""\n    "b": "2"\n---\n\n正文\n')
-    assert "url:" not in files["源B_/2023-01/无链接.md"] and files["源A/2023-01/摘要条目.md"].endswith("只有摘要\n")
+    assert sorted(files) == ["North/2023-01/Ferns.md", "North/2023-01/Only a summary.md", "North/2023-02/Ferns.md", "South_/2023-01/Unlinked.md"]
+    one = files["North/2023-01/Ferns.md"]
+    assert one.startswith('---\ntitle: "Ferns"\nauthor: "Ann"\nurl: "https://e.com/1"\nsource: "North"\n') and one.endswith('tags:\n    - "t1"\n    - "t2"\nextra:\n    "a": "\\"x\\""\n    "b": "2"\n---\n\ntext body\n')
+    assert "url:" not in files["South_/2023-01/Unlinked.md"] and files["North/2023-01/Only a summary.md"].endswith("summed up\n")
     assert tuple(export.export_summary(e).first()) == (4, 2)
     for _ in range(2):
         export.write_markdown(e, s, str(tmp_path / "md"))
@@ -178,19 +179,42 @@ def test_markdown(spark, tmp_path):
 
 
 def test_json(spark):
-    rows = {r.id: json.loads(r.line) for r in export.export_json(entries(spark, EXPORTED), sources(spark, [(1, "源A")])).collect()}
+    rows = {r.id: json.loads(r.line) for r in export.export_json(entries(spark, EXPORTED), sources(spark, [(1, "North")])).collect()}
     assert rows[1]["tags"] == ["t1", "t2"] and list(rows[1]["extra"]) == ["a", "b"] and "url" not in rows[2] and "source" not in rows[4]
 
 
+def test_parts_of_chapters_and_books(spark):
+    """Every article once and in order, chapters and books within their bytes."""
+    rng = random.Random(11)
+    days = ["2021-03-01", "2021-03-09", "2021-04-02", None]
+    rows = [{"id": i, "source_id": 1 if i % 3 else 2, "title": f"t{i}", "content": "w" * rng.choice([1, 90, 700]), "published": rng.choice(days), "fetched": "2021-05-01"} for i in range(90)]
+    e, s = entries(spark, rows), sources(spark, [(1, "North")])
+    parts = export.export_epub_chapters(e, s, chapter_bytes=1000).orderBy("source_id", "chapter").collect()
+    for source in (1, 2):
+        own = [p for p in parts if p.source_id == source]
+        assert [p.chapter for p in own] == list(range(1, len(own) + 1)) and len({p.file_name for p in own}) == len(own)
+        told = [int(x.split("</h2>")[0][1:]) for p in own for x in p.xhtml.split("<h2>")[1:]]
+        # month by month, the months in the order of their newest entry
+        newest = sorted((r for r in rows if r["source_id"] == source), key=lambda r: (r["published"] or "", r["id"]), reverse=True)
+        months = list(dict.fromkeys((r["published"] or r["fetched"])[:7] for r in newest))
+        assert told == [r["id"] for m in months for r in newest if (r["published"] or r["fetched"])[:7] == m]
+        assert max(len(p.xhtml) for p in own) < 1000 + 1200 and len(own) > len(months)
+    ids = [i for r in export.month_chapters(e, ids_a_row=4).where("source_id = 1").orderBy("chapter", "part").collect() for i in r.ids]
+    assert sorted(ids) == [r["id"] for r in rows if r["source_id"] == 1]
+    books = export.export_epub(e, s, chapter_bytes=1000, book_bytes=5000).collect()
+    assert sum(x.filename.startswith("OEBPS/chapter-") for b in books for x in zipfile.ZipFile(io.BytesIO(b.content)).infolist()) == len(parts)
+    assert len(books) == len({b.file_name for b in books}) > 4 and export.export_epub(e.limit(0), s).count() == 0
+
+
 def test_epub(spark, tmp_path):
-    e, s = entries(spark, EXPORTED), sources(spark, [(1, "源A"), (2, "源B/")])
+    e, s = entries(spark, EXPORTED), sources(spark, [(1, "North"), (2, "South/")])
     assert [(r.month, r.chapter, r.ids) for r in export.month_chapters(e).where("source_id = 1").orderBy("chapter").collect()] == [("2023-02", 1, [3]), ("2023-01", 2, [2, 1])]
     book = export.export_epub(e, s).where("source_id = 1").first()
     z = zipfile.ZipFile(io.BytesIO(book.content))
     first = z.infolist()[0]
     assert (first.filename, first.compress_type, z.read("mimetype")) == ("mimetype", zipfile.ZIP_STORED, b"application/epub+zip")
     opf = z.read("OEBPS/content.opf").decode()
-    assert all(f"chapter-2023-0{m}.xhtml" in opf for m in (1, 2)) and "<h2>标题一</h2>" in z.read("OEBPS/chapter-2023-01.xhtml").decode()
-    assert book.file_name == "源A.epub" and export.export_epub(e, s, months_a_book=1).where("source_id = 1").count() == 2
+    assert all(f"chapter-2023-0{m}.xhtml" in opf for m in (1, 2)) and "<h2>Ferns</h2>" in z.read("OEBPS/chapter-2023-01.xhtml").decode()
+    assert book.file_name == "North.epub" and export.export_epub(e, s, book_bytes=1).where("source_id = 1").count() == 2
     export.write_json_lines(e, s, str(tmp_path / "j"))
     assert spark.read.text(str(tmp_path / "j")).count() == 4
