@@ -1,3 +1,4 @@
+import math
 import re
 import zlib
 
@@ -111,6 +112,53 @@ def test_reputation_is_shrunk(spark):
     assert verdicts["bad.spam.net"] == "block" and verdicts["one.good.net"] == verdicts["x.other.net"] == "allow"
 
 
+def test_registered_domains(spark):
+    hosts = {
+        "a.b.shop.co.uk": ("shop.co.uk", "co.uk"), "taco.uk": ("taco.uk", "uk"), "co.uk": ("co.uk", "co.uk"), "x.example.com": ("example.com", "com"), "u@www.site.org:8080": ("site.org", "org"),
+        "10.0.0.7:80": ("10.0.0.7", "10.0.0.7"), "[::1]:80": ("[::1]", "[::1]"), "site.net.": ("site.net", "net"), "localhost": ("localhost", "localhost"), "": ("", ""), "m.gov.example": ("gov.example", "example"),
+    }
+    df = spark.createDataFrame([(h,) for h in hosts], "host string").select("host", url_filter.host_name(F.col("host")).alias("n"))
+    got = {r.host: (r.d, r.s) for r in df.select("host", url_filter.domain_of(F.col("n")).alias("d"), url_filter.suffix_of(F.col("n")).alias("s")).collect()}
+    assert got == hosts
+
+
+def test_posterior_of_whole_counts_is_a_binomial_tail(spark):
+    cases = [(a, b, t) for a in (1, 3, 40) for b in (1, 7, 200) for t in (0.05, 0.5, 0.9)]
+    for t in (0.05, 0.5, 0.9):
+        own = [(float(a), float(b)) for a, b, x in cases if x == t]
+        df = spark.createDataFrame(own, "a double, b double").select("a", "b", url_filter.share_below(F.col("a"), F.col("b"), t).alias("p"))
+        for r in df.collect():
+            a, n = int(r.a), int(r.a + r.b) - 1
+            want = sum(math.comb(n, k) * t**k * (1 - t) ** (n - k) for k in range(a, n + 1))
+            assert abs(r.p - want) < 1e-3
+    tiny = spark.createDataFrame([(1e-3, 5.0), (1e6, 9e6)], "a double, b double").select(url_filter.share_below(F.col("a"), F.col("b"), 0.5).alias("p")).collect()
+    assert all(r.p > 0.999 for r in tiny)
+
+
+def test_few_pages_decide_by_the_quantile(spark):
+    """Repeats count once; the verdict is that of the posterior in plain floats."""
+    pages = [(i, f"http://h{i % 8}.d{i % 4}.net/{i}") for i in range(160)]
+    labels = [(i, 0 if (i % 8) * 20 > i * 7 % 160 else 1, 0) for i in range(160)]
+    make = lambda p: (spark.createDataFrame(p, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    once = {r.host: r for r in url_filter.host_reputation(*make(pages)).collect()}
+    assert {r.host: r for r in url_filter.host_reputation(*make(pages * 3)).collect()} == once
+    assert {r.blocked for r in once.values()} == {True, False} and all(r.mean > 0.5 for r in once.values() if r.blocked)
+
+
+def test_sql_agrees_where_the_method_blocks(spark):
+    import duckdb
+
+    pages = [(i, f"http://h{i % 9}.d{i % 3}.co.uk:80/{i}") for i in range(400)] + [(None, None), (1, "http://h1.d1.co.uk:80/1")]
+    labels = [(i, 0 if (i % 9) * 50 > i * 7 % 400 else 1, 0) for i in range(0, 400, 2)] + [(4, None, 1)]
+    p, d = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    con = duckdb.connect()
+    con.register("pages", p.toPandas().astype({"page_id": "Int64"}))
+    con.register("labels", d.toPandas().astype("Int64"))
+    want = sorted(map(str, con.execute(f"SELECT page_id, host, verdict FROM ({url_filter.ORACLE_SQL})").fetchall()))
+    got = sorted(str(tuple(r)) for r in url_filter.judge_urls(p, d).select("page_id", "host", "verdict").collect())
+    assert got == want and {x.split("'")[-2] for x in got} == {"allow", "block"}
+
+
 def brute(text):
     lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
