@@ -11,6 +11,7 @@ pointer jumping: such an item is accepted if that neighbour is not.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,9 @@ from millrace.functions.text import text
 from .tables import written
 
 LAYERS = ("guid", "url", "hash")
+#: Rounds that only take what is first on all its keys, before chains are looked for:
+#: they are cheaper and leave little.
+PLAIN_ROUNDS = 3
 
 
 def key_array(layers: tuple[str, ...] = LAYERS) -> Column:
@@ -54,6 +58,12 @@ def reject_known(cands: DataFrame, keys: DataFrame, layers: tuple[str, ...] = LA
     return joined.select(*cands.columns, layer_name(F.col("h.layer")).alias("reason"), F.col("h.entry_id").alias("entry_id"))
 
 
+def _firsts(left: DataFrame) -> DataFrame:
+    """Ords of (ord, layer, key) that are first on all their keys."""
+    firsts = left.groupBy("layer", "key").agg(F.min("ord").alias("first"))
+    return left.join(firsts, ["layer", "key"]).groupBy("ord").agg(F.min(F.col("ord") == F.col("first")).alias("all")).where("all").select("ord")
+
+
 def _decided(left: DataFrame) -> DataFrame:
     """Ords of (ord, layer, key) that are sure to be accepted: those first on all
     their keys, and along chains that begin at one every second item.
@@ -102,13 +112,13 @@ def dedup_first_wins(cands: DataFrame, order_cols: list[str], layers: tuple[str,
     accepted = [state.where("n = 1 OR first").select("ord")]
     left = written(left.join(state.where("n > 1").select("ord"), "ord", "left_semi"), "shared-keys")
     new = state.where("n > 1 AND first").select("ord")
-    while True:
+    for k in count():
         held = left.join(new, "ord", "left_semi").select("layer", "key").distinct()
         gone = left.join(held, ["layer", "key"], "left_semi").select("ord").distinct()
         left = written(left.join(gone, "ord", "left_anti"), "shared-keys")
         if left.isEmpty():
             break
-        new = written(_decided(left), "accepted")
+        new = written(_firsts(left) if k < PLAIN_ROUNDS else _decided(left), "accepted")
         accepted.append(new)
     accepted = written(reduce(DataFrame.unionByName, accepted), "accepted")
     owners = keys.join(accepted, "ord", "left_semi").select("layer", "key", F.col("ord").alias("winner"))
