@@ -1,7 +1,8 @@
 """License scans of whole texts.
 
-One Aho-Corasick automaton over a text's words finds license phrases and the
-identifier tag; what follows a tag on its line is read as a license expression,
+One Aho-Corasick automaton over a text's words finds license phrases, the openings
+of license texts and identifier tags; what follows a tag on its line is read as a
+license expression,
 put in postfix order by a shunting yard and evaluated.
 """
 
@@ -19,34 +20,62 @@ from .common import by_bytes, text_array
 #: Fixed values of the query: phrase and base label.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Further notices: phrase and label.
+#: Further notices and openings of license texts: phrase and label.
 NOTICES = {
     "cc by": "cc-by",
     "cc by nc": "cc-by-nc",
     "cc by sa": "cc-by-sa",
     "cc by nd": "cc-by-nd",
     "creative commons attribution": "cc-by",
+    "creative commons attribution noncommercial": "cc-by-nc",
+    "creative commons attribution non commercial": "cc-by-nc",
+    "creative commons attribution sharealike": "cc-by-sa",
+    "creative commons attribution share alike": "cc-by-sa",
+    "creative commons attribution noderivatives": "cc-by-nd",
+    "creative commons attribution noderivs": "cc-by-nd",
     "creative commons zero": "cc0",
+    "cc0 1 0 universal": "cc0",
     "lesser general public license": "lgpl",
     "affero general public license": "agpl",
+    "server side public license": "sspl",
     "mozilla public license": "mpl",
     "eclipse public license": "epl",
+    "european union public licence": "eupl",
+    "common development and distribution license": "cddl",
+    "microsoft public license": "ms-pl",
+    "artistic license": "artistic",
+    "boost software license": "bsl",
+    "business source license": "busl",
+    "open database license": "odbl",
+    "sil open font license": "ofl",
+    "python software foundation license": "psf",
+    "zlib license": "zlib",
     "bsd license": "bsd",
     "isc license": "isc",
+    "permission is hereby granted free of charge to any person obtaining a copy": "mit",
+    "redistribution and use in source and binary forms": "bsd",
+    "permission to use copy modify and or distribute this software for any purpose": "isc",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    "dedicated to the public domain": "public-domain",
     "all rights reserved": "proprietary",
+    "proprietary and confidential": "proprietary",
 }
 
 #: How free use is under a label: 1 without conditions but notice, 0 not at all.
 FREEDOM = {
-    "mit": 1.0, "apache": 1.0, "bsd": 1.0, "isc": 1.0, "cc0": 1.0, "cc-by": 0.9, "cc-by-sa": 0.6, "mpl": 0.6, "epl": 0.6,
-    "lgpl": 0.5, "gpl": 0.3, "agpl": 0.2, "cc-by-nd": 0.2, "cc-by-nc": 0.2, "proprietary": 0.0,
+    "mit": 1.0, "apache": 1.0, "bsd": 1.0, "0bsd": 1.0, "isc": 1.0, "zlib": 1.0, "bsl": 1.0, "psf": 1.0, "python": 1.0, "unlicense": 1.0, "wtfpl": 1.0, "cc0": 1.0, "public-domain": 1.0,
+    "cc-by": 0.9, "ofl": 0.9, "artistic": 0.8, "ms-pl": 0.8, "cc-by-sa": 0.6, "mpl": 0.6, "epl": 0.6, "cddl": 0.6, "odbl": 0.6, "lgpl": 0.5, "eupl": 0.4,
+    "gpl": 0.3, "agpl": 0.2, "cc-by-nd": 0.2, "cc-by-nc": 0.2, "sspl": 0.1, "busl": 0.1, "proprietary": 0.0,
 }
+#: What an identifier without a label of ours leaves: nothing is known of it.
+UNKNOWN = 0.5
 
 TAG = "spdx license identifier"
 #: Binding of the operators of license expressions.
 _BINDS = {"or": 1, "and": 2, "with": 3}
 _SEPARATORS = bytes(x if x >= 0x80 or 0x30 <= x <= 0x39 or 0x61 <= x <= 0x7A else 0x20 for x in range(256))
-_TAGGED = re.compile(rb"spdx-license-identifier\s*:[ \t]*([^\r\n]*)")
+_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_AFTER_TAG = re.compile(rb"\s*:[ \t]*([^\r\n]*)")
 
 
 def label_of(identifier: str) -> str:
@@ -104,7 +133,7 @@ def evaluate(expression: str) -> tuple[set[str], float] | None:
             stack.append((left, a) if token == "with" else (left | right, max(a, b) if token == "or" else min(a, b)))
         else:
             label = label_of(token)
-            stack.append(({label}, FREEDOM.get(label, 0.0)))
+            stack.append(({label}, FREEDOM.get(label, UNKNOWN)))
     return stack[0]
 
 
@@ -124,21 +153,24 @@ class Scanner:
         lower = text.lower()
         words = lower.translate(_SEPARATORS).split()
         line = b" " + b" ".join(words) + b" "
-        starts, labels, base_labels, tagged, at, word = [], set(), set(), False, 0, 0
-        hits = sorted((end - size + 1, base, notice, tag) for end, (size, base, notice, tag) in self.automaton.iter(line.decode("latin-1")))
+        starts, labels, base_labels, tags, at, word = [], set(), set(), [], 0, 0
+        hits = sorted((end - size + 1, base or "", notice or "", tag) for end, (size, base, notice, tag) in self.automaton.iter(line.decode("latin-1")))
         for start, base, notice, tag in hits:
-            tagged |= tag
+            word += line.count(b" ", at, start)
+            at = start
+            if tag:
+                tags.append(word + TAG.count(" "))
             if notice:
                 labels.add(notice)
             if base:
-                word += line.count(b" ", at, start)
-                at = start
                 starts.append(word)
                 base_labels.add(base)
-        values = [FREEDOM.get(x, 0.0) for x in labels | base_labels]
-        if tagged:
-            for found in _TAGGED.findall(lower):
-                if (value := evaluate(found.decode("utf-8", "replace"))) is not None:
+        values = [FREEDOM.get(x, UNKNOWN) for x in labels | base_labels]
+        if tags:
+            ends = [m.end() for m in _WORD.finditer(lower)]
+            for last in tags:
+                found = _AFTER_TAG.match(lower, ends[last])
+                if found and (value := evaluate(found[1].decode("utf-8", "replace"))) is not None:
                     labels |= value[0]
                     values.append(value[1])
         score = min(values, default=0.0)
@@ -153,9 +185,11 @@ def scan_licenses(docs: DataFrame, base: dict[str, str] = BASE, notices: dict[st
     last_word, base_labels, labels, score.
 
     ``score`` is the least freedom that any notice or tag of the text leaves (0
-    without any).  Null texts count as empty: no words, '' for labels, null
-    places.  Malformed expressions add nothing.  Other columns are left out; an
-    empty table gives no rows.  No shuffle: texts are scanned where they are read.
+    without any; ``UNKNOWN`` for identifiers that are not listed).  Null texts count
+    as empty: no words, '' for labels, null places.  Texts of any length are scanned
+    whole, one at a time if long.  Repeated rows give a row each.  Malformed
+    expressions add nothing.  Other columns are left out; an empty table gives no
+    rows.  No shuffle: texts are scanned where they are read.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +221,8 @@ WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCD
 p AS (SELECT * FROM (VALUES {_sql_values()}) AS v(phrase, label, kind, freedom)),
 t AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) - 1 AS place FROM w),
 n AS (SELECT *, lead(x) OVER o AS y, lead(x, 2) OVER o AS z, lead(x, 3) OVER o AS u FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY place)),
-h AS (SELECT doc_id, label, kind, freedom, place FROM n JOIN p ON x = phrase[1] AND y = phrase[2] AND (len(phrase) < 3 OR z = phrase[3]) AND (len(phrase) < 4 OR u = phrase[4])),
+m AS (SELECT doc_id, phrase, label, kind, freedom, place FROM n JOIN p ON x = phrase[1] AND y = phrase[2] AND (len(phrase) < 3 OR z = phrase[3]) AND (len(phrase) < 4 OR u = phrase[4])),
+h AS (SELECT doc_id, label, kind, freedom, place FROM m WHERE len(phrase) < 5 UNION ALL SELECT doc_id, label, kind, freedom, place FROM m JOIN w USING (doc_id) WHERE len(phrase) >= 5 AND list_slice(ws, place + 1, place + len(phrase)) = phrase),
 a AS (SELECT doc_id, count(*) FILTER (kind = 'base') AS n_base, min(place) FILTER (kind = 'base') AS first_word, max(place) FILTER (kind = 'base') AS last_word,
     string_agg(DISTINCT label, ',' ORDER BY label) FILTER (kind = 'base') AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, min(freedom) AS score FROM h GROUP BY doc_id)
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score FROM w LEFT JOIN a USING (doc_id)

@@ -54,7 +54,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on the urls of all pages."""
-    return url_filter.judge_urls(load(spark, sf_dir, "pages"), load(spark, sf_dir, "labels")).drop("lower")
+    return url_filter.judge_urls(load(spark, sf_dir, "pages"), load(spark, sf_dir, "labels")).drop("mean")
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -190,6 +190,36 @@ def test_license_texts(spark):
     assert license_scan.scan_licenses(df.limit(0)).count() == 0
 
 
+MIT_OPENING = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software"
+NOTICE_CASES = {
+    MIT_OPENING: ("mit", 1.0),
+    "Redistribution and use in source and binary forms, with or without": ("bsd", 1.0),
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with": ("isc", 1.0),
+    "Creative Commons Attribution-ShareAlike 4.0": ("cc-by,cc-by-sa", 0.6),
+    "SPDX-License-Identifier: 0BSD": ("0bsd", 1.0),
+    "# spdx license identifier : Zlib or Unlicense": ("unlicense,zlib", 1.0),
+    "SPDX-License-Identifier: MIT AND LicenseRef-house": ("licenseref-house,mit", 0.5),
+    "x\nSPDX-License-Identifier:\nMIT": ("", 0.0),
+    "é SPDX-License-Identifier: GPL-3.0-only\r\nSPDX-License-Identifier: (Apache-2.0 WITH LLVM-exception)": ("apache,gpl", 0.3),
+    "SPDX-License-Identifier MIT": ("", 0.0),
+    "All rights reserved. mit license": ("mit,proprietary", 0.0),
+}
+
+
+def test_notices_openings_and_tags(spark):
+    rows = [(i, t) for i, t in enumerate(NOTICE_CASES)] * 2 + [(99, "p " * 200_000 + MIT_OPENING)]
+    got = [(r.doc_id, (r.labels, r.score)) for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    want = [(i, w) for i, w in enumerate(NOTICE_CASES.values())]
+    assert sorted(got) == sorted(want * 2 + [(99, ("mit", 1.0))])
+    import duckdb
+
+    con = duckdb.connect()
+    plain = sorted({(i, t) for i, t in rows if "dentifier" not in t})
+    con.register("documents", spark.createDataFrame(plain, "doc_id long, text string").toPandas())
+    said = {(i, (labels, score)) for i, labels, score in con.execute(f"SELECT doc_id, labels, score FROM ({license_scan.ORACLE_SQL})").fetchall()}
+    assert said == {(i, w) for i, w in got if i in {p[0] for p in plain}}
+
+
 @pytest.mark.parametrize(
     ("expression", "order"),
     [("mit or gpl and bsd", "mit gpl bsd and or"), ("(mit or gpl) and bsd", "mit gpl or bsd and"), ("gpl with x and mit", "gpl x with mit and"), ("mit */", "mit"), ("mit and", None), ("(mit", None), ("mit)", None), ("", None), ("or mit", None)],
