@@ -117,3 +117,19 @@ class PieceCache:
     def ids(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of pieces in a row, and their offsets."""
         return gather(self.flat, self.starts[places], self.lens[places])
+
+
+def row_numbers(partition: int, first: int, n: int) -> np.ndarray:
+    """Numbers of the rows ``first`` to ``first + n`` of a partition that no other
+    partition gives, as long as the table they go to is written once."""
+    return (partition << 33) + first + np.arange(n, dtype=np.int64)
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words (between ASCII white space) of all texts in a row, and offsets:
+    those of text i are words[offsets[i] : offsets[i + 1]]."""
+    lists = pc.ascii_split_whitespace(texts)
+    offsets, words = np.asarray(lists.offsets, dtype=np.int64), lists.values
+    full = np.asarray(pc.binary_length(words)) > 0
+    before = np.concatenate([[0], np.cumsum(full)])
+    return words.filter(pa.array(full)), before[offsets]

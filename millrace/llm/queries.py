@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover_tree, license_scan, line_dedup, packing, quality, sharding, simhash, token_files, unigram, url_filter
+from . import alignment, classifier, cover_tree, license_scan, line_dedup, packing, periodic, quality, sharding, simhash, token_files, unigram, url_filter
 from .common import load, new_path
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -69,11 +69,27 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(load(spark, sf_dir, "documents"))
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated quality scores of all documents, learnt from the labels."""
+    return classifier.score_quality(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' byte-level tokens against their pieces."""
+    return alignment.align_tokenizers(load(spark, sf_dir, "documents"), BYTE_BPE, PIECES)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words in all documents, every tenth of which is made periodic."""
+    return periodic.periodic_runs(load(spark, sf_dir, "documents"), plant=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_sentencepiece, op3_line_dedup, op4_cover_tree_search, op5_slot_sharding,
         op6_simhash, op7_quality_rules, op8_url_reputation, op9_token_files, op10_license_scan,
+        op11_quality_classifier, op12_tokenizer_alignment, op13_periodic_runs,
     )
 }
 
