@@ -318,7 +318,8 @@ def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     for the octaves whose periods are longer than an eighth of it: their tile is
     the document, held as four bytes a word and the ranks of its stretches (about
     8 bytes a word for each doubling).  Tiles where no sequence of six words comes
-    twice hold no run and aren't sent.
+    twice hold no run and aren't sent.  Joins merge at every size, so that what is
+    shuffled grows with the documents.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     scanned = written(rows.mapInArrow(_scan(base, plant), _SCAN), "period-tiles")
@@ -330,10 +331,10 @@ def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
     listed = F.sha2(F.concat(F.array_join(lines, "\n"), F.lit("\n")), 256)
     heads = scanned.where("start IS NULL")
-    cut = heads.where("words IS NOT NULL").select("row", "words").join(found.select("row", "runs"), "row").select("row", "words", "runs").mapInArrow(_collapse, "row long, collapsed string, n_kept long")
-    summary = found.select("row", F.size("runs").cast("long").alias("n_runs"), "best", listed.alias("listed")).join(cut, "row")
+    cut = heads.where("words IS NOT NULL").select("row", "words").join(found.select("row", "runs").hint("merge"), "row").select("row", "words", "runs").mapInArrow(_collapse, "row long, collapsed string, n_kept long")
+    summary = found.select("row", F.size("runs").cast("long").alias("n_runs"), "best", listed.alias("listed")).join(cut.hint("merge"), "row")
     length, period = -F.col("best.size"), F.col("best.period")
-    return heads.select("row", "doc_id", F.col("n").cast("long").alias("n_words"), "plain").join(summary, "row", "left").select(
+    return heads.select("row", "doc_id", F.col("n").cast("long").alias("n_words"), "plain").join(summary.hint("merge"), "row", "left").select(
         "doc_id", "n_words", F.coalesce("n_runs", F.lit(0).cast("long")).alias("n_runs"), F.col("best.start").alias("start"), length.alias("length"), period.alias("period"),
         F.expr("(-1000 * best.size) div best.period").cast("long").alias("exponent_milli"), F.coalesce("listed", F.lit(_EMPTY)).alias("runs_sha256"), F.coalesce("collapsed", "plain").alias("collapsed_sha256"),
         F.coalesce("n_kept", "n_words").alias("n_kept"),
