@@ -56,8 +56,10 @@ def with_ids(rows: DataFrame, order_cols: list[str], first_id: int) -> DataFrame
 
 def order_columns(items: DataFrame) -> list[str]:
     """What tells items apart and orders them: source, then the document as it was
-    fetched (where items know it), then the place in it."""
-    return ["source_id", "fetched_at", "doc_id", "pos"] if "doc_id" in items.columns else ["source_id", "pos"]
+    fetched (where items know it, by its digest where they know that, too), then the
+    place in it."""
+    known = [c for c in ("fetched_at", "doc_id", "digest") if c in items.columns] if "doc_id" in items.columns else []
+    return ["source_id", *known, "pos"]
 
 
 def ingest(

@@ -156,12 +156,13 @@ def limit_items(items: Column, limit: int = ITEM_LIMIT) -> Column:
     return F.slice(items, F.lit(1), F.lit(limit)) if limit > 0 else items
 
 
-def items_of(docs: DataFrame, limit: int = ITEM_LIMIT) -> DataFrame:
-    """Items (see schemas.ITEM) and doc_id from the result of :func:`read_feeds`."""
-    each = docs.where("feed.error = ''").select("source_id", "doc_id", "fetched_at", F.posexplode(limit_items(F.col("feed.items"), limit)).alias("pos", "i"))
+def items_of(docs: DataFrame, keep: tuple[str, ...] = (), limit: int = ITEM_LIMIT) -> DataFrame:
+    """Items (see schemas.ITEM), doc_id and the columns ``keep`` from the result of
+    :func:`read_feeds`."""
+    each = docs.where("feed.error = ''").select("source_id", "doc_id", *keep, "fetched_at", F.posexplode(limit_items(F.col("feed.items"), limit)).alias("pos", "i"))
     published, updated = parse_feed_time("i.published"), parse_feed_time("i.updated")
     return each.select(
-        "source_id", "doc_id", "pos", "i.guid", "i.url", "i.title", "i.author", F.coalesce(published, updated).alias("published_at"),
+        "source_id", "doc_id", *keep, "pos", "i.guid", "i.url", "i.title", "i.author", F.coalesce(published, updated).alias("published_at"),
         F.coalesce(published, updated).isNull().alias("inferred_time"), "i.summary", "i.content", "i.content_type", "i.tags",
         F.create_map().cast("map<string,string>").alias("extra"), "fetched_at",
     )
@@ -169,7 +170,7 @@ def items_of(docs: DataFrame, limit: int = ITEM_LIMIT) -> DataFrame:
 
 def parse_feed(raw_docs: DataFrame, limit: int = ITEM_LIMIT) -> DataFrame:
     """Items of all well-formed feed documents, with doc_id."""
-    return items_of(read_feeds(raw_docs), limit)
+    return items_of(read_feeds(raw_docs), limit=limit)
 
 
 def feed_errors(raw_docs: DataFrame) -> DataFrame:

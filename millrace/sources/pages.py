@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import re
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -171,9 +172,12 @@ def parse_page_list(raw_docs: DataFrame, selector: str) -> DataFrame:
     def links(bodies: pd.Series, bases: pd.Series) -> pd.Series:
         return pd.Series([list_links(b, selector, u) for b, u in zip(bodies, bases)], dtype=object)
 
-    each = raw_docs.select("source_id", "doc_id", "fetched_at", F.posexplode(links("body", "base_url")).alias("pos", "i"))
+    return _as_items(raw_docs.select("source_id", "doc_id", "fetched_at", F.posexplode(links("body", "base_url")).alias("pos", "i")))
+
+
+def _as_items(each: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return each.select(
-        "source_id", "doc_id", "pos", F.col("i.url").alias("guid"), "i.url", "i.title", F.lit("").alias("author"), F.lit(None).cast("timestamp").alias("published_at"),
+        "source_id", "doc_id", *keep, "pos", F.col("i.url").alias("guid"), "i.url", "i.title", F.lit("").alias("author"), F.lit(None).cast("timestamp").alias("published_at"),
         F.lit(True).alias("inferred_time"), F.lit("").alias("summary"), F.lit("").alias("content"), F.lit("text/html").alias("content_type"),
         F.array().cast("array<string>").alias("tags"), F.create_map().cast("map<string,string>").alias("extra"), "fetched_at",
     )
@@ -189,6 +193,48 @@ def page_titles(raw_docs: DataFrame) -> DataFrame:
     return raw_docs.select("source_id", "doc_id", _titles("body").alias("title"))
 
 
+def _links_of(body: str | None, base: str | None, config: str | None) -> dict:
+    """error and links of a page by the selector of its source's config."""
+    try:
+        selector = json.loads(config or "{}").get("selector") or ""
+        return {"error": "", "links": list_links(body, selector, base)}
+    except (ValueError, AttributeError) as e:
+        return {"error": f"webpage: {e}", "links": []}
+
+
+_LINK = T.StructType([T.StructField("url", T.StringType()), T.StructField("title", T.StringType())])
+
+
+@F.pandas_udf(T.StructType([T.StructField("error", T.StringType()), T.StructField("links", T.ArrayType(_LINK))]))
+def _read_links(bodies: pd.Series, bases: pd.Series, configs: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_links_of(*x) for x in zip(bodies, bases, configs)], columns=["error", "links"])
+
+
+def before_cursor(links: Column, cursor: Column) -> Column:
+    """What of an array of links stands before the url in a cursor ({"newest_url":
+    ...}); all if it isn't there."""
+    stop = F.array_position(F.transform(links, lambda x: x["url"]), F.get_json_object(cursor, "$.newest_url"))
+    return F.when(F.coalesce(stop, F.lit(0)) > 0, F.slice(links, F.lit(1), (stop - 1).cast("int"))).otherwise(links)
+
+
+def read_pages(docs: DataFrame) -> DataFrame:
+    """docs (with ``config``: selector, and ``cursor``) and error, links: those before
+    the cursor, cut inside the document before anything is exploded."""
+    each = docs.select("*", F.explode(F.array(_read_links("body", "base_url", "config"))).alias("_read"))
+    return each.withColumns({"error": F.col("_read.error"), "links": before_cursor(F.col("_read.links"), F.col("cursor"))}).drop("_read")
+
+
+def items_of(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Items, with doc_id and the columns ``keep``, of pages that were read."""
+    each = docs.select("source_id", "doc_id", *keep, "fetched_at", F.posexplode("links").alias("pos", "i"))
+    return _as_items(each, keep)
+
+
+def next_cursor() -> Column:
+    """The first link that was kept, or null where there is none."""
+    return F.when(F.size("links") > 0, F.to_json(F.struct(F.col("links")[0]["url"].alias("newest_url"))))
+
+
 def cut_at_cursor(items: DataFrame, cursors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(items, cursors): of each source what stands before the url in its cursor
     ({"newest_url": ...}), all if it isn't there; and the new cursors, the first

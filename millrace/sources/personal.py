@@ -34,9 +34,9 @@ def unpack_envelope(df: DataFrame) -> DataFrame:
     )
 
 
-def _item(df: DataFrame, guid: Column, author: Column, published: Column, extra: Column) -> DataFrame:
+def _item(df: DataFrame, guid: Column, author: Column, published: Column, extra: Column, keep: tuple[str, ...] = ()) -> DataFrame:
     return df.select(
-        "source_id", "doc_id", "pos", guid.alias("guid"), F.when(guid == "", F.lit("")).otherwise(F.concat(F.lit(VIDEO_URL), guid)).alias("url"),
+        "source_id", "doc_id", *keep, "pos", guid.alias("guid"), F.when(guid == "", F.lit("")).otherwise(F.concat(F.lit(VIDEO_URL), guid)).alias("url"),
         trim_white("i.title").alias("title"), author.alias("author"), published.alias("published_at"), published.isNull().alias("inferred_time"),
         F.lit("").alias("summary"), F.lit("").alias("content"), F.lit("text/plain").alias("content_type"), F.array().cast("array<string>").alias("tags"),
         extra.alias("extra"), "fetched_at",
@@ -53,21 +53,28 @@ def _entries(*pairs: tuple[str, Column, Column]) -> Column:
     return F.map_from_entries(F.filter(every, lambda x: x.isNotNull())).cast("map<string,string>")
 
 
-def map_history(df: DataFrame, tz: str = "UTC") -> DataFrame:
+def map_history(df: DataFrame, tz: str = "UTC", keep: tuple[str, ...] = ()) -> DataFrame:
     """Items of the watch histories in ``data``, 100 of a document at most."""
     rows = F.slice(F.from_json("data", _HISTORY), F.lit(1), F.lit(HISTORY_LIMIT))
-    each = df.select("source_id", "doc_id", "fetched_at", F.posexplode(rows).alias("pos", "i"))
+    each = df.select("source_id", "doc_id", *keep, "fetched_at", F.posexplode(rows).alias("pos", "i"))
     viewed = parse_viewed_at("i.viewed_at", tz)
     raw = trim_white("i.viewed_at")
-    return _item(each, _guid(), trim_white("i.author"), viewed, _entries(("viewed_at", raw, viewed.isNull() & (raw != ""))))
+    return _item(each, _guid(), trim_white("i.author"), viewed, _entries(("viewed_at", raw, viewed.isNull() & (raw != ""))), keep)
 
 
-def map_favorites(df: DataFrame) -> DataFrame:
+def map_favorites(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Items of the favourites in ``data``."""
-    each = df.select("source_id", "doc_id", "fetched_at", F.posexplode(F.from_json("data", _FAVORITES)).alias("pos", "i"))
+    each = df.select("source_id", "doc_id", *keep, "fetched_at", F.posexplode(F.from_json("data", _FAVORITES)).alias("pos", "i"))
     seconds, shown = F.coalesce("i.duration_seconds", F.lit(0)), text("i.duration")
     extra = _entries(("duration_seconds", seconds, seconds > 0), ("duration", shown, shown != ""))
-    return _item(each, _guid(), trim_white("i.upper.name"), F.lit(None).cast("timestamp"), extra)
+    return _item(each, _guid(), trim_white("i.upper.name"), F.lit(None).cast("timestamp"), extra, keep)
+
+
+def items_of(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Items of envelopes by the mode in their source's config: favorites, else the
+    watch history."""
+    favorites = F.coalesce(F.get_json_object("config", "$.mode"), F.lit("")) == "favorites"
+    return map_history(docs.where(~favorites), keep=keep).unionByName(map_favorites(docs.where(favorites), keep))
 
 
 def https_cover(c: Column | str) -> Column:

@@ -9,13 +9,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from millrace.operators.ingest import ingest
+from millrace.operators.refresh import refresh
 from millrace.operators.state import apply_state_events
+from millrace.operators.store import Store
+
+
+def stream_refresh(raw_docs: DataFrame, checkpoint: str, store: Store, sources: Callable[[], DataFrame], now: Callable[[], object], stream: str = "refresh", **trigger) -> StreamingQuery:
+    """Refresh rounds over a stream of landed documents (schemas.RAW_DOC): each
+    micro-batch changes entries, cursors, health, log and runs of the store together
+    (see :func:`millrace.operators.refresh.refresh`).  A batch that was interrupted
+    before its commit left nothing behind, one that is run again after it changes
+    nothing."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        refresh(batch, store, sources(), now(), stream, number)
+
+    return raw_docs.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def stream_ingest(
     items: DataFrame, checkpoint: str, read_entries: Callable[[], DataFrame], append: Callable[[DataFrame, int], None], now: Callable[[], object], **trigger
 ) -> StreamingQuery:
-    """Ingests a stream of items (schemas.ITEM) batch by batch against all history.
+    """Ingests a stream of items (schemas.DOCUMENT_ITEM, or schemas.ITEM where a
+    micro-batch has one document a source) batch by batch against all history.
 
     ``read_entries`` gives the store as it is, ``append`` adds new entries under a
     batch number; a batch that is run again finds its entries stored and adds
