@@ -2,28 +2,25 @@
 
 Items are taken in order; one is accepted unless an accepted earlier item, or the
 store, holds one of its keys.  That is the first maximal independent set of the
-graph whose cliques are the keys.  It is found in rounds: what is first on all
-its keys is accepted, what shares a key with it is rejected, the rest goes on.
-Chains, where an item has one earlier neighbour only, are decided at once by
-pointer jumping: such an item is accepted if that neighbour is not.
+graph whose cliques are the keys.  It is found by ranges of the order: each decides
+what does not hang on earlier ranges, and what crosses ranges is settled by joins.
 """
 
 from __future__ import annotations
 
 from functools import reduce
-from itertools import count
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import text
 
-from .tables import written
+from .tables import with_ids, written
 
 LAYERS = ("guid", "url", "hash")
-#: Rounds that only take what is first on all its keys, before chains are looked for:
-#: they are cheaper and leave little.
-PLAIN_ROUNDS = 3
+#: Items that share keys with others and that one task decides.
+SPAN = 200_000
 
 
 def key_array(layers: tuple[str, ...] = LAYERS) -> Column:
@@ -58,42 +55,48 @@ def reject_known(cands: DataFrame, keys: DataFrame, layers: tuple[str, ...] = LA
     return joined.select(*cands.columns, layer_name(F.col("h.layer")).alias("reason"), F.col("h.entry_id").alias("entry_id"))
 
 
-def _firsts(left: DataFrame) -> DataFrame:
-    """Ords of (ord, layer, key) that are first on all their keys."""
-    firsts = left.groupBy("layer", "key").agg(F.min("ord").alias("first"))
-    return left.join(firsts, ["layer", "key"]).groupBy("ord").agg(F.min(F.col("ord") == F.col("first")).alias("all")).where("all").select("ord")
-
-
-def _decided(left: DataFrame) -> DataFrame:
-    """Ords of (ord, layer, key) that are sure to be accepted: those first on all
-    their keys, and along chains that begin at one every second item.
-
-    On each key an item is the first, the second or a later one.  One that is first
-    or second on all its keys, and second to the same item wherever it is second, has
-    that item as its one earlier neighbour.  Pointers to it are doubled until they
-    end at items that have none or several, so a chain takes rounds by the logarithm
-    of its length.
-    """
-    firsts = left.join(left.groupBy("layer", "key").agg(F.min("ord").alias("first")), ["layer", "key"])
-    seconds = firsts.where("ord > first").groupBy("layer", "key").agg(F.min("ord").alias("second"))
-    late = F.col("ord") != F.col("first")
-    before = F.when(late, F.col("first"))
-    state = firsts.join(seconds, ["layer", "key"], "left").groupBy("ord").agg(
-        F.min(~late | (F.col("ord") == F.col("second"))).alias("near"), F.min(before).alias("least"), F.max(before).alias("most")
-    )
-    state = written(state.select("ord", F.col("least").isNull().alias("free"), (F.col("near") & (F.col("least") == F.col("most"))).alias("one"), F.col("least").alias("to")), "decided")
-    chain = state.where("one").select("ord", "to", F.lit(True).alias("odd"))
+def _greedy(rows: pd.DataFrame) -> pd.DataFrame:
+    """status of the items of one range, in order: 1 accepted, 0 rejected, -1 open,
+    where an item of an earlier range, or an open one here, may hold one of its keys."""
+    held, maybe, out = set(), set(), []
+    rows = rows.sort_values("n")
+    for keys, blocked in zip(rows["ks"], rows["blocked"]):
+        if not held.isdisjoint(keys):
+            out.append(0)
+        elif blocked or not maybe.isdisjoint(keys):
+            maybe.update(keys)
+            out.append(-1)
+        else:
+            held.update(keys)
+            out.append(1)
+    return rows[["r", "n", "ks"]].assign(status=out)
+
+
+def _rounds(items: DataFrame) -> DataFrame:
+    """n of the accepted among items (n, ks), by ranges of SPAN items.
+
+    A range knows which of its keys an open item of an earlier range holds, and
+    decides all that doesn't hang on those; what it accepts then rejects items of
+    later ranges by one join.  The first range that has open items is decided
+    whole, so there are at most as many rounds as ranges."""
+    items = written(items, "shared-items")
+    if items.count() > SPAN:
+        items = written(with_ids(items, ["n"], 0, "place").select(F.expr(f"place DIV {SPAN}").alias("r"), "n", "ks"), "ranges")
+    else:
+        items = items.select(F.lit(0).cast("long").alias("r"), "n", "ks")
+    accepted = []
     while True:
-        ahead = chain.select(F.col("ord").alias("to"), F.col("to").alias("next"), F.col("odd").alias("next_odd"))
-        step = chain.join(ahead, "to", "left").select(
-            "ord", F.coalesce("next", "to").alias("to"), (F.col("odd") != F.coalesce("next_odd", F.lit(False))).alias("odd"), F.col("next").isNotNull().alias("moved")
-        )
-        step = written(step, "chains")
-        chain = step.drop("moved")
-        if step.where("moved").isEmpty():
-            break
-    free = state.where("free").select("ord")
-    return free.unionByName(chain.where("NOT odd").join(free.select(F.col("ord").alias("to")), "to", "left_semi").select("ord"))
+        keys = items.select("r", "n", F.explode("ks").alias("k"))
+        first = keys.groupBy("k").agg(F.min("r").alias("first"))
+        ready = keys.join(first, "k").groupBy("r", "n").agg(F.collect_list("k").alias("ks"), F.max(F.col("first") < F.col("r")).alias("blocked"))  # a key a layer
+        done = written(ready.groupBy("r").applyInPandas(_greedy, "r long, n long, ks array<long>, status int"), "decided")
+        accepted.append(done.where("status = 1").select("n"))
+        left = done.where("status = -1").drop("status")
+        if left.isEmpty():
+            return written(reduce(DataFrame.unionByName, accepted), "accepted")
+        held = done.where("status = 1").select(F.explode("ks").alias("k"))
+        gone = left.select("n", F.explode("ks").alias("k")).join(held, "k", "left_semi").select("n").distinct()
+        items = written(left.join(gone, "n", "left_anti"), "open-items")
 
 
 def dedup_first_wins(cands: DataFrame, order_cols: list[str], layers: tuple[str, ...] = LAYERS) -> DataFrame:
@@ -101,32 +104,27 @@ def dedup_first_wins(cands: DataFrame, order_cols: list[str], layers: tuple[str,
     of the accepted item that holds that key).
 
     cands has source_id, guid, url, content_hash; the order columns tell its rows
-    apart.  Rows without any key are not accepted, reason ``no_identity``.  Keys
-    that all rows share cost no more than others: only minima are taken over them.
+    apart.  Rows without any key are not accepted, reason ``no_identity``.  Items are
+    numbered, and a key is known by the first item that holds it.  What shares no key
+    is accepted at once; in one layer the first of a key is; else see :func:`_rounds`.
+    Keys that all rows share cost no more than others: only counts and minima are
+    taken over them, and a range rejects all but one by looking a key up.
     """
-    whole = cands.withColumn("ord", F.struct(*order_cols))
-    keys = whole.select("ord", F.explode(key_array(layers)).alias("k")).select("ord", "k.layer", "k.key")
-    left = written(keys, "keys")
-    lone = left.groupBy("layer", "key").agg(F.count("*").alias("n"), F.min("ord").alias("first"))
-    state = written(left.join(lone, ["layer", "key"]).groupBy("ord").agg(F.max("n").alias("n"), F.min(F.col("ord") == F.col("first")).alias("first")), "first-round")
-    accepted = [state.where("n = 1 OR first").select("ord")]
-    left = written(left.join(state.where("n > 1").select("ord"), "ord", "left_semi"), "shared-keys")
-    new = state.where("n > 1 AND first").select("ord")
-    for k in count():
-        held = left.join(new, "ord", "left_semi").select("layer", "key").distinct()
-        gone = left.join(held, ["layer", "key"], "left_semi").select("ord").distinct()
-        left = written(left.join(gone, "ord", "left_anti"), "shared-keys")
-        if left.isEmpty():
-            break
-        new = written(_firsts(left) if k < PLAIN_ROUNDS else _decided(left), "accepted")
-        accepted.append(new)
-    accepted = written(reduce(DataFrame.unionByName, accepted), "accepted")
-    owners = keys.join(accepted, "ord", "left_semi").select("layer", "key", F.col("ord").alias("winner"))
-    lost = keys.join(accepted, "ord", "left_anti").join(owners, ["layer", "key"]).where("winner < ord")
-    why = lost.groupBy("ord").agg(F.min(F.struct("layer", "winner")).alias("why"))
-    joined = whole.join(accepted.withColumn("accepted", F.lit(True)), "ord", "left").join(why, "ord", "left")
-    none = F.size(key_array(layers)) == 0
-    return joined.select(
-        *cands.columns, F.coalesce("accepted", F.lit(False)).alias("accepted"),
-        F.when(none, F.lit("no_identity")).otherwise(layer_name(F.col("why.layer"))).alias("reason"), F.col("why.winner").alias("winner"),
+    numbered = with_ids(cands.select(*order_cols, key_array(layers).alias("ks")), order_cols, 0, "n")
+    keys = numbered.select("n", F.explode("ks").alias("x")).select("n", "x.layer", "x.key")
+    owners = keys.groupBy("layer", "key").agg(F.count("*").alias("uses"), F.min("n").alias("first")).where("uses > 1")
+    shared = written(keys.join(owners, ["layer", "key"]).select("n", "layer", (F.col("first") * len(LAYERS) + F.col("layer")).alias("k"), (F.col("n") == F.col("first")).alias("is_first")), "shared-keys")
+    items = shared.groupBy("n").agg(F.collect_list("k").alias("ks"), F.min("is_first").alias("is_first"))  # a key a layer
+    accepted = items.where("is_first").select("n") if len(layers) == 1 else _rounds(items.select("n", "ks"))
+    accepted = accepted.withColumn("taken", F.lit(True))
+    held = shared.join(accepted, "n").select("k", F.col("n").alias("winner"))
+    why = shared.join(accepted, "n", "left_anti").join(held, "k").where("winner < n").groupBy("n").agg(F.min(F.struct("layer", "winner")).alias("why"))
+    state = items.select("n", F.lit(True).alias("met")).join(accepted, "n", "left").join(why, "n", "left")
+    names = numbered.select(F.col("n").alias("winner_n"), F.struct(*order_cols).alias("winner"))
+    none = F.size("ks") == 0
+    verdict = numbered.join(state, "n", "left").join(names, F.col("why.winner") == F.col("winner_n"), "left").select(
+        *order_cols, (~none & (F.col("met").isNull() | F.coalesce("taken", F.lit(False)))).alias("accepted"),
+        F.when(none, F.lit("no_identity")).otherwise(layer_name(F.col("why.layer"))).alias("reason"), "winner",
     )
+    same = [F.col(f"c.{c}").eqNullSafe(F.col(f"v.{c}")) for c in order_cols]
+    return cands.alias("c").join(verdict.alias("v"), same).select("c.*", "v.accepted", "v.reason", "v.winner")

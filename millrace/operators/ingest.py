@@ -14,7 +14,7 @@ from millrace.functions.times import published_or_fetched
 from millrace.sources.personal import enrich_new
 
 from .dedup import LAYERS, dedup_first_wins, entry_keys, reject_known
-from .tables import written
+from .tables import with_ids, written
 
 
 class Ingested(NamedTuple):
@@ -40,20 +40,6 @@ def item_to_entry(items: DataFrame, now: Column) -> DataFrame:
     )
 
 
-def with_ids(rows: DataFrame, order_cols: list[str], first_id: int) -> DataFrame:
-    """rows with ids from ``first_id`` in the order of the columns: partitions are
-    ranges, and only their sizes are summed in order."""
-    ranged = written(rows.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols).withColumn("_n", F.monotonically_increasing_id()), "ordered")
-    part = F.shiftrightunsigned("_n", 33)
-    sizes = sorted((r[0], r[1]) for r in ranged.groupBy(part.alias("p")).count().collect())  # a row a partition
-    starts, at = [], first_id
-    for p, n in sizes:
-        starts.append((p, at))
-        at += n
-    table = rows.sparkSession.createDataFrame(starts, "_p long, _start long")
-    return ranged.withColumn("_p", part).join(F.broadcast(table), "_p").withColumn("id", F.col("_start") + F.col("_n") - F.shiftleft("_p", 33)).drop("_n", "_p", "_start")
-
-
 def order_columns(items: DataFrame) -> list[str]:
     """What tells items apart and orders them: source, then the document as it was
     fetched (where items know it, by its digest where they know that, too), then the

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from millrace.schemas import CURSOR, ENTRY, FETCH_LOG
 from millrace.sources.registry import registered, with_sources
 
-from .ingest import ingest, with_ids
+from .ingest import ingest
 from .store import Store, Table
-from .tables import written
+from .tables import with_ids, written
 
 SEEN = "source_id long, base_url string, etag string, last_modified string, digest string, fetched_at timestamp"
 HEALTH = "source_id long, fail_count int, last_error string, updated_at timestamp"

@@ -29,6 +29,20 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_ids(rows: DataFrame, order_cols: list[str], first_id: int, name: str = "id") -> DataFrame:
+    """rows with numbers from ``first_id`` in the order of the columns: partitions are
+    ranges, and only their sizes are summed in order."""
+    ranged = written(rows.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols).withColumn("_n", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftrightunsigned("_n", 33)
+    sizes = sorted((r[0], r[1]) for r in ranged.groupBy(part.alias("p")).count().collect())  # a row a partition
+    starts, at = [], first_id
+    for p, n in sizes:
+        starts.append((p, at))
+        at += n
+    table = rows.sparkSession.createDataFrame(starts, "_p long, _start long")
+    return ranged.withColumn("_p", part).join(F.broadcast(table), "_p").withColumn(name, F.col("_start") + F.col("_n") - F.shiftleft("_p", 33)).drop("_n", "_p", "_start")
+
+
 def merge_snapshot(base: DataFrame, delta: DataFrame, key: str | list[str]) -> DataFrame:
     """base with the rows of delta in place of those with the same key."""
     keys = [key] if isinstance(key, str) else key

@@ -38,26 +38,47 @@ key = st.sampled_from(["", "a", "b", "c", "d", "e", "f"])
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 3), key, key, key), min_size=1, max_size=60))
 def test_matches_the_plain_loop(spark, items):
-    dedup.PLAIN_ROUNDS = len(items) % 2  # chains are looked for early
+    dedup.SPAN = 7 if len(items) % 2 else 1000  # several ranges, or one
     rows = [(s, i, g, u, h) for i, (s, g, u, h) in enumerate(items)]
     try:
         assert judged(spark, rows) == one_by_one(rows)
     finally:
-        dedup.PLAIN_ROUNDS = 3
+        dedup.SPAN = 200_000
 
 
-def test_chains_of_keys(spark, monkeypatch):
-    """A chain takes rounds by the logarithm of its length, and side chains fit in."""
+def counted(monkeypatch, span):
     tables = []
     monkeypatch.setattr(dedup, "written", lambda df, tag: tables.append(tag) or written(df, tag))
+    monkeypatch.setattr(dedup, "SPAN", span)
+    return tables
+
+
+def test_chains_of_keys(spark, monkeypatch):
+    tables = counted(monkeypatch, 1000)
     rows = [(1, i, f"g{i}", f"u{i // 2}", f"h{(i + 1) // 2}") for i in range(200)]
     want = one_by_one(rows)
     assert sum(a for a, *_ in want.values()) == 100
-    assert judged(spark, rows) == want and len(tables) < 30
+    assert judged(spark, rows) == want and len(tables) == 4
     branches = [(2, i, "x7" if i % 5 == 0 else "", f"u{i // 3}", f"h{(i + 1) // 2 + 40}") for i in range(40)]
     assert judged(spark, rows + branches) == one_by_one(rows + branches)
 
 
+def test_items_that_depend_on_two_earlier_ones(spark, monkeypatch):
+    """Item i shares a key with i - 1 and one with i - 2, over four ranges: at most a
+    round a range, two tables a round."""
+    tables = counted(monkeypatch, 60)
+    rows = [(1, i, f"a{i // 2}", f"b{(i + 1) // 2}", f"c{i // 4 * 2 + i % 2}") for i in range(240)]
+    got = judged(spark, rows)
+    assert got == one_by_one(rows) and len({r for _, r, _ in got.values()}) > 2
+    assert tables.count("decided") <= 4 and len(tables) <= 4 + 2 * 4
+
+
+def test_one_layer_takes_no_rounds(spark, monkeypatch):
+    tables = counted(monkeypatch, 10)
+    rows = [(1, i, "", "", f"h{i % 50}") for i in range(500)]
+    assert judged(spark, rows, layers=("hash",)) == one_by_one(rows) and tables == ["shared-keys"]
+
+
 def test_scopes_and_hot_keys(spark):
     rows = [(1, 0, "g", "u1", "h1"), (2, 0, "g", "u2", "h2")] + [(3, i, "", "", "same") for i in range(3000)]
     got = judged(spark, rows)
