@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from typing import NamedTuple
 
@@ -49,15 +50,17 @@ def order_columns(items: DataFrame) -> list[str]:
 
 
 def ingest(
-    items: DataFrame, entries: DataFrame, now, details: DataFrame | None = None, order_cols: list[str] | None = None, layers: tuple[str, ...] = LAYERS, failed: DataFrame | None = None
-) -> Ingested:
+    items: DataFrame, entries: DataFrame, now, details: DataFrame | None = None, order_cols: list[str] | None = None, layers: tuple[str, ...] = LAYERS, failed: DataFrame | None = None,
+    known: Callable[[DataFrame], DataFrame] | None = None, last_id: int | None = None,
+) -> Ingested:
     """New entries of a batch: cleaned, keyed, without identity-less items, held
     against the store and against each other in order (see :func:`order_columns`),
     enriched, numbered in the order of acceptance.
 
     Order columns that two items share are an error, as neither would be first.
     ``failed`` (source_id, error) are documents that could not be read; they count as
-    errors in the summary.  Only keys are joined; the texts are written once, with
+    errors in the summary.  ``known`` may hold candidates against a store of keys (see
+    :mod:`.known`) and ``last_id`` give the last number; then entries aren't read.  Only keys are joined; the texts are written once, with
     their keys, and join the accepted keys in the end.
     """
     order_cols = order_cols or order_columns(items)
@@ -67,9 +70,10 @@ def ingest(
     if not keys.groupBy(*order_cols).count().where("count > 1").isEmpty():
         raise ValueError(f"several items share their {', '.join(order_cols)}: give order_cols that tell items apart")
     nameless = (F.col("guid") == "") & (F.col("url") == "") & (F.col("content_hash") == "")
-    checked = written(reject_known(keys.where(~nameless).withColumn("ord", F.struct(*order_cols)), entry_keys(entries, layers), layers), "checked")
+    named = keys.where(~nameless).withColumn("ord", F.struct(*order_cols))
+    checked = written(known(named) if known else reject_known(named, entry_keys(entries, layers), layers), "checked")
     judged = written(dedup_first_wins(checked.where("reason IS NULL").drop("reason", "entry_id", "ord"), order_cols, layers), "judged")
-    last = entries.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    last = entries.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] if last_id is None else last_id
     numbers = with_ids(judged.where("accepted").select(*order_cols), order_cols, last + 1)
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in order_cols]
     accepted = keyed.alias("a").join(numbers.alias("b"), same).select("a.*", "b.id")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from millrace.schemas import CURSOR, ENTRY, FETCH_LOG
 from millrace.sources.registry import registered, with_sources
 
+from . import known
 from .ingest import ingest
 from .store import Store, Table
 from .tables import with_ids, written
@@ -21,7 +22,7 @@ RUN = "stream string, batch long, sources long, inserted long, skipped long, err
 #: Tables of a refresh store.  ``seen`` holds what was last read under each address.
 TABLES = {
     "entries": Table(ENTRY), "cursors": Table(CURSOR, ("source_id",)), "health": Table(HEALTH, ("source_id",)),
-    "seen": Table(SEEN, ("source_id", "base_url")), "log": Table(FETCH_LOG), "runs": Table(RUN),
+    "seen": Table(SEEN, ("source_id", "base_url")), "log": Table(FETCH_LOG), "runs": Table(RUN), **known.TABLES,
 }
 #: A document: where it comes from, when it was fetched, its name and its digest.
 DOC = ["source_id", "fetched_at", "doc_id", "digest"]
@@ -72,7 +73,7 @@ def refresh(raw_docs: DataFrame, store: Store, sources: DataFrame, now, stream:
     leave the cursor.  Null and empty bodies are errors.  ``details`` fill in new items.
 
     Documents are shuffled once, by their address; items meet the store by their keys
-    only (see :func:`.ingest.ingest`).  Cursors, health and what was seen are written
+    only, in the buckets whose filters they pass (see :mod:`.known`).  Cursors, health and what was seen are written
     for the buckets that the batch touches.
     """
     batch = store.batches.get(stream, -1) + 1 if batch is None else batch
@@ -89,11 +90,13 @@ def refresh(raw_docs: DataFrame, store: Store, sources: DataFrame, now, stream:
         items.append(kind.items(read.where("error = ''"), keep=("digest",)))
     heads = written(reduce(DataFrame.unionByName, heads), "heads")
     items = written(reduce(DataFrame.unionByName, items), "items")
-    got = ingest(items, store.read("entries"), now, details)
+    last = store.read("runs").agg(F.coalesce(F.max("last_id"), F.lit(0))).first()[0]
+    got = ingest(items, store.read("entries"), now, details, known=lambda cands: known.reject_known_in(cands, store), last_id=last)
     rejected = written(got.rejected, "rejected")
 
     change = store.change()
     entries = change.append("entries", got.entries)
+    known.add_keys(change, entries)
     log = change.append("log", _log(heads, items, rejected, store))
     change.upsert("seen", heads.where("error = '' AND NOT unchanged").groupBy("source_id", "base_url").agg(F.max_by(F.struct("etag", "last_modified", "digest", "fetched_at"), F.struct(*DOC)).alias("l")).select("source_id", "base_url", "l.*"))
     _move_cursors(change, heads, stamp)

@@ -9,6 +9,7 @@ batch of each stream, so a batch that is run again finds itself committed.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
@@ -99,14 +100,23 @@ class Change:
         return f"{self.store.path}/{name}/{uuid.uuid4().hex}"
 
     def append(self, name: str, rows: DataFrame) -> DataFrame:
-        """Adds rows as one part, and gives them back as read from it."""
+        """Adds rows as one part, and gives them back as read from it.  Where the
+        table has a key the rows' keys must be new to it; each bucket gets a part."""
         t, path = self.store.tables[name], self._path(name)
-        if t.key:
-            raise ValueError(f"{name} has a key: upsert")
         wanted = self.store.spark.createDataFrame([], t.schema).schema
-        rows.select(*(F.col(f.name).cast(f.dataType) for f in wanted)).write.parquet(path)
-        self.parts.append(Part(name, None, path))
-        return self.store.spark.read.schema(wanted).parquet(path)
+        rows = rows.select(*(F.col(f.name).cast(f.dataType) for f in wanted))
+        if t.key:
+            self.parts += self._write_buckets(name, path, rows)
+        else:
+            rows.write.parquet(path)
+            self.parts.append(Part(name, None, path))
+        return self.store.spark.read.schema(wanted).option("recursiveFileLookup", "true").parquet(path)
+
+    def _write_buckets(self, name: str, path: str, rows: DataFrame) -> list[Part]:
+        t = self.store.tables[name]
+        rows.withColumn("_bucket", self.store.bucket(name)).hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(path)
+        full = self.store.spark.read.schema(f"{t.schema}, _bucket int").parquet(path).select("_bucket").distinct()
+        return [Part(name, b, f"{path}/_bucket={b}") for b in sorted(r[0] for r in full.collect())]  # at most t.buckets
 
     def upsert(self, name: str, rows: DataFrame, gone: DataFrame | None = None) -> list[int]:
         """Puts rows (one a key) in place of those with their keys, and takes those
@@ -125,21 +135,30 @@ class Change:
         if not touched:
             return []
         same = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in t.key]
-        old = self.store._rows(name, self.parts, touched).select("*", bucket).alias("o").join(new.select(*t.key).alias("n"), same, "left_anti")
-        path = self._path(name)
-        merged = old.unionByName(new.where("_kept").drop("_kept"))
-        merged.hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(path)
-        rewritten = self.store.spark.read.schema(f"{t.schema}, _bucket int").parquet(path)
-        full = sorted(r[0] for r in rewritten.select("_bucket").distinct().collect())
-        self.parts = [p for p in self.parts if p.name != name or p.bucket not in set(touched)] + [Part(name, b, f"{path}/_bucket={b}") for b in full]
+        old = self.store._rows(name, self.parts, touched).alias("o").join(new.select(*t.key).alias("n"), same, "left_anti")
+        merged = old.unionByName(new.where("_kept").drop("_kept", "_bucket"))
+        others = [p for p in self.parts if p.name != name or p.bucket not in set(touched)]
+        self.parts = others + self._write_buckets(name, self._path(name), merged)
         return touched
 
-    def compact(self, name: str, most: int = 32) -> None:
-        """Rewrites an appended table of more than ``most`` parts as one part."""
-        if sum(p.name == name for p in self.parts) > most:
-            rows, path = self.store._rows(name, self.parts), self._path(name)
+    def compact(self, name: str, most: int = 32, merge: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> None:
+        """Rewrites what has more than ``most`` parts as one part each: a table that
+        is appended to, or buckets.  ``merge`` may fold its rows."""
+        parts: dict[int | None, int] = {}
+        for p in self.parts:
+            if p.name == name:
+                parts[p.bucket] = parts.get(p.bucket, 0) + 1
+        many = {b for b, n in parts.items() if n > most}
+        if not many:
+            return
+        own = [p for p in self.parts if p.name == name and p.bucket in many]
+        rows, path = merge(self.store._rows(name, own)), self._path(name)
+        self.parts = [p for p in self.parts if p not in own]
+        if self.store.tables[name].key:
+            self.parts += self._write_buckets(name, path, rows)
+        else:
             rows.hint("rebalance").write.parquet(path)
-            self.parts = [p for p in self.parts if p.name != name] + [Part(name, None, path)]
+            self.parts.append(Part(name, None, path))
 
     def commit(self, stream: str | None = None, batch: int = 0) -> int:
         """Writes the ledger's next row, in one file, and with it the new version."""
