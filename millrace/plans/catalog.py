@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions import html, text, times
-from millrace.operators import dedup, export, health, ingest, listing, search, state, tables
+from millrace.operators import dedup, export, health, ingest, known, listing, refresh, search, state, store, tables
+from millrace.schemas import FLAGS, STATE
 from millrace.sources import feeds, pages, personal
 from millrace.streaming import streams
 
@@ -284,20 +286,70 @@ def backfill_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- dedup and ingest -----------------------------------------------------------------
 
 
-@query(
-    with_sql(
+_KNOWN = with_sql(
         "items entries",
         f"""SELECT i.pos, CASE WHEN g.guid IS NOT NULL THEN 'guid' WHEN h.content_hash IS NOT NULL THEN 'hash' END AS reason FROM items i
         LEFT JOIN (SELECT DISTINCT source_id, guid FROM entries WHERE NOT deleted AND id % 4 = 0) g ON g.source_id = i.source_id AND g.guid = i.guid
         LEFT JOIN (SELECT DISTINCT content_hash FROM entries WHERE NOT deleted AND id % 4 = 0) h ON h.content_hash = {hash_sql("i.title", "i.content")}""",
     )
-)
+
+
+@query(_KNOWN)
 def known_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items held against a store with every fourth entry."""
     cands = ingest.with_keys(d.items(spark, sf_dir)).withColumn("ord", F.struct("source_id", "pos"))
     return dedup.reject_known(cands, dedup.entry_keys(d.entries(spark, sf_dir).where("id % 4 = 0"))).select("pos", "reason")
 
 
+@query(_KNOWN)
+def known_items_by_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same against a store of keys in buckets with filters."""
+    keys = store.Store(spark, f"{tables.shared_dir(spark)}/keys-{spark.sql('SELECT uuid()').first()[0]}", known.TABLES)
+    change = keys.change()
+    known.add_keys(change, d.entries(spark, sf_dir).where("id % 4 = 0"))
+    change.commit()
+    cands = ingest.with_keys(d.items(spark, sf_dir)).withColumn("ord", F.struct("source_id", "pos"))
+    return known.reject_known_in(cands, keys).select("pos", "reason")
+
+
+_ROUNDS_SQL = with_sql(
+    "items",
+    f""", own AS (SELECT source_id, source_id || '-' || pos // 80 AS doc_id, pos // 80 AS number, pos, guid, {_CLEAN('title')} AS title, {_CLEAN('content')} AS content FROM items),
+    docs AS (SELECT DISTINCT source_id, doc_id, number % 5 = 4 AS bad, CASE WHEN number % 2 = 0 THEN 1 ELSE 2 END AS round FROM own),
+    ranked AS (SELECT own.*, d.round, row_number() OVER (PARTITION BY CASE WHEN {norm_sql("title")} || {norm_sql("content")} = '' THEN guid ELSE {_H} END ORDER BY d.round, own.source_id, own.doc_id, pos) AS rn FROM own JOIN docs d USING (doc_id) WHERE NOT bad),
+    new AS (SELECT *, row_number() OVER (ORDER BY round, source_id, doc_id, pos) AS id FROM ranked WHERE rn = 1),
+    n AS (SELECT doc_id, count(*) FILTER (rn = 1) AS inserted, count(*) FILTER (rn > 1) AS skipped FROM ranked GROUP BY doc_id),
+    runs AS (SELECT 1 AS r, * FROM docs WHERE round = 1 UNION ALL SELECT 2, * FROM docs),
+    log AS (SELECT row_number() OVER (ORDER BY r, source_id, doc_id) AS id, source_id, CASE WHEN r = round THEN coalesce(inserted, 0) ELSE 0 END AS inserted, CASE WHEN r = round THEN coalesce(skipped, 0) ELSE 0 END AS skipped, NOT bad AS success, r, round = r OR bad AS read FROM runs LEFT JOIN n USING (doc_id))
+    SELECT 'entry' AS kind, id, source_id, guid AS text, 0::BIGINT AS a, 0::BIGINT AS b, true AS ok FROM new
+    UNION ALL SELECT 'log', id, source_id, '', inserted, skipped, success FROM log
+    UNION ALL SELECT 'run', r - 1, count(DISTINCT source_id), count(*) FILTER (NOT success) || ' ' || count(*) FILTER (NOT read), sum(inserted)::BIGINT, sum(skipped)::BIGINT, true FROM log GROUP BY r
+    UNION ALL SELECT 'health', 0, source_id, '', x.fails, 0, x.fails = 0 FROM (SELECT source_id, coalesce(sum(1) FILTER (bad AND (r, doc_id) > last), 0)::BIGINT AS fails FROM runs JOIN (SELECT source_id, coalesce(max((r, doc_id)) FILTER (NOT bad), (0, '')) AS last FROM runs GROUP BY source_id) USING (source_id) GROUP BY source_id) x
+    UNION ALL SELECT 'cursor', 0, source_id, max(doc_id), 0, 0, true FROM docs WHERE NOT bad AND round = 2 GROUP BY source_id
+    UNION ALL SELECT 'cursor', 0, source_id, max(doc_id), 0, 0, true FROM docs WHERE NOT bad AND source_id NOT IN (SELECT source_id FROM docs WHERE NOT bad AND round = 2) GROUP BY source_id""",
+)
+
+
+@query(_ROUNDS_SQL)
+def refresh_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rounds over feed documents: every second one, then all, so that those of
+    the first round are unchanged then and broken ones fail again.  All tables that
+    the rounds leave: entries, log, runs, health, cursors."""
+    rounds = refresh.open_store(spark, f"{tables.shared_dir(spark)}/rounds-{spark.sql('SELECT uuid()').first()[0]}")
+    docs = tables.written(_feeds(spark, sf_dir).withColumns({"base_url": F.concat(F.lit("https://e.com/"), "doc_id"), "etag": F.col("doc_id")}), "feeds")
+    active = docs.select(F.col("source_id").alias("id")).distinct().selectExpr("id", "'feed' AS type", "'{}' AS config", "true AS enabled", "false AS deleted")
+    refresh.refresh(docs.where("split(doc_id, '-')[1] % 2 = 0"), rounds, active, d.NOW)
+    refresh.refresh(docs, rounds, active, d.NOW)
+    zero, none = F.lit(0).cast("long"), F.lit("")
+    rows = lambda name, id_, source, text, a, b, ok: rounds.read(name).select(F.lit({"entries": "entry", "runs": "run", "cursors": "cursor"}.get(name, name)).alias("kind"), id_.cast("long").alias("id"), source.alias("source_id"), text.alias("text"), a.cast("long").alias("a"), b.cast("long").alias("b"), ok.alias("ok"))
+    c = F.col
+    whole = rows("entries", c("id"), c("source_id"), c("guid"), zero, zero, F.lit(True))
+    whole = whole.unionByName(rows("log", c("id"), c("source_id"), none, c("inserted"), c("skipped"), c("success")))
+    whole = whole.unionByName(rows("runs", c("batch"), c("sources"), F.concat_ws(" ", "errors", "unchanged"), c("inserted"), c("skipped"), F.lit(True)))
+    whole = whole.unionByName(rows("health", zero, c("source_id"), none, c("fail_count"), zero, c("last_error") == ""))
+    return whole.unionByName(rows("cursors", zero, c("source_id"), F.get_json_object("cursor", "$.etag"), zero, zero, F.lit(True)))
+
+
 def _colliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items whose guids, urls and contents meet in chains."""
     i = d.items(spark, sf_dir)
@@ -410,8 +462,7 @@ def read_later_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.read_later(d.entries(spark, sf_dir), d.state(spark, sf_dir)).select("id", "marked_at")
 
 
-@query(
-    with_sql(
+_FOLDED = with_sql(
         "entries state state_events",
         """, ok AS (SELECT e.* FROM state_events e JOIN entries n ON n.id = e.entry_id AND NOT n.deleted),
     old AS (UNPIVOT (SELECT entry_id, read, favorite, archive, read_later FROM state) ON read, favorite, archive, read_later INTO NAME flag VALUE old),
@@ -421,11 +472,33 @@ def read_later_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT coalesce(s.entry_id, l.entry_id) AS entry_id, coalesce(r, read, false) AS read, coalesce(f, favorite, false) AS favorite, coalesce(a, archive, false) AS archive, coalesce(l.l, read_later, false) AS read_later, coalesce(changed_at, updated_at) AS updated_at
     FROM state s FULL JOIN l ON l.entry_id = s.entry_id""",
     )
-)
+
+
+@query(_FOLDED)
 def folded_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.apply_state_events(d.state(spark, sf_dir), d.state_events(spark, sf_dir), d.entries(spark, sf_dir))
 
 
+@query(_FOLDED)
+def streamed_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as keyed state of a stream over the events' file, beginning with the
+    flags that are there."""
+    base = f"{tables.shared_dir(spark)}/flags-{spark.sql('SELECT uuid()').first()[0]}"
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
+    entries, before = d.entries(spark, sf_dir), d.state(spark, sf_dir)
+    valid = state.valid_events(d.flag_events(events), entries)
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        changes = streams.keyed_state(valid, before, timedelta(days=3650)).writeStream.outputMode("update").foreachBatch(lambda batch, number: batch.withColumn("batch", F.lit(number).cast("long")).write.parquet(f"{base}/out/{number}"))
+        changes.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, old)
+    changed = spark.read.schema(f"{STATE}, batch long").option("recursiveFileLookup", "true").parquet(f"{base}/out").groupBy("entry_id").agg(F.max_by(F.struct(*FLAGS, "updated_at"), "batch").alias("l")).select("entry_id", "l.*")
+    return tables.merge_snapshot(before, changed, "entry_id")
+
+
 @query(with_sql("entries state", "SELECT entry_id, read, favorite, archive, read_later FROM state UNION ALL SELECT id, false, false, false, true FROM entries WHERE id % 2 = 1 AND id NOT IN (SELECT entry_id FROM state)"))
 def migrated_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = d.entries(spark, sf_dir).select("id", (F.col("id") % 2).cast("int").alias("read_later"), "updated_at")
@@ -687,7 +760,8 @@ def streamed_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern may name a file or a folder
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.parquet(f"{base}/out/{number}")
+        batch.withColumn("batch", F.lit(number).cast("long")).write.parquet(f"{base}/out/{number}")
 
     streams.run_progress(_progress(events)).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{base}/out/0")
+    every = spark.read.option("recursiveFileLookup", "true").parquet(f"{base}/out")
+    return every.where(F.col("batch") == every.agg(F.max("batch")).first()[0]).drop("batch")

@@ -47,7 +47,10 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def state_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    return flag_events(table(spark, sf_dir, "events"))
+
+
+def flag_events(e: DataFrame) -> DataFrame:
     flag = F.element_at(F.create_map(*(F.lit(x) for p in (("view", "read"), ("click", "favorite"), ("purchase", "archive"), ("signup", "read_later")) for x in p)), F.col("event_type"))
     return e.select(F.col("event_id").alias("seq"), "ts", F.col("user_id").alias("entry_id"), flag.alias("flag"), (F.col("event_id") % 3 != 0).alias("value")).where("flag IS NOT NULL")
 

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from datetime import timedelta
+from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from millrace.operators.ingest import ingest
 from millrace.operators.refresh import refresh
 from millrace.operators.state import apply_state_events
 from millrace.operators.store import Store
+from millrace.schemas import FLAGS, STATE
 
 
 def stream_refresh(raw_docs: DataFrame, checkpoint: str, store: Store, sources: Callable[[], DataFrame], now: Callable[[], object], stream: str = "refresh", **trigger) -> StreamingQuery:
@@ -56,6 +60,99 @@ def stream_state(
     return events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def keyed_state(events: DataFrame, before: DataFrame | None = None, late: timedelta = timedelta(days=7)) -> DataFrame:
+    """Rows of the state table (schemas.STATE) that a stream of flag events changes,
+    kept as keyed state; for update mode, a row for each entry that a batch changes.
+
+    Over all batches the rows are those of :func:`.operators.state.apply_state_events`
+    over all events at once, in the order (ts, seq), repeated and late ones included:
+    a flag holds its events of the last ``late`` before its newest one, and what they
+    started from.  Events later than that are left out, so the state of an entry is
+    bounded by the events of that time.  ``before`` is the state to start from, read
+    once.  Events without time or value or with an unknown flag are left out; those
+    on unknown entries should be filtered first (``valid_events``).  Needs the RocksDB
+    state store (spark.sql.streaming.stateStore.providerClass).
+    """
+    valid = events.where(F.col("flag").isin(*FLAGS) & F.col("value").isNotNull() & F.col("ts").isNotNull() & F.col("entry_id").isNotNull())
+    first = before.groupBy("entry_id") if before is not None else None
+    return valid.groupBy("entry_id").transformWithStateInPandas(FlagState(late), STATE, "Update", "None", initialState=first)
+
+
+class Flag(NamedTuple):
+    """What a flag was, and since when, before the newest event that was let go
+    (``cut``), and the events after it in order."""
+
+    value: bool = False
+    since: int | None = None
+    cut: int | None = None
+    events: tuple[tuple[int, int, bool], ...] = ()
+
+    def with_events(self, new: set[tuple[int, int, bool]], late: int) -> "Flag":
+        every = sorted(set(self.events) | {e for e in new if self.cut is None or e[0] > self.cut})
+        value, since, cut, k = self.value, self.since, self.cut, 0
+        while every[k:] and every[k][0] < every[-1][0] - late:
+            cut = every[k][0]
+            value, since = (every[k][2], cut) if every[k][2] != value else (value, since)
+            k += 1
+        return Flag(value, since, cut, tuple(every[k:]))
+
+    def now(self) -> tuple[bool, int | None]:
+        """Its value, and the time of its last change (None if it never changed)."""
+        value, since = self.value, self.since
+        for ts, _, v in self.events:
+            if v != value:
+                value, since = v, ts
+        return value, since
+
+
+class FlagState(StatefulProcessor):
+    """The flags of an entry as map state, and the time of the row it started from."""
+
+    def __init__(self, late: timedelta) -> None:
+        self.late = late // timedelta(microseconds=1)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.flags = handle.getMapState("flags", "flag string", "value boolean, since long, cut long, ts array<long>, seq array<long>, set array<boolean>")
+        self.first = handle.getValueState("first", "updated_at long")
+
+    def handleInitialState(self, key, rows: pd.DataFrame, timers) -> None:
+        row = rows.iloc[-1]
+        self.first.update((_micros(row["updated_at"]),))
+        for name in FLAGS:
+            self._put(name, Flag(bool(row[name])))
+
+    def _get(self, name: str) -> Flag:
+        if not self.flags.containsKey((name,)):
+            return Flag()
+        value, since, cut, *events = self.flags.getValue((name,))
+        return Flag(value, since, cut, tuple(zip(*events)))
+
+    def _put(self, name: str, flag: Flag) -> None:
+        self.flags.updateValue((name,), (flag.value, flag.since, flag.cut, *([e[k] for e in flag.events] for k in range(3))))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        new: dict[str, set] = {}
+        for part in rows:
+            for ts, seq, name, value in zip(part["ts"], part["seq"], part["flag"], part["value"]):
+                new.setdefault(name, set()).add((_micros(ts), int(seq), bool(value)))
+        before = {name: self._get(name) for name in FLAGS}
+        after = {name: flag.with_events(new[name], self.late) if name in new else flag for name, flag in before.items()}
+        for name in new:
+            self._put(name, after[name])
+        was, now = ([flag.now() for flag in flags.values()] for flags in (before, after))
+        if was == now:
+            return
+        at = max((since for _, since in now if since is not None), default=self.first.get()[0] if self.first.exists() else None)
+        yield pd.DataFrame({"entry_id": [key[0]], **{name: [value] for name, (value, _) in zip(FLAGS, now)}, "updated_at": pd.to_datetime([at], unit="us")})
+
+    def close(self) -> None:
+        pass
+
+
+def _micros(at) -> int | None:
+    return None if pd.isna(at) else int(pd.Timestamp(at).value // 1000)
+
+
 def run_progress(events: DataFrame) -> DataFrame:
     """Events by source and type: how many, and what they inserted and skipped;
     for streams in update or complete mode."""
