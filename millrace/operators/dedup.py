@@ -110,21 +110,36 @@ def dedup_first_wins(cands: DataFrame, order_cols: list[str], layers: tuple[str,
     Keys that all rows share cost no more than others: only counts and minima are
     taken over them, and a range rejects all but one by looking a key up.
     """
-    numbered = with_ids(cands.select(*order_cols, key_array(layers).alias("ks")), order_cols, 0, "n")
+    own = written(cands.select(*order_cols, key_array(layers).alias("ks")), "candidates")
+    verdict = _first_of_each(own, order_cols) if len(layers) == 1 else _judged(own, order_cols)
+    same = [F.col(f"c.{c}").eqNullSafe(F.col(f"v.{c}")) for c in order_cols]
+    return cands.alias("c").join(verdict.alias("v"), same).select("c.*", "v.accepted", "v.reason", "v.winner")
+
+
+def _first_of_each(own: DataFrame, order_cols: list[str]) -> DataFrame:
+    """The order columns, accepted, reason and winner of rows with one key at most."""
+    at, key = F.struct(*order_cols), F.col("ks")[0]
+    owners = own.where(F.size("ks") > 0).groupBy(key["key"].alias("key")).agg(F.min(at).alias("first"))
+    joined = own.join(owners, key["key"] == F.col("key"), "left")
+    lost, none = F.col("first") < at, F.col("first").isNull()
+    reason = F.when(none, F.lit("no_identity")).when(lost, layer_name(key["layer"]))
+    return joined.select(*order_cols, (~none & ~lost).alias("accepted"), reason.alias("reason"), F.when(lost, F.col("first")).alias("winner"))
+
+
+def _judged(own: DataFrame, order_cols: list[str]) -> DataFrame:
+    """The same of rows with several keys."""
+    numbered = with_ids(own, order_cols, 0, "n")
     keys = numbered.select("n", F.explode("ks").alias("x")).select("n", "x.layer", "x.key")
     owners = keys.groupBy("layer", "key").agg(F.count("*").alias("uses"), F.min("n").alias("first")).where("uses > 1")
-    shared = written(keys.join(owners, ["layer", "key"]).select("n", "layer", (F.col("first") * len(LAYERS) + F.col("layer")).alias("k"), (F.col("n") == F.col("first")).alias("is_first")), "shared-keys")
-    items = shared.groupBy("n").agg(F.collect_list("k").alias("ks"), F.min("is_first").alias("is_first"))  # a key a layer
-    accepted = items.where("is_first").select("n") if len(layers) == 1 else _rounds(items.select("n", "ks"))
-    accepted = accepted.withColumn("taken", F.lit(True))
+    shared = written(keys.join(owners, ["layer", "key"]).select("n", "layer", (F.col("first") * len(LAYERS) + F.col("layer")).alias("k")), "shared-keys")
+    items = shared.groupBy("n").agg(F.collect_list("k").alias("ks"))  # a key a layer
+    accepted = _rounds(items).withColumn("taken", F.lit(True))
     held = shared.join(accepted, "n").select("k", F.col("n").alias("winner"))
     why = shared.join(accepted, "n", "left_anti").join(held, "k").where("winner < n").groupBy("n").agg(F.min(F.struct("layer", "winner")).alias("why"))
     state = items.select("n", F.lit(True).alias("met")).join(accepted, "n", "left").join(why, "n", "left")
     names = numbered.select(F.col("n").alias("winner_n"), F.struct(*order_cols).alias("winner"))
     none = F.size("ks") == 0
-    verdict = numbered.join(state, "n", "left").join(names, F.col("why.winner") == F.col("winner_n"), "left").select(
+    return numbered.join(state, "n", "left").join(names, F.col("why.winner") == F.col("winner_n"), "left").select(
         *order_cols, (~none & (F.col("met").isNull() | F.coalesce("taken", F.lit(False)))).alias("accepted"),
         F.when(none, F.lit("no_identity")).otherwise(layer_name(F.col("why.layer"))).alias("reason"), "winner",
     )
-    same = [F.col(f"c.{c}").eqNullSafe(F.col(f"v.{c}")) for c in order_cols]
-    return cands.alias("c").join(verdict.alias("v"), same).select("c.*", "v.accepted", "v.reason", "v.winner")

@@ -205,6 +205,17 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.parse_page_list(_raw_pages(spark, sf_dir), "nav ul li a").select("doc_id", "pos", "url", "title")
 
 
+_LINKS_SQL = "SELECT page_id, list_transform(regexp_extract_all(regexp_extract(html, '<nav>.*?</nav>'), '<a href=\"/[^\"]*\">[^<]*</a>'), lambda a: 'https://example.com' || regexp_extract(a, 'href=\"([^\"]*)\"', 1)) AS l FROM pages"
+
+
+@query(f"SELECT page_id::VARCHAR AS doc_id, (i - 1)::INT AS pos, url FROM (SELECT page_id, unnest(l) AS url, generate_subscripts(l, 1) AS i, CASE WHEN page_id % 2 = 0 THEN list_position(l, l[3]) END AS stop FROM ({_LINKS_SQL})) WHERE stop IS NULL OR i < stop")
+def pages_before_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of pages, of every second one up to its third link, which is its cursor."""
+    raw = _raw_pages(spark, sf_dir).withColumn("config", F.lit('{"selector": "nav ul li a"}'))
+    third = pages.parse_page_list(raw, "nav ul li a").where("pos = 2 AND doc_id % 2 = 0").select("doc_id", F.to_json(F.struct(F.col("url").alias("newest_url"))).alias("cursor"))
+    return pages.items_of(pages.read_pages(raw.join(third, "doc_id", "left"))).select("doc_id", "pos", "url")
+
+
 @query(r"SELECT page_id::VARCHAR AS doc_id, trim(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS title FROM pages")
 def page_title_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.page_titles(_raw_pages(spark, sf_dir)).select("doc_id", "title")
@@ -316,7 +327,7 @@ _ROUNDS_SQL = with_sql(
     "items",
     f""", own AS (SELECT source_id, source_id || '-' || pos // 80 AS doc_id, pos // 80 AS number, pos, guid, {_CLEAN('title')} AS title, {_CLEAN('content')} AS content FROM items),
     docs AS (SELECT DISTINCT source_id, doc_id, number % 5 = 4 AS bad, CASE WHEN number % 2 = 0 THEN 1 ELSE 2 END AS round FROM own),
-    ranked AS (SELECT own.*, d.round, row_number() OVER (PARTITION BY CASE WHEN {norm_sql("title")} || {norm_sql("content")} = '' THEN guid ELSE {_H} END ORDER BY d.round, own.source_id, own.doc_id, pos) AS rn FROM own JOIN docs d USING (doc_id) WHERE NOT bad),
+    ranked AS (SELECT own.*, d.round, row_number() OVER (PARTITION BY CASE WHEN {norm_sql("title")} || {norm_sql("content")} = '' THEN guid ELSE {_H} END, number % 3 <> 2 AND regexp_matches(content, '[<>&"'']') ORDER BY d.round, own.source_id, own.doc_id, pos) AS rn FROM own JOIN docs d USING (doc_id) WHERE NOT bad),
     new AS (SELECT *, row_number() OVER (ORDER BY round, source_id, doc_id, pos) AS id FROM ranked WHERE rn = 1),
     n AS (SELECT doc_id, count(*) FILTER (rn = 1) AS inserted, count(*) FILTER (rn > 1) AS skipped FROM ranked GROUP BY doc_id),
     runs AS (SELECT 1 AS r, * FROM docs WHERE round = 1 UNION ALL SELECT 2, * FROM docs),
