@@ -104,12 +104,15 @@ def without_copies(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """docs after :func:`dedup_lines` without the rows of which nothing was left; a
     column n_chars is set anew where lines went.  Null and empty texts stay, as do
     all columns and the order of them."""
-    cut = dedup_lines(docs.withColumnRenamed("n_dropped", "_n_dropped"), min_words)
+    held = "n_dropped"
+    while held in docs.columns:
+        held = f"_{held}"  # a name that docs doesn't have
+    cut = dedup_lines(docs.withColumnRenamed("n_dropped", held), min_words)
     kept = cut.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^ \t-\r]"))
     if "n_chars" in docs.columns:
         length = F.length("text").cast(docs.schema["n_chars"].dataType)
         kept = kept.withColumn("n_chars", F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(length))
-    return kept.select(*(F.col("`_n_dropped`").alias(c) if c == "n_dropped" else F.col(f"`{c}`") for c in docs.columns))
+    return kept.select(*(F.col(f"`{held}`").alias(c) if c == "n_dropped" else F.col(f"`{c}`") for c in docs.columns))
 
 
 _SQL_TRIM = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"

@@ -73,3 +73,5 @@ def test_nulls_repeats_empty_and_long(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0
     odd = line_dedup.without_copies(df.select("doc_id", "text", F.lit(7).alias("n_dropped"), F.lit("z").alias("a.b")))
     assert odd.columns == ["doc_id", "text", "n_dropped", "a.b"] and {r.n_dropped for r in odd.collect()} == {7}
+    both = line_dedup.without_copies(df.select("doc_id", "text", F.lit(7).alias("n_dropped"), F.lit(8).alias("_n_dropped")))
+    assert both.columns == ["doc_id", "text", "n_dropped", "_n_dropped"] and {(r.n_dropped, r._n_dropped) for r in both.collect()} == {(7, 8)}
