@@ -29,7 +29,9 @@ MARK = "▁"
 BROADCAST_PAIRS = 1_000_000
 #: A packed pair is a's id times this, plus b's id.
 SHIFT = 1 << 20
-_SLICE = 1 << 20
+_SLICE = 1 << 19
+#: Words whose pieces a process holds.
+MOST_WORDS = 200_000
 
 _pieces: dict[str, "PieceEncoder"] = {}
 
@@ -68,7 +70,7 @@ class PieceEncoder:
         names = [self.library.id_to_piece(i) for i in range(n)]
         self.bytes = [bytes([int(names[i][3:5], 16)]) if self.library.is_byte(i) else names[i].replace(MARK, " ").encode() for i in range(n)]
         self.uncut = "" if any(MARK in name.lstrip(MARK) for name in names) else f"^ |  | $|{MARK}|^$"
-        self.words = PieceCache(lambda words: self._each(words.to_pylist()))
+        self.words = PieceCache(lambda words: self._each(words.to_pylist()), MOST_WORDS)
 
     def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         lists = self.library.encode(texts, num_threads=1) if texts else []
@@ -144,6 +146,7 @@ def _align(a_path: str, b_path: str, links: str):
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), 0
         a_coder, b_coder = Encoder.of(a_path), PieceEncoder.of(b_path)
+        a_coder.first.most = a_coder.later.most = MOST_WORDS  # two vocabularies share the memory
         a_bytes, b_bytes = Lookup(byte_level_bytes(a_coder)), Lookup(b_coder.bytes)
         numbers = Lookup([b"%d," % i for i in range(max(len(a_bytes.lens), len(b_bytes.lens)))])
         for batch in batches:
