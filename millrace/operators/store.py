@@ -19,15 +19,20 @@ from pyspark.sql import functions as F
 from .tables import written
 
 _COMMIT = "version long, batches map<string,long>, parts array<struct<name: string, bucket: int, path: string>>"
+#: Bytes of a row group of sorted buckets: what a reader skips or reads.
+_SORTED_ROW_GROUP = 8 << 20
 
 
 class Table(NamedTuple):
     """A table that is only appended to, or, with a key, one of a row a key, laid out
-    by ``buckets`` hashes of the key so that an upsert rewrites what it touches."""
+    by ``buckets`` hashes of the key so that an upsert rewrites what it touches.  With
+    ``order`` a bucket's rows are sorted over its files, so that readers skip row
+    groups and pages by their bounds; such a table may hold many rows a key."""
 
     schema: str
     key: tuple[str, ...] = ()
     buckets: int = 64
+    order: tuple[str, ...] = ()
 
 
 class Part(NamedTuple):
@@ -114,7 +119,13 @@ class Change:
 
     def _write_buckets(self, name: str, path: str, rows: DataFrame) -> list[Part]:
         t = self.store.tables[name]
-        rows.withColumn("_bucket", self.store.bucket(name)).hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(path)
+        rows = rows.withColumn("_bucket", self.store.bucket(name))
+        if t.order:
+            sort = ["_bucket", *t.order]
+            rows = rows.repartitionByRange(*sort).sortWithinPartitions(*sort)
+            rows.write.partitionBy("_bucket").option("parquet.block.size", _SORTED_ROW_GROUP).option("parquet.writer.version", "v2").parquet(path)
+        else:
+            rows.hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(path)
         full = self.store.spark.read.schema(f"{t.schema}, _bucket int").parquet(path).select("_bucket").distinct()
         return [Part(name, b, f"{path}/_bucket={b}") for b in sorted(r[0] for r in full.collect())]  # at most t.buckets
 
@@ -152,13 +163,19 @@ class Change:
         if not many:
             return
         own = [p for p in self.parts if p.name == name and p.bucket in many]
-        rows, path = merge(self.store._rows(name, own)), self._path(name)
-        self.parts = [p for p in self.parts if p not in own]
+        self.replace(own, merge(self.store._rows(name, own)))
+
+    def replace(self, parts: list[Part], rows: DataFrame) -> list[Part]:
+        """Puts rows in place of some parts of one table; gives back the new parts."""
+        name = parts[0].name
+        path, gone = self._path(name), set(parts)
         if self.store.tables[name].key:
-            self.parts += self._write_buckets(name, path, rows)
+            new = self._write_buckets(name, path, rows)
         else:
             rows.hint("rebalance").write.parquet(path)
-            self.parts.append(Part(name, None, path))
+            new = [Part(name, None, path)]
+        self.parts = [p for p in self.parts if p not in gone] + new
+        return new
 
     def commit(self, stream: str | None = None, batch: int = 0) -> int:
         """Writes the ledger's next row, in one file, and with it the new version."""

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions import html, text, times
-from millrace.operators import dedup, export, health, ingest, known, listing, refresh, search, state, store, tables
+from millrace.operators import dedup, export, health, ingest, known, listing, refresh, search, segments, state, store, tables
 from millrace.schemas import FLAGS, STATE
 from millrace.sources import feeds, pages, personal
 from millrace.streaming import streams
@@ -593,6 +593,39 @@ def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search_batch(queries, search.build_search_index(e))
 
 
+def _segmented(spark: SparkSession, changes: list[DataFrame]) -> store.Store:
+    """A new search index that has taken changes in one after the other."""
+    index = segments.open_index(spark, f"{tables.shared_dir(spark)}/segments-{spark.sql('SELECT uuid()').first()[0]}")
+    for changed in changes:
+        segments.add_segment(index, changed)
+    return index
+
+
+_EDITED = "CASE WHEN id % 3 = 0 THEN title ELSE content END"
+
+
+@query(
+    with_sql(
+        "entries",
+        f""", t AS (SELECT id, {_T('title')} || {_T('summary')} || {_T(_EDITED)} AS w FROM entries WHERE NOT deleted AND id % 12 <> 0),
+    q AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{w.split()[0]}', '{w.split()[-1]}')" for i, w in enumerate(_WORDS))}) AS v(query_id, x, y)),
+    f AS (SELECT id, {_T('title')} AS w FROM entries WHERE NOT deleted),
+    asked AS (SELECT query_id::BIGINT AS query_id, lower(strip_accents(x)) AS x, lower(strip_accents(y)) AS y FROM q UNION ALL SELECT 1000 + id, w[1], w[2] FROM f WHERE id % 50 = 1 AND len(w) >= 2)
+    SELECT query_id, id AS entry_id FROM asked JOIN t ON list_contains(w, x) AND list_contains(w, y)""",
+    )
+)
+def segment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of three segments: all entries, then a third of them edited, then some
+    of these deleted; frequent words, and two words of every fiftieth entry's title."""
+    e = d.entries(spark, sf_dir)
+    third = e.where("id % 3 = 0").withColumn("content", F.col("title"))
+    index = _segmented(spark, [e, third, third.where("id % 4 = 0").withColumn("deleted", F.lit(True))])
+    words = F.slice(text.index_tokens("title"), 1, 2)
+    titles = e.where("NOT deleted AND id % 50 = 1").where(F.size(words) == 2).select((F.col("id") + 1000).alias("query_id"), F.array_join(words, " ").alias("q"))
+    queries = spark.createDataFrame([(i, w) for i, w in enumerate(_WORDS)], "query_id long, q string")
+    return segments.search_segments(queries.unionByName(titles), index)
+
+
 # -- health ---------------------------------------------------------------------------
 
 
