@@ -1,12 +1,11 @@
 """A search index of immutable segments, and search by the rarest token.
 
-A segment holds the postings of the entries of one change, in blocks: up to ``BLOCK``
-postings of a token in the order of their entries, as offsets from the block's first
-entry (Parquet's delta encoding packs them and the positions).  Blocks lie in buckets
-by token, sorted by token and entry, and never cross a chunk of ``2 ** CHUNK_BITS``
-entry ids, so a frequent token is no single group, neither when it is built nor when
-it is read.  Entries that a change holds, deleted ones too, are dead in all segments
-before it.
+A segment holds the postings of the entries of one change, in blocks: those of a token
+in ``2 ** CHUNK_BITS`` entry ids, as offsets in them (Parquet's delta encoding packs
+these and the positions).  Blocks lie in buckets by token, sorted by token and chunk.
+A frequent token is no single group, neither when it is built nor when it is read, and
+an entry finds its block of a token by one equality.  Entries that a change holds,
+deleted ones too, are dead in all segments before it.
 """
 
 from __future__ import annotations
@@ -22,7 +21,7 @@ from .search import BUCKETS, COLUMNS, column_tokens
 from .store import Change, Part, Store, Table
 from .tables import written
 
-BLOCK, CHUNK_BITS = 128, 13
+CHUNK_BITS = 7
 #: Segments beyond which the newest ones are merged.
 MOST_SEGMENTS = 8
 #: Chunks that a reader names to the scan; where candidates fall into more, blocks are
@@ -30,7 +29,7 @@ MOST_SEGMENTS = 8
 LISTED_CHUNKS = 1000
 _PLACES = "array<struct<id: int, col: int, pos: array<int>>>"
 TABLES = {
-    "blocks": Table(f"seg long, token string, chunk long, first long, last long, n int, places {_PLACES}", ("token",), BUCKETS, ("token", "chunk", "first")),
+    "blocks": Table(f"seg long, token string, chunk long, n int, places {_PLACES}", ("token",), BUCKETS, ("token", "chunk")),
     "dead": Table("entry_id long, seg long"),
     "segments": Table("seg long, postings long, path string"),
 }
@@ -52,16 +51,15 @@ def _chunk(entry_id: str) -> Column:
     return F.shiftright(F.col(entry_id), CHUNK_BITS)
 
 
+def _entry(offset: Column) -> Column:
+    return F.shiftleft("chunk", CHUNK_BITS) + offset
+
+
 def _blocks(postings: DataFrame, seg: int) -> DataFrame:
     """Blocks of postings (token, chunk, entry_id, col, pos), gathered by token and chunk."""
-    lists = postings.groupBy("token", "chunk").agg(F.sort_array(F.collect_list(F.struct("entry_id", "col", "pos"))).alias("all"))
-    starts = F.sequence(F.lit(1), F.size("all"), F.lit(BLOCK))
-    cut = lists.select("token", "chunk", F.explode(F.transform(starts, lambda i: F.slice("all", i, F.lit(BLOCK)))).alias("b"))
-    first = F.element_at("b", 1)["entry_id"]
-    return cut.select(
-        F.lit(seg).cast("long").alias("seg"), "token", "chunk", first.alias("first"), F.element_at("b", -1)["entry_id"].alias("last"), F.size("b").alias("n"),
-        F.transform("b", lambda x: F.struct((x["entry_id"] - first).cast("int").alias("id"), x["col"].alias("col"), x["pos"].alias("pos"))).alias("places"),
-    )
+    place = F.struct((F.col("entry_id") - _entry(F.lit(0))).cast("int").alias("id"), "col", "pos")
+    lists = postings.groupBy("token", "chunk").agg(F.sort_array(F.collect_list(place)).alias("places"))
+    return lists.select(F.lit(seg).cast("long").alias("seg"), "token", "chunk", F.size("places").alias("n"), "places")
 
 
 def segment_blocks(entries: DataFrame, seg: int) -> DataFrame:
@@ -124,8 +122,8 @@ def _merged(store: Store, change: Change, listed: list[Segment]) -> list[Segment
     folders = {s.path for s in listed[at:]}
     parts = [p for p in change.parts if p.name == "blocks" and _folder([p]) in folders]
     seg = listed[-1].seg
-    each = store._rows("blocks", parts).select("seg", "token", "chunk", "first", F.explode("places").alias("p"))
-    each = each.select("seg", "token", "chunk", (F.col("first") + F.col("p.id")).alias("entry_id"), "p.col", "p.pos")
+    each = store._rows("blocks", parts).select("seg", "token", "chunk", F.explode("places").alias("p"))
+    each = each.select("seg", "token", "chunk", _entry(F.col("p.id")).alias("entry_id"), "p.col", "p.pos")
     dead = store._rows("dead", [p for p in change.parts if p.name == "dead"])
     new = change.replace(parts, _blocks(_alive(each, dead).drop("seg"), seg))
     postings = store._rows("blocks", new).agg(F.sum("n")).first()[0] if new else 0
@@ -153,7 +151,7 @@ def search_segments(queries: DataFrame, store: Store, version: int | None = None
     in the index as it is, or was at a version.
 
     The rarest token of a query gives its candidates; the query's other tokens are
-    read only in buckets, chunks and blocks that a candidate falls into.  What is
+    read only in buckets and chunks that a candidate falls into.  What is
     joined so grows with the postings of rarest tokens, not with those of "the".
     """
     asked = written(_phrase_tokens(queries), "asked")
@@ -165,16 +163,16 @@ def search_segments(queries: DataFrame, store: Store, version: int | None = None
     )
     # a token that no entry has ends its query here
     rarest = written(rated.where("least.postings > 0").select("query_id", "one_word", "least.token"), "rarest")
-    found = blocks.join(rarest, "token").select("query_id", "one_word", "seg", "chunk", "first", F.explode("places").alias("p"))
-    found = found.select("query_id", "one_word", "seg", "chunk", (F.col("first") + F.col("p.id")).alias("entry_id")).distinct()
+    found = blocks.join(rarest, "token").select("query_id", "one_word", "seg", "chunk", F.explode("places.id").alias("offset"))
+    found = found.select("query_id", "one_word", "seg", "chunk", _entry(F.col("offset")).alias("entry_id")).distinct()
     candidates = written(_alive(found, store.read("dead", version)), "candidates")
     alone = candidates.where("one_word")
     others = candidates.where("NOT one_word").drop("one_word")
     chunks = [r[0] for r in others.select("chunk").distinct().limit(LISTED_CHUNKS + 1).collect()]
     near = blocks.where(F.col("chunk").isin(chunks)) if len(chunks) <= LISTED_CHUNKS else blocks
     wanted = asked.join(others, "query_id")
-    met = wanted.join(near, ["token", "seg", "chunk"]).where("entry_id BETWEEN first AND last")
-    offset = (F.col("entry_id") - F.col("first")).cast("int")
+    met = wanted.join(near, ["token", "seg", "chunk"])
+    offset = (F.col("entry_id") - _entry(F.lit(0))).cast("int")
     met = met.select("query_id", "n_terms", "term", "n_tokens", "nth", "entry_id", F.filter("places", lambda p: p["id"] == offset).alias("p")).where(F.size("p") > 0)
     words = met.where("n_tokens = 1").select("query_id", "n_terms", "term", "entry_id")
     places = met.where("n_tokens > 1").select("query_id", "n_terms", "term", "n_tokens", "nth", "entry_id", F.explode("p").alias("p"))

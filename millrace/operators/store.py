@@ -26,7 +26,7 @@ _SORTED_ROW_GROUP = 8 << 20
 class Table(NamedTuple):
     """A table that is only appended to, or, with a key, one of a row a key, laid out
     by ``buckets`` hashes of the key so that an upsert rewrites what it touches.  With
-    ``order`` a bucket's rows are sorted over its files, so that readers skip row
+    ``order`` the rows of a bucket's files are sorted, so that readers skip row
     groups and pages by their bounds; such a table may hold many rows a key."""
 
     schema: str
@@ -119,13 +119,12 @@ class Change:
 
     def _write_buckets(self, name: str, path: str, rows: DataFrame) -> list[Part]:
         t = self.store.tables[name]
-        rows = rows.withColumn("_bucket", self.store.bucket(name))
+        rows = rows.withColumn("_bucket", self.store.bucket(name)).hint("rebalance", "_bucket")
         if t.order:
-            sort = ["_bucket", *t.order]
-            rows = rows.repartitionByRange(*sort).sortWithinPartitions(*sort)
+            rows = rows.sortWithinPartitions("_bucket", *t.order)
             rows.write.partitionBy("_bucket").option("parquet.block.size", _SORTED_ROW_GROUP).option("parquet.writer.version", "v2").parquet(path)
         else:
-            rows.hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(path)
+            rows.write.partitionBy("_bucket").parquet(path)
         full = self.store.spark.read.schema(f"{t.schema}, _bucket int").parquet(path).select("_bucket").distinct()
         return [Part(name, b, f"{path}/_bucket={b}") for b in sorted(r[0] for r in full.collect())]  # at most t.buckets
 

@@ -595,7 +595,7 @@ def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _segmented(spark: SparkSession, changes: list[DataFrame]) -> store.Store:
     """A new search index that has taken changes in one after the other."""
-    index = segments.open_index(spark, f"{tables.shared_dir(spark)}/segments-{spark.sql('SELECT uuid()').first()[0]}")
+    index = segments.open_index(spark, f"{tables.shared_dir(spark)}/segments-{spark.sql('SELECT uuid()').first()[0]}", buckets=16)
     for changed in changes:
         segments.add_segment(index, changed)
     return index

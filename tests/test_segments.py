@@ -45,14 +45,13 @@ def search_rows(terms, index, version=None):
 
 def postings(df):
     """Every (token, entry, column, position) of blocks."""
-    each = df.select("token", "first", F.explode("places").alias("p"))
-    return sorted(tuple(r) for r in each.select("token", F.col("first") + F.col("p.id"), "p.col", F.explode("p.pos")).collect())
+    each = df.select("token", "chunk", F.explode("places").alias("p"))
+    return sorted(tuple(r) for r in each.select("token", F.col("chunk") * 128 + F.col("p.id"), "p.col", F.explode("p.pos")).collect())
 
 
 def test_segments_agree_with_fts5_after_changes_and_merges(spark, index, monkeypatch):
     monkeypatch.setattr(segments, "MOST_SEGMENTS", 2)
-    monkeypatch.setattr(segments, "BLOCK", 3)
-    monkeypatch.setattr(segments, "CHUNK_BITS", 4)
+    monkeypatch.setattr(segments, "CHUNK_BITS", 2)
     rng = random.Random(11)
     asked = [" ".join(rng.choices(WORDS + ["oak-elm", "山路很滑", "elm oak", "oak-oak", "nowhere"], k=rng.choice([1, 1, 2, 3]))) for _ in range(20)]
     terms = spark.createDataFrame(list(enumerate(asked)), "query_id long, q string")
@@ -105,16 +104,14 @@ def test_empty_and_repeated_changes(spark, index):
     assert search_rows(terms.limit(0), index) == []
 
 
-def test_a_rare_word_keeps_frequent_postings_unread(spark, index, monkeypatch):
-    monkeypatch.setattr(segments, "BLOCK", 8)
-    monkeypatch.setattr(segments, "CHUNK_BITS", 5)
+def test_a_rare_word_keeps_frequent_postings_unread(spark, index):
     e = entries(spark, [{"id": 0, "title": "seed"}]).crossJoin(spark.range(4000).withColumnRenamed("id", "k"))
     e = e.withColumns({"id": F.col("k"), "title": F.when(F.col("k") == 1234, F.lit("the zebra")).otherwise(F.lit("the"))}).drop("k")
     segments.add_segment(index, e)
     blocks = index.read("blocks").where("token = 'the'")
-    assert blocks.count() == 500
+    assert blocks.count() == 32
     terms = spark.createDataFrame([(1, "the zebra")], "query_id long, q string")
     hits = segments.search_segments(terms, index)
     assert [tuple(r) for r in hits.collect()] == [(1, 1234)]
     plan = hits._jdf.queryExecution().optimizedPlan().toString()
-    assert "chunk#" in plan and "= 38)" in plan  # 1234 >> 5: the scan is told the one chunk
+    assert "chunk#" in plan and "= 9)" in plan  # 1234 >> 7: the scan is told the one chunk
