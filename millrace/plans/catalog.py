@@ -88,15 +88,25 @@ def feed_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HAN = "translate(text, 'aeoun', '苹果香蕉发')"
 
 
-@query(
+_BIGRAMS = (
     rf"""SELECT doc_id, array_to_string(list_transform(runs, lambda r, i: CASE WHEN NOT regexp_matches(r, '^\p{{Han}}') THEN r ELSE CASE WHEN i = 1 THEN '' ELSE ' ' END ||
         CASE WHEN length(r) = 1 THEN r ELSE array_to_string(list_transform(range(1, length(r)), lambda k: substr(r, k, 2)), ' ') END END), '') AS bigrams
     FROM (SELECT doc_id, regexp_extract_all(coalesce({_HAN}, ''), '(\p{{Han}}+|\P{{Han}}+)') AS runs FROM documents)"""
 )
+
+
+@query(_BIGRAMS)
 def bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.bigram_tokenize(F.translate("text", "aeoun", "苹果香蕉发")).alias("bigrams"))
 
 
+@query(_BIGRAMS)
+def bigrams_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registered function in a SQL statement."""
+    text.register(spark)
+    return spark.sql(f"SELECT doc_id, bigram({_HAN}) AS bigrams FROM {{documents}}", documents=table(spark, sf_dir, "documents"))
+
+
 _TOKENS = r"regexp_extract_all(lower(strip_accents({})), '[\p{{L}}\p{{N}}\p{{Co}}]+')"
 
 
@@ -294,6 +304,21 @@ def backfill_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.backfill(e, _details(spark, sf_dir), None, d.NOW)[1]
 
 
+@query(
+    with_sql(
+        "entries",
+        f"""SELECT id, CASE WHEN filled THEN p_type WHEN id % 2 = 0 THEN '' ELSE summary END AS summary, CASE WHEN filled THEN p_size::VARCHAR END AS views, n_chars::VARCHAR AS chars,
+        CASE WHEN filled THEN TIMESTAMP '2024-07-01' ELSE TIMESTAMP '{d.NOW}' END AS updated_at
+    FROM (SELECT *, NOT deleted AND (id % 2 = 0 OR summary = '') AND coalesce(p_type, '') <> '' AS filled FROM entries LEFT JOIN (SELECT * FROM part WHERE p_partkey % 6 <> 0 AND p_size % 3 <> 0) ON p_partkey = id)""",
+    )
+)
+def backfilled_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All entries after a backfill, with those that it rewrote."""
+    e = d.entries(spark, sf_dir).withColumn("summary", F.when(F.col("id") % 2 == 0, F.lit("")).otherwise(F.col("summary")))
+    whole = personal.backfill(e, _details(spark, sf_dir), None, "2024-07-01 00:00:00")[0]
+    return whole.select("id", "summary", F.col("extra")["bili_view"].alias("views"), F.col("extra")["chars"].alias("chars"), "updated_at")
+
+
 # -- dedup and ingest -----------------------------------------------------------------
 
 
@@ -701,6 +726,17 @@ def logged_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return health.log_runs(log, log.withColumn("cancelled", F.col("id") % 5 == 0)).agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
 
 
+_RUN = "id, source_id, started_at, elapsed_ms, inserted, success, error"
+
+
+@query(with_sql("fetch_log", f"SELECT {_RUN} FROM fetch_log UNION ALL SELECT id + 1000000000, source_id, started_at, elapsed_ms + 1, inserted, success, error FROM fetch_log WHERE id % 5 <> 0"))
+def logged_run_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of a log after runs of which every fifth was cancelled."""
+    log = d.fetch_log(spark, sf_dir)
+    runs = log.withColumns({"cancelled": F.col("id") % 5 == 0, "id": F.col("id") + 1000000000, "elapsed_ms": F.col("elapsed_ms") + 1})
+    return health.log_runs(log, runs).selectExpr(*_RUN.split(", "))
+
+
 # -- exports --------------------------------------------------------------------------
 
 
