@@ -214,6 +214,43 @@ def test_pieces_equal_the_library(spark, pieces, library):
         assert pieces.decode(ids_of(pieces, [t])[0]) == t.replace("▁", " ")
 
 
+def plain_ids(text, scores, byte_ids, unknown):
+    """The best path over the whole text, by a dictionary of pieces."""
+    text = "▁" + text.replace(" ", "▁") if text else ""
+    longest = max(map(len, scores))
+    best, back = [0.0] + [-float("inf")] * len(text), [None] * (len(text) + 1)
+    for i in range(len(text)):
+        known = False
+        for j in range(i + 1, min(len(text), i + longest) + 1):
+            hit = scores.get(text[i:j])
+            known |= j == i + 1 and hit is not None
+            if hit is not None and best[i] + hit[1] > best[j]:
+                best[j], back[j] = best[i] + hit[1], (i, [hit[0]])
+        if not known and best[i] + unknown > best[i + 1]:
+            best[i + 1], back[i + 1] = best[i] + unknown, (i, [byte_ids[b] for b in text[i].encode()])
+    ids, at = [], len(text)
+    while at:
+        at, step = back[at]
+        ids = step + ids
+    return ids
+
+
+def test_ids_of_whole_documents_by_a_plain_search(spark, pieces):
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model = pb.ModelProto()
+    with open(queries.PIECES, "rb") as f:
+        model.ParseFromString(f.read())
+    scores = {x.piece: (i, x.score) for i, x in enumerate(model.pieces) if x.type in (1, 4)}
+    byte_ids = {int(x.piece[3:5], 16): i for i, x in enumerate(model.pieces) if x.type == 6}
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    got = {r.doc_id: r.ids for r in unigram.encode(docs, queries.PIECES).collect()}
+    assert got.keys() == texts.keys()
+    for i, t in texts.items():
+        assert got[i] == plain_ids(t.replace("▁", " "), scores, byte_ids, pieces.unknown)
+
+
 def test_double_array_finds_its_keys():
     keys = [(w.encode(), i) for i, w in enumerate(["a", "ab", "abc", "b", "é", "éa", "zzz", "\x00"])]
     trie = unigram.DoubleArray(keys)
