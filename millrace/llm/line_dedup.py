@@ -1,12 +1,17 @@
 """Line dedup by winnowing.
 
-A window is the shortest stretch of lines, forwards or backwards from any line,
-that holds at least ``min_words`` words; its fingerprint is the least line hash
-in it.  Any run of that many words which occurs twice has the same windows in
-both places and so the same fingerprints.  Windows whose fingerprint occurs at
-one position only are done with; the others meet by fingerprint and content, and
-each later one is a match.  Forward and backward windows overlap along a
-repeated run from its first line to its last, which extends matches both ways.
+The window of a line is the shortest stretch from it on that holds at least
+``min_words`` words.  The position of the least line hash of every window is
+selected, once for all windows that share it: consecutive windows mostly do.  Any
+run of that many words which occurs twice has the same window in both places, so
+the same position of it is selected in both.
+
+Selected positions meet by their hash; those whose hash is selected at no other
+position are done with.  From the rest, matches are extended both ways: to the left
+to every line whose window selected the position, from there to the right to every
+line at which a stretch of ``min_words`` words ends, or begins if read backwards.
+Equal stretches meet at their first, and the later ones go.  They overlap from line
+to line and end where a maximal run ends, so together they are that run.
 """
 
 from __future__ import annotations
@@ -29,22 +34,46 @@ def _lines(text: Column) -> Column:
     return F.filter(every, lambda x: x["w"] > 0)
 
 
-def _windows(lines: Column, min_words: int, seed: int) -> Column:
-    """(no, end, w, fp, at, h) of the window that begins at every line; a line
-    has a word at least, so ``min_words`` lines are enough to look at."""
-    least, most = F.lit((1 << 63) - 1), F.lit(min_words)
-    start = F.struct(F.lit(-1).alias("end"), F.lit(0).alias("w"), least.alias("fp"), F.lit(-1).alias("at"), F.lit(seed).cast("long").alias("h"))
+def _minima(lines: Column, min_words: int) -> Column:
+    """The number of the least hash's line (the first of equal ones) in the window of
+    every line that has one; a line has a word at least, so ``min_words`` lines are
+    enough to look at.  Lines without a window are the last ones."""
+    start = F.struct(F.lit(0).alias("w"), F.lit((1 << 63) - 1).alias("least"), F.lit(-1).alias("at"))
 
     def add(a: Column, y: Column) -> Column:
-        lower = y["h"] < a["fp"]
-        longer = F.struct(
-            y["no"].alias("end"), (a["w"] + y["w"]).alias("w"), F.least(a["fp"], y["h"]).alias("fp"),
-            F.when(lower, y["no"]).otherwise(a["at"]).alias("at"), F.xxhash64(a["h"], y["h"]).alias("h"),
-        )
-        return F.when(a["w"] >= most, a).otherwise(longer)
+        lower = (y["h"] < a["least"]) | (a["at"] < 0)
+        longer = F.struct((a["w"] + y["w"]).alias("w"), F.least(a["least"], y["h"]).alias("least"), F.when(lower, y["no"]).otherwise(a["at"]).alias("at"))
+        return F.when(a["w"] >= min_words, a).otherwise(longer)
+
+    found = F.transform(lines, lambda x, i: F.aggregate(F.slice(lines, i + 1, F.lit(min_words)), start, add))
+    return F.filter(found, lambda x: x["w"] >= min_words)
+
+
+def _selected(minima: Column) -> Column:
+    """(at, fp, a, b) of every selected position: windows a to b, counted from 0,
+    selected it.  Positions of minima never go back, so these are consecutive."""
+    last = F.size(minima) - 1
+    begins = F.filter(F.transform(minima, lambda x, i: F.when((i == 0) | (x["at"] != F.get(minima, i - 1)["at"]), i)), lambda i: i.isNotNull())
+    ends = F.filter(F.transform(minima, lambda x, i: F.when((i == last) | (x["at"] != F.get(minima, i + 1)["at"]), i)), lambda i: i.isNotNull())
+    return F.transform(
+        F.arrays_zip(begins.alias("a"), ends.alias("b")),
+        lambda z: F.struct(F.get(minima, z["a"])["at"].alias("at"), F.get(minima, z["a"])["least"].alias("fp"), z["a"].alias("a"), z["b"].alias("b")),
+    )
+
+
+def _stretches(lines: Column, i: Column, min_words: int) -> Column:
+    """(high, h) of the stretches from line i on that hold ``min_words`` words, but
+    don't without their last line or don't without their first: last line, hash."""
+    start = F.struct(F.lit(0).alias("w"), F.lit(0).alias("rest"), F.lit(42).cast("long").alias("h"), F.array().cast("array<struct<high:int,h:bigint>>").alias("out"))
+
+    def add(a: Column, y: Column) -> Column:
+        w, rest, h = a["w"] + y["w"], F.when(a["w"] == 0, 0).otherwise(a["rest"] + y["w"]), F.xxhash64(a["h"], y["h"])
+        ends = (w >= min_words) & ((a["w"] < min_words) | (rest < min_words))
+        out = F.when(ends, F.array_append(a["out"], F.struct(y["no"].alias("high"), h.alias("h")))).otherwise(a["out"])
+        return F.struct(w.alias("w"), rest.alias("rest"), h.alias("h"), out.alias("out"))
 
-    found = F.transform(lines, lambda x, i: F.struct(x["no"].alias("no"), F.aggregate(F.slice(lines, i + 1, most), start, add).alias("z")))
-    return F.filter(found, lambda x: x["z"]["w"] >= most)
+    # without its first line a stretch has fewer lines than words, so no more than min_words lines
+    return F.aggregate(F.slice(lines, i + 1, F.lit(min_words)), start, add, lambda a: a["out"])
 
 
 def repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
@@ -53,20 +82,26 @@ def repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
     overlaps its first copy, the first stays whole."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("k1"), F.xxhash64(text).alias("k2"), _lines(text).alias("lines"))
-    both = keyed.select("k1", "k2", F.explode(F.concat(_windows(F.col("lines"), min_words, 42), _windows(F.reverse("lines"), min_words, 43))).alias("x"))
-    windows = both.select(
-        "k1", "k2", F.least("x.no", "x.z.end").alias("low"), F.greatest("x.no", "x.z.end").alias("high"),
-        F.col("x.z.fp").alias("fp"), F.col("x.z.at").alias("at"), F.col("x.z.h").alias("h"),
-    )
-    windows = written(windows, "windows")
+    lines = written(keyed.where(F.aggregate("lines", F.lit(0), lambda a, x: a + x["w"]) >= min_words), "lines")
+    # the explode of one element holds the minima, which would be sought again for each position
+    seeds = lines.select("k1", "k2", F.explode(F.array(_minima(F.col("lines"), min_words))).alias("minima"))
+    seeds = written(seeds.select("k1", "k2", F.inline(_selected(F.col("minima")))), "positions")
     place = F.struct("k1", "k2", "at")
-    # tables of their own, so that a join with a frequent fingerprint can be split
-    met = written(windows.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("fp"), "met-prints")
-    met = written(windows.join(met, "fp"), "met")
+    # tables of their own, so that a join with a frequent hash can be split
+    met = written(seeds.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("fp"), "met-prints")
+    met = seeds.join(met, "fp").groupBy("k1", "k2").agg(F.collect_set(F.struct("fp", "a", "b")).alias("seeds"))
+    # one array a document; lines exploded beside it would be copied for each position
+
+    def grow(x: Column, i: Column) -> Column:
+        low = F.get("lines", i)["no"].alias("low")
+        return F.transform(_stretches(F.col("lines"), i, min_words), lambda z: F.struct(x["fp"].alias("fp"), low, z["high"].alias("high"), z["h"].alias("h")))
+
+    grown = F.flatten(F.transform("seeds", lambda x: F.flatten(F.transform(F.sequence(x["a"], x["b"]), lambda i: grow(x, i)))))
+    grown = written(lines.join(met, ["k1", "k2"]).select("k1", "k2", F.inline(grown)), "stretches")
     place = F.struct("k1", "k2", "low", "high")
-    firsts = met.groupBy("fp", "h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
+    firsts = grown.groupBy("fp", "h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
     firsts = written(firsts.select("fp", "h", "first"), "first-runs")
-    later = met.join(firsts, ["fp", "h"]).where(F.struct("k1", "k2", "low") > F.struct("first.k1", "first.k2", "first.low"))
+    later = grown.join(firsts, ["fp", "h"]).where(F.struct("k1", "k2", "low") > F.struct("first.k1", "first.k2", "first.low"))
     own = (F.col("k1") == F.col("first.k1")) & (F.col("k2") == F.col("first.k2"))
     later = later.withColumn("low", F.when(own, F.greatest("low", F.col("first.high") + 1)).otherwise(F.col("low"))).where("low <= high")
     return later.groupBy("k1", "k2").agg(F.collect_set(F.struct("low", "high")).alias("runs"))

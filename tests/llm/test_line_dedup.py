@@ -1,3 +1,4 @@
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -49,6 +50,34 @@ def test_all_documents_match_brute_force(spark):
     assert got == want
 
 
+def test_frequent_lines_in_many_contexts_match_brute_force(spark):
+    rng = random.Random(5)
+    pool = [" ".join(rng.choices("abcdefgh", k=rng.choice([1, 1, 2, 3, 9]))) for _ in range(12)] + ["", "  "]
+    passages = [[rng.choice(pool) for _ in range(rng.randint(3, 9))] for _ in range(6)]
+    rows = []
+    for key in range(120):
+        lines = []
+        while len(lines) < rng.choice([2, 10, 40]):
+            lines += rng.choice(passages) if rng.random() < 0.6 else [rng.choice(["  ", ""]) + rng.choice(pool)]
+        rows.append((key, "\n".join(lines)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for least in (4, 9, 16):
+        got = sorted((r.doc_id, r.text, r.n_dropped) for r in line_dedup.dedup_lines(docs, least).collect())
+        assert got == brute(rows, least)
+
+
+def test_positions_are_selected_once(spark):
+    text = "\n".join(f"{w} w" for w in "one two three four five six seven eight nine ten".split())
+    rows = spark.range(1).select(line_dedup._lines(F.lit(text)).alias("lines"))
+    rows = rows.select("lines", F.explode(F.array(line_dedup._minima(F.col("lines"), 6))).alias("minima"))
+    lines, minima, found = rows.select("lines", "minima", line_dedup._selected(F.col("minima"))).first()
+    hashes = [x.h for x in lines]
+    want = [min(range(i, i + 3), key=hashes.__getitem__) for i in range(8)]
+    assert [m["at"] for m in minima] == want
+    assert [z.at for z in found] == sorted(set(want)) and [z.fp for z in found] == [hashes[z.at] for z in found]
+    assert [i for z in found for i in range(z.a, z.b + 1)] == list(range(8)) and all(want[i] == z.at for z in found for i in range(z.a, z.b + 1))
+
+
 def test_runs_are_cut_from_end_to_end(spark):
     passage = "\n".join(f"{x} " * 20 for x in ("alpha", "beta", "gamma")) + "\nshort tail"
     rows = [(1, f"first\n{passage}\nend one", "r", 0), (2, f"second head\n{passage}\nend two", "r", 0), (3, "short tail\nonly this", "r", 0)]
