@@ -82,7 +82,7 @@ def repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
     overlaps its first copy, the first stays whole."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("k1"), F.xxhash64(text).alias("k2"), _lines(text).alias("lines"))
-    lines = written(keyed.where(F.aggregate("lines", F.lit(0), lambda a, x: a + x["w"]) >= min_words), "lines")
+    lines = written(keyed, "lines")
     # the explode of one element holds the minima, which would be sought again for each position
     seeds = lines.select("k1", "k2", F.explode(F.array(_minima(F.col("lines"), min_words))).alias("minima"))
     seeds = written(seeds.select("k1", "k2", F.inline(_selected(F.col("minima")))), "positions")
