@@ -3,6 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it
 kept, written as Parquet in the shared folder and read again.  The table
 ``labels`` of sf_dir is the holdout of the quality rules.
+
+All stages but the last keep the columns of docs, whatever their names.  An empty
+table gives an empty one.  Texts are read whole, however long.
 """
 
 from __future__ import annotations
@@ -15,22 +18,28 @@ from millrace.llm.queries import BYTE_BPE
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the certified cutoffs."""
+    """Documents that pass the base rules and the certified cutoffs.  Null, empty and
+    short texts fail the base rules and go; repeated rows are judged alike."""
     return quality.keep_good(docs, load(spark, sf_dir, "labels"))
 
 
 def line_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later copies of runs of lines; empty ones go."""
+    """Documents without later copies of runs of lines; those of which nothing is left
+    go.  Null and empty texts stay.  The order is (doc_id, hash of the text), null ids
+    first; rows that agree in both come out alike."""
     return line_dedup.without_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates, that with the smallest doc_id.
+    Repeated rows leave one; texts without a word are copies of each other; rows
+    without a doc_id stay."""
     return simhash.keep_one_each(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of the kept documents' pieces in sequences of 2048 tokens."""
+    """Places of the kept documents' pieces in sequences of 2048 tokens.  Null texts
+    are packed as empty ones, null ids and repeated rows like any other."""
     return packing.pack_documents(docs, BYTE_BPE)
 
 
