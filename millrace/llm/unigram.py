@@ -264,7 +264,9 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, ids of every row of docs (doc_id, text).
 
     Null and empty texts have no ids; repeated rows stay; other columns are left
-    out.  The marker character itself reads as a space.  The pieces travel with
+    out.  The marker character itself reads as a space.  Texts are encoded whole,
+    however long: word by word, a long text in a slice of its own; one without
+    spaces is a single word, which is held whole.  The pieces travel with
     the tasks (their number bounds the trie); nothing is shuffled.
     """
     unigram = Unigram(model)
@@ -287,7 +289,8 @@ def _lists(column: pa.ListArray) -> Iterator[np.ndarray]:
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
     """doc_id, ids, text of every row of encoded (doc_id, ids); null ids read as
-    none and give ''."""
+    none and give ''.  A row is decoded whole, however many ids it has; repeated
+    rows stay, other columns are left out."""
     unigram = Unigram(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
