@@ -146,38 +146,83 @@ def _phrase_tokens(queries: DataFrame) -> DataFrame:
     return phrases.select("query_id", "n_terms", "term", F.size("tokens").alias("n_tokens"), F.posexplode("tokens").alias("nth", "token"))
 
 
+def _bits(blocks: DataFrame) -> DataFrame:
+    """token, seg, chunk and which entries of the chunk hold the token: a bit each, the
+    first 64 in lo, the others in hi."""
+    ids = F.col("places.id")
+    mask = lambda half: F.aggregate(F.filter(ids, lambda i: (i < 64) == half), F.lit(0).cast("long"), lambda bits, i: bits.bitwiseOR(_bit(i)))
+    return blocks.select("token", "seg", "chunk", mask(F.lit(True)).alias("lo"), mask(F.lit(False)).alias("hi"))
+
+
+def _bit(i: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))  # of a long: modulo 64
+
+
+def _alive_bits(bits: DataFrame, dead: DataFrame) -> DataFrame:
+    """bits without entries that a later change holds."""
+    last = dead.groupBy("entry_id").agg(F.max("seg").alias("_dead")).select(_chunk("entry_id").alias("chunk"), "entry_id", "_dead")
+    offset = F.col("entry_id") - _entry(F.lit(0))
+    gone = bits.select("seg", "chunk").distinct().join(last, "chunk").where("_dead > seg").groupBy("seg", "chunk")
+    gone = gone.agg(*(F.bit_or(F.when((offset < 64) == half, _bit(offset)).otherwise(F.lit(0).cast("long"))).alias(name) for name, half in (("_lo", F.lit(True)), ("_hi", F.lit(False)))))
+    left = lambda c: F.col(c).bitwiseAND(F.bitwise_not(F.coalesce(f"_{c}", F.lit(0).cast("long")))).alias(c)
+    return bits.join(gone, ["seg", "chunk"], "left").select("token", "seg", "chunk", left("lo"), left("hi")).where("lo <> 0 OR hi <> 0")
+
+
+def _holding(sets: DataFrame, rarest: DataFrame, others: DataFrame) -> DataFrame:
+    """set, seg, chunk, entry_id of the entries that hold all tokens of a set (set,
+    token, others: of its other tokens), from bits of rarest and of other tokens."""
+    own = rarest.join(sets, "token").select("set", "others", "seg", "chunk", "lo", "hi")
+    alone = own.where("size(others) = 0").select("set", "seg", "chunk", "lo", "hi")
+    both = own.where("size(others) > 0").select("set", F.size("others").alias("n"), "seg", "chunk", "lo", "hi", F.explode("others").alias("token"))
+    both = both.join(others.select("token", "seg", "chunk", F.col("lo").alias("_lo"), F.col("hi").alias("_hi")), ["token", "seg", "chunk"])
+    both = both.select("set", "n", "seg", "chunk", *(F.col(c).bitwiseAND(F.col(f"_{c}")).alias(c) for c in ("lo", "hi"))).where("lo <> 0 OR hi <> 0")
+    more = both.where("n > 1").groupBy("set", "n", "seg", "chunk").agg(F.count("*").alias("_n"), F.bit_and("lo").alias("lo"), F.bit_and("hi").alias("hi")).where("n = _n")
+    every = alone.unionByName(both.where("n = 1").select(alone.columns)).unionByName(more.select(alone.columns))
+    offsets = F.filter(F.sequence(F.lit(0), F.lit((1 << CHUNK_BITS) - 1)), lambda i: F.when(i < 64, F.col("lo")).otherwise(F.col("hi")).bitwiseAND(_bit(i)) != 0)
+    return every.select("set", "seg", "chunk", F.explode(offsets).alias("offset")).select("set", "seg", "chunk", _entry(F.col("offset")).alias("entry_id"))
+
+
 def search_segments(queries: DataFrame, store: Store, version: int | None = None) -> DataFrame:
     """query_id, entry_id of all matches of many queries (query_id, q; one row an id)
     in the index as it is, or was at a version.
 
-    The rarest token of a query gives its candidates; the query's other tokens are
-    read only in buckets and chunks that a candidate falls into.  What is
-    joined so grows with the postings of rarest tokens, not with those of "the".
+    Queries with the same tokens are answered together.  The rarest token of a set
+    gives its candidates, as bits of a chunk; the other tokens are read only in
+    buckets and chunks that a candidate falls into, and take bits away.  Positions are
+    read for phrases alone, where all tokens are.
     """
     asked = written(_phrase_tokens(queries), "asked")
     buckets = sorted(r[0] for r in asked.select(store.bucket("blocks")).distinct().collect())  # at most BUCKETS
     blocks = store.read("blocks", version, buckets)
     counts = blocks.join(asked.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.sum("n").alias("postings"))
-    rated = asked.join(counts, "token", "left").groupBy("query_id").agg(
-        F.min(F.struct(F.coalesce("postings", F.lit(0)).alias("postings"), "token")).alias("least"), ((F.countDistinct("token") == 1) & (F.max("n_tokens") == 1)).alias("one_word")
-    )
-    # a token that no entry has ends its query here
-    rarest = written(rated.where("least.postings > 0").select("query_id", "one_word", "least.token"), "rarest")
-    found = blocks.join(rarest, "token").select("query_id", "one_word", "seg", "chunk", F.explode("places.id").alias("offset"))
-    found = found.select("query_id", "one_word", "seg", "chunk", _entry(F.col("offset")).alias("entry_id")).distinct()
-    candidates = written(_alive(found, store.read("dead", version)), "candidates")
-    alone = candidates.where("one_word")
-    others = candidates.where("NOT one_word").drop("one_word")
-    chunks = [r[0] for r in others.select("chunk").distinct().limit(LISTED_CHUNKS + 1).collect()]
+    each = asked.groupBy("query_id").agg(F.array_sort(F.collect_set("token")).alias("tokens"), (F.max("n_tokens") > 1).alias("phrased"))
+    each = written(each, "queries")
+    rated = each.select("tokens").distinct().select("tokens", F.explode("tokens").alias("token")).join(counts, "token", "left")
+    least = rated.groupBy("tokens").agg(F.min(F.struct(F.coalesce("postings", F.lit(0)).alias("postings"), "token")).alias("least"))
+    # a token that no entry has ends its set here
+    sets = least.where("least.postings > 0").select("tokens", F.col("least.token").alias("token"), F.array_remove("tokens", F.col("least.token")).alias("others"))
+    sets = written(sets.withColumn("set", F.monotonically_increasing_id()), "sets")
+    rarest = written(_alive_bits(_bits(blocks.join(sets.select("token").distinct(), "token", "left_semi")), store.read("dead", version)), "rarest")
+    with_others = rarest.join(sets.where("size(others) > 0").select("token").distinct(), "token", "left_semi")
+    chunks = [r[0] for r in with_others.select("chunk").distinct().limit(LISTED_CHUNKS + 1).collect()]
     near = blocks.where(F.col("chunk").isin(chunks)) if len(chunks) <= LISTED_CHUNKS else blocks
-    wanted = asked.join(others, "query_id")
-    met = wanted.join(near, ["token", "seg", "chunk"])
+    others = _bits(near.join(sets.select(F.explode("others").alias("token")).distinct(), "token", "left_semi"))
+    asking = written(each.join(sets.select("tokens", "set"), "tokens").select("query_id", "set", "phrased"), "asking")
+    of = lambda some: asking.where(some).join(_holding(sets.join(asking.where(some).select("set").distinct(), "set", "left_semi"), rarest, others), "set")
+    plain = of("NOT phrased").select("query_id", "entry_id")
+    if asking.where("phrased").isEmpty():
+        return plain
+    return plain.unionByName(_with_phrases(asked.where("n_tokens > 1"), written(of("phrased"), "candidates"), near))
+
+
+def _with_phrases(asked: DataFrame, candidates: DataFrame, blocks: DataFrame) -> DataFrame:
+    """query_id, entry_id of the candidates (query_id, seg, chunk, entry_id) that hold
+    all phrases of their query."""
+    met = asked.join(candidates, "query_id").join(blocks, ["token", "seg", "chunk"])
     offset = (F.col("entry_id") - _entry(F.lit(0))).cast("int")
-    met = met.select("query_id", "n_terms", "term", "n_tokens", "nth", "entry_id", F.filter("places", lambda p: p["id"] == offset).alias("p")).where(F.size("p") > 0)
-    words = met.where("n_tokens = 1").select("query_id", "n_terms", "term", "entry_id")
-    places = met.where("n_tokens > 1").select("query_id", "n_terms", "term", "n_tokens", "nth", "entry_id", F.explode("p").alias("p"))
-    places = places.select("query_id", "n_terms", "term", "n_tokens", "nth", "entry_id", "p.col", F.explode("p.pos").alias("pos"))
-    starts = places.groupBy("query_id", "n_terms", "term", "n_tokens", "entry_id", "col", (F.col("pos") - F.col("nth")).alias("start"))
-    phrases = starts.agg(F.count("*").alias("n")).where("n = n_tokens").select(words.columns)
-    hits = words.unionByName(phrases).groupBy("query_id", "n_terms", "entry_id").agg(F.countDistinct("term").alias("n")).where("n = n_terms")
-    return alone.select("query_id", "entry_id").unionByName(hits.select("query_id", "entry_id"))
+    places = met.select("query_id", "term", "n_tokens", "nth", "entry_id", F.explode(F.filter("places", lambda p: p["id"] == offset)).alias("p"))
+    places = places.select("query_id", "term", "n_tokens", "nth", "entry_id", "p.col", F.explode("p.pos").alias("pos"))
+    starts = places.groupBy("query_id", "term", "n_tokens", "entry_id", "col", (F.col("pos") - F.col("nth")).alias("start"))
+    phrases = starts.agg(F.count("*").alias("n")).where("n = n_tokens").select("query_id", "term", "entry_id").distinct()
+    wanted = asked.groupBy("query_id").agg(F.countDistinct("term").alias("wanted"))
+    return phrases.groupBy("query_id", "entry_id").agg(F.count("*").alias("n")).join(wanted, "query_id").where("n = wanted").select("query_id", "entry_id")
