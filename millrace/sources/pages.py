@@ -7,11 +7,13 @@ import re
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions.sliced import sliced_udf
+
+_LINK = T.StructType([T.StructField("url", T.StringType()), T.StructField("title", T.StringType())])
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset({"script", "style"})
 #: Elements that end an open one of the same kind.
@@ -168,10 +170,7 @@ def parse_page_list(raw_docs: DataFrame, selector: str) -> DataFrame:
     """Items (with doc_id) of list pages; ValueError at once for a bad selector."""
     parse_selector(selector)
 
-    @F.pandas_udf("array<struct<url: string, title: string>>")
-    def links(bodies: pd.Series, bases: pd.Series) -> pd.Series:
-        return pd.Series([list_links(b, selector, u) for b, u in zip(bodies, bases)], dtype=object)
-
+    links = sliced_udf(lambda body, base: list_links(body, selector, base), T.ArrayType(_LINK))
     return _as_items(raw_docs.select("source_id", "doc_id", "fetched_at", F.posexplode(links("body", "base_url")).alias("pos", "i")))
 
 
@@ -183,9 +182,7 @@ def _as_items(each: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-@F.pandas_udf(T.StringType())
-def _titles(bodies: pd.Series) -> pd.Series:
-    return bodies.map(page_title)
+_titles = sliced_udf(page_title, T.StringType())
 
 
 def page_titles(raw_docs: DataFrame) -> DataFrame:
@@ -202,12 +199,7 @@ def _links_of(body: str | None, base: str | None, config: str | None) -> dict:
         return {"error": f"webpage: {e}", "links": []}
 
 
-_LINK = T.StructType([T.StructField("url", T.StringType()), T.StructField("title", T.StringType())])
-
-
-@F.pandas_udf(T.StructType([T.StructField("error", T.StringType()), T.StructField("links", T.ArrayType(_LINK))]))
-def _read_links(bodies: pd.Series, bases: pd.Series, configs: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_links_of(*x) for x in zip(bodies, bases, configs)], columns=["error", "links"])
+_read_links = sliced_udf(_links_of, T.StructType([T.StructField("error", T.StringType()), T.StructField("links", T.ArrayType(_LINK))]))
 
 
 def before_cursor(links: Column, cursor: Column) -> Column:
