@@ -68,14 +68,19 @@ def keyed_state(events: DataFrame, before: DataFrame | None = None, late: timede
     over all events at once, in the order (ts, seq), repeated and late ones included:
     a flag holds its events of the last ``late`` before its newest one, and what they
     started from.  Events later than that are left out, so the state of an entry is
-    bounded by the events of that time.  ``before`` is the state to start from, read
-    once.  Events without time or value or with an unknown flag are left out; those
+    bounded by the events of that time.  ``before`` is the state to start from (a row an
+    entry): it meets the events of a batch, and an entry's row is taken with its first
+    event, so entries without events cost no Python and no state.  Events without time or value or with an unknown flag are left out; those
     on unknown entries should be filtered first (``valid_events``).  Needs the RocksDB
     state store (spark.sql.streaming.stateStore.providerClass).
     """
     valid = events.where(F.col("flag").isin(*FLAGS) & F.col("value").isNotNull() & F.col("ts").isNotNull() & F.col("entry_id").isNotNull())
-    first = before.groupBy("entry_id") if before is not None else None
-    return valid.groupBy("entry_id").transformWithStateInPandas(FlagState(late), STATE, "Update", "None", initialState=first)
+    if before is not None:
+        own = before.select("entry_id", *(F.col(f).alias(f"old_{f}") for f in FLAGS), F.unix_micros("updated_at").alias("old_at"))
+        valid = valid.join(own, "entry_id", "left")
+    else:
+        valid = valid.withColumns({**{f"old_{f}": F.lit(None).cast("boolean") for f in FLAGS}, "old_at": F.lit(None).cast("long")})
+    return valid.groupBy("entry_id").transformWithStateInPandas(FlagState(late), STATE, "Update", "None")
 
 
 class Flag(NamedTuple):
@@ -106,43 +111,34 @@ class Flag(NamedTuple):
 
 
 class FlagState(StatefulProcessor):
-    """The flags of an entry as map state, and the time of the row it started from."""
+    """The flags of an entry and the time of the row it started from, as one value."""
 
     def __init__(self, late: timedelta) -> None:
         self.late = late // timedelta(microseconds=1)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.flags = handle.getMapState("flags", "flag string", "value boolean, since long, cut long, ts array<long>, seq array<long>, set array<boolean>")
-        self.first = handle.getValueState("first", "updated_at long")
-
-    def handleInitialState(self, key, rows: pd.DataFrame, timers) -> None:
-        row = rows.iloc[-1]
-        self.first.update((_micros(row["updated_at"]),))
-        for name in FLAGS:
-            self._put(name, Flag(bool(row[name])))
-
-    def _get(self, name: str) -> Flag:
-        if not self.flags.containsKey((name,)):
-            return Flag()
-        value, since, cut, *events = self.flags.getValue((name,))
-        return Flag(value, since, cut, tuple(zip(*events)))
-
-    def _put(self, name: str, flag: Flag) -> None:
-        self.flags.updateValue((name,), (flag.value, flag.since, flag.cut, *([e[k] for e in flag.events] for k in range(3))))
+        flag = "struct<value: boolean, since: bigint, cut: bigint, ts: array<bigint>, seq: array<bigint>, set: array<boolean>>"
+        self.state = handle.getValueState("flags", f"first bigint, {', '.join(f'{name} {flag}' for name in FLAGS)}")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         new: dict[str, set] = {}
+        held, first, before = self.state.get(), None, None
+        if held is not None:
+            first = held[0]
+            before = {name: Flag(value, since, cut, tuple(zip(*events))) for name, (value, since, cut, *events) in zip(FLAGS, held[1:])}
         for part in rows:
+            if before is None:
+                row = part.iloc[0]
+                first = None if pd.isna(row["old_at"]) else int(row["old_at"])
+                before = {name: Flag(False if pd.isna(row[f"old_{name}"]) else bool(row[f"old_{name}"])) for name in FLAGS}
             for ts, seq, name, value in zip(part["ts"], part["seq"], part["flag"], part["value"]):
                 new.setdefault(name, set()).add((_micros(ts), int(seq), bool(value)))
-        before = {name: self._get(name) for name in FLAGS}
         after = {name: flag.with_events(new[name], self.late) if name in new else flag for name, flag in before.items()}
-        for name in new:
-            self._put(name, after[name])
+        self.state.update((first, *((f.value, f.since, f.cut, *([e[k] for e in f.events] for k in range(3))) for f in after.values())))
         was, now = ([flag.now() for flag in flags.values()] for flags in (before, after))
         if was == now:
             return
-        at = max((since for _, since in now if since is not None), default=self.first.get()[0] if self.first.exists() else None)
+        at = max((since for _, since in now if since is not None), default=first)
         yield pd.DataFrame({"entry_id": [key[0]], **{name: [value] for name, (value, _) in zip(FLAGS, now)}, "updated_at": pd.to_datetime([at], unit="us")})
 
     def close(self) -> None:
