@@ -12,6 +12,12 @@ from pyspark.sql import types as T
 
 #: Unicode white space, as a class of Java's regular expressions.
 WHITE = r"[\x{9}-\x{d}\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_OTHER_WHITE = WHITE.replace(r"\x{20}", "")
+#: Runs of white space that are more than one space; other printable ASCII is passed
+#: over by one look, as most of a text is that.
+_RUNS = rf"(?![!-~])(?:{_OTHER_WHITE}{WHITE}*| {WHITE}+)"
+#: A character that :func:`xml_escape` changes.
+_UNSAFE_XML = r"[^ !#-%(-;=?-\x{d7ff}\x{e000}-\x{fffd}\x{10000}-\x{10ffff}]"
 
 
 def text(c: Column | str) -> Column:
@@ -26,12 +32,13 @@ def trim_white(c: Column | str) -> Column:
 
 def collapse_white(c: Column | str) -> Column:
     """Runs of white space as one space, none at the ends."""
-    return F.btrim(F.regexp_replace(text(c), f"{WHITE}+", " "), F.lit(" "))
+    return F.btrim(F.regexp_replace(text(c), _RUNS, " "), F.lit(" "))
 
 
 def normalize_text(c: Column | str) -> Column:
     """White space collapsed, lower case code point by code point (no final sigma)."""
-    return F.lower(F.translate(collapse_white(c), "Σİ", "σi"))
+    plain = F.replace(F.replace(collapse_white(c), F.lit("Σ"), F.lit("σ")), F.lit("İ"), F.lit("i"))
+    return F.lower(plain)
 
 
 def content_hash(title: Column | str, content: Column | str) -> Column:
@@ -212,10 +219,12 @@ def self_close_void(c: Column | str) -> Column:
 
 
 def xml_escape(c: Column | str) -> Column:
+    """Text for XML.  The column stands here twice: give one that is there, no costly
+    expression."""
     out = F.regexp_replace(text(c), r"[^\x{9}\x{a}\x{d}\x{20}-\x{d7ff}\x{e000}-\x{fffd}\x{10000}-\x{10ffff}]", "�")
     for raw, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&#34;"), ("'", "&#39;"), ("\t", "&#x9;"), ("\n", "&#xA;"), ("\r", "&#xD;")):
         out = F.replace(out, F.lit(raw), F.lit(entity))
-    return out
+    return F.when(text(c).rlike(_UNSAFE_XML), out).otherwise(text(c))
 
 
 def body_to_xhtml(body: Column | str, content_type: Column | str) -> Column:

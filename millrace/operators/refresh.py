@@ -81,7 +81,8 @@ def refresh(raw_docs: DataFrame, store: Store, sources: DataFrame, now, stream:
         return None
     stamp = F.lit(now).cast("timestamp")
     cursors = store.read("cursors").select("source_id", "cursor")
-    docs = changed_docs(with_sources(distinct_docs(raw_docs), sources), store.read("seen")).join(cursors, "source_id", "left")
+    docs = changed_docs(distinct_docs(raw_docs), store.read("seen")).withColumn("body", F.when(~F.col("unchanged"), F.col("body")))
+    docs = with_sources(docs, sources).join(cursors, "source_id", "left")
     docs = written(docs, "landed")
     heads, items = [docs.where("unchanged").select(*DOC, "base_url", "etag", "last_modified", F.lit("").alias("error"), F.lit(True).alias("unchanged"), F.lit(None).cast("string").alias("next"))], []
     for name, kind in registered().items():

@@ -2,8 +2,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from millrace.functions import text, times
+from millrace.functions import html, sliced, text, times
 from millrace.functions.html import sanitize
 
 
@@ -168,3 +169,34 @@ def test_sanitize_links_and_texts():
     assert sanitize('<a href="http://host.test/p?k=1&amp;m=2" title="more">go</a>') == '<a href="http://host.test/p?k=1&amp;m=2" title="more" rel="nofollow">go</a>'
     assert sanitize('<img src="cat/1.jpg" alt="a cat">') == '<img src="cat/1.jpg" alt="a cat">'
     assert sanitize("") == sanitize(None) == "" and sanitize("1 < 2 & 3") == "1 &lt; 2 &amp; 3"
+
+
+def test_only_marked_fragments_leave_the_jvm_and_equal_ones_once(spark, monkeypatch):
+    def seen(fragment):
+        return fragment and "seen " + fragment
+
+    monkeypatch.setattr(html, "sanitize_udf", sliced.sliced_udf(seen, T.StringType()))
+    rows = [("text/html", "plain", "plain"), ("text/html", "<b>", "<b>"), ("text/html", "plain", "a & b"), ("text/plain", "<i>", "<i>"), ("text/html", None, "&"), ("text/html", "&", None)]
+    got = html.sanitize_items(spark.createDataFrame(rows, "content_type string, content string, summary string"))
+    assert sorted((r.content, r.summary) for r in got.collect()) == sorted([("plain", "plain"), ("seen <b>", "seen <b>"), ("plain", "seen a & b"), ("<i>", "<i>"), ("", "seen &"), ("seen &", "")])
+
+    def marked_only(fragment):
+        if fragment and not set(fragment) & set("<>&\"'"):
+            raise ValueError(f"{fragment!r} has no markup")
+        return fragment
+
+    monkeypatch.setattr(html, "sanitize_udf", sliced.sliced_udf(marked_only, T.StringType()))
+    assert html.sanitize_items(spark.createDataFrame(rows, "content_type string, content string, summary string")).agg(F.count("content")).first()[0] == len(rows)
+
+
+def test_white_space_and_xml_of_every_character(spark):
+    white = set("\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") | {chr(x) for x in range(0x2000, 0x200B)}
+    every = [chr(x) for x in (*range(0xD800), *range(0xE000, 0x11000))]
+    values = [f"{c}a{c}{c}b {c}c{c} d" for c in every]
+    wanted = [" ".join("".join(" " if x in white else x for x in v).split(" ")).strip(" ") for v in values]
+    while any("  " in w for w in wanted):
+        wanted = [w.replace("  ", " ") for w in wanted]
+    assert column(spark, values, text.collapse_white) == wanted
+    entities = {"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&#34;", "'": "&#39;", "\t": "&#x9;", "\n": "&#xA;", "\r": "&#xD;"}
+    escaped = ["\ufffd" if c < " " and c not in entities or c in "\ufffe\uffff" else entities.get(c, c) for c in every]
+    assert column(spark, every, text.xml_escape) == escaped
