@@ -22,8 +22,12 @@ VIDEO_URL, HISTORY_LIMIT = "https://www.bilibili.com/video/", 100
 
 def unpack_envelope(df: DataFrame) -> DataFrame:
     """df (with ``body``) and data, error: the payload if ok, else ''; the error as
-    message (code), or that the body is no envelope."""
-    e = F.from_json("body", _ENVELOPE)
+    message (code), or that the body is no envelope.
+
+    The explode of one element keeps later filters and projections from reading the
+    bodies again for each of their columns."""
+    df = df.select("*", F.explode(F.array(F.from_json("body", _ENVELOPE))).alias("_e"))
+    e = F.col("_e")
     broken = e.isNull() | e["ok"].isNull()
     said = F.concat(text(e["error"]["message"]), F.lit("（"), text(e["error"]["code"]), F.lit("）"))
     return df.withColumns(
@@ -31,7 +35,7 @@ def unpack_envelope(df: DataFrame) -> DataFrame:
             "data": F.when(~broken & e["ok"], text(e["data"])).otherwise(F.lit("")),
             "error": F.when(broken, F.lit("invalid envelope")).when(e["ok"], F.lit("")).otherwise(said),
         }
-    )
+    ).drop("_e")
 
 
 def _item(df: DataFrame, guid: Column, author: Column, published: Column, extra: Column, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -83,8 +87,9 @@ def https_cover(c: Column | str) -> Column:
 
 def parse_video_detail(df: DataFrame) -> DataFrame:
     """df and bvid, title, description, owner, cover, view, danmaku, like, coin,
-    favorite, share, subtitle of the video in ``data``."""
-    d = df.withColumn("_d", F.from_json("data", _DETAIL))
+    favorite, share, subtitle of the video in ``data``, which is read once (see
+    :func:`unpack_envelope`)."""
+    d = df.select("*", F.explode(F.array(F.from_json("data", _DETAIL))).alias("_d"))
     counts = {n: F.coalesce(f"_d.video.stats.{n}", F.lit(0)) for n in ("view", "danmaku", "like", "coin", "favorite", "share")}
     out = {
         "bvid": trim_white("_d.video.bvid"), "title": trim_white("_d.video.title"), "description": trim_white("_d.video.description"),
@@ -97,30 +102,42 @@ def enrich_new(accepted: DataFrame, details: DataFrame) -> DataFrame:
     """Items with what is known of their guid (details: bvid, description, view,
     like, cover): the description becomes the summary unless empty, counts and
     cover go into extra."""
+    joined = _with_details(accepted, details)
+    return joined.withColumns(_filled(F.coalesce("extra", F.create_map().cast("map<string,string>")))).select(accepted.columns)
+
+
+def _with_details(items: DataFrame, details: DataFrame) -> DataFrame:
+    """items and ``_d``, what is known of their guid, else null."""
     d = details.select(F.col("bvid").alias("guid"), F.struct("description", "view", "like", "cover").alias("_d"))
-    d = d.groupBy("guid").agg(F.max("_d").alias("_d"))
-    joined = accepted.join(d, "guid", "left")
+    return items.join(d.groupBy("guid").agg(F.max("_d").alias("_d")), "guid", "left")
+
+
+def _filled(unknown: Column) -> dict[str, Column]:
+    """summary and extra after ``_d``; ``unknown`` is extra where that is null."""
     new = _entries(("bili_view", F.col("_d.view"), F.lit(True)), ("bili_like", F.col("_d.like"), F.lit(True)), ("cover", F.col("_d.cover"), text("_d.cover") != ""))
     known = F.col("_d").isNotNull()
     old = F.coalesce("extra", F.create_map().cast("map<string,string>"))
     merged = F.map_concat(F.map_filter(old, lambda k, v: ~F.map_contains_key(new, k)), new)
-    return joined.withColumns({"summary": F.when(known & (text("_d.description") != ""), F.col("_d.description")).otherwise(F.col("summary")), "extra": F.when(known, merged).otherwise(old)}).select(accepted.columns)
+    return {"summary": F.when(known & (text("_d.description") != ""), F.col("_d.description")).otherwise(F.col("summary")), "extra": F.when(known, merged).otherwise(unknown)}
+
+
+def _without_summary(source_id: int | None) -> Column:
+    """Whether an entry is undeleted and has a guid and no summary, in the source."""
+    found = (~F.col("deleted")) & (text("guid") != "") & (text("summary") == "")
+    return F.coalesce(found if not source_id else found & (F.col("source_id") == source_id), F.lit(False))
 
 
 def backfill_candidates(entries: DataFrame, source_id: int | None = None) -> DataFrame:
     """Undeleted entries with a guid and no summary, newest first."""
-    found = entries.where((~F.col("deleted")) & (text("guid") != "") & (text("summary") == ""))
-    return (found if not source_id else found.where(F.col("source_id") == source_id)).orderBy(F.col("id").desc())
+    return entries.where(_without_summary(source_id)).orderBy(F.col("id").desc())
 
 
 def backfill(entries: DataFrame, details: DataFrame, source_id: int | None, now) -> tuple[DataFrame, DataFrame]:
     """(entries, counts): candidates whose details have a description get it as
-    summary, with extra and updated_at; counts are backfilled and total."""
-    asked = backfill_candidates(entries, source_id)
-    useful = details.where(text("description") != "")
-    ids = asked.join(useful.select(F.col("bvid").alias("guid")), "guid", "left_semi").select("id", F.lit(True).alias("_new"))
-    marked = entries.join(ids, "id", "left")
-    new = enrich_new(marked.where("_new").drop("_new"), useful).withColumn("updated_at", F.lit(now).cast("timestamp"))
-    whole = marked.where("_new IS NULL").drop("_new").select(entries.columns).unionByName(new.select(entries.columns))
-    counts = asked.join(ids, "id", "left").agg(F.count("_new").alias("backfilled"), F.count("*").alias("total"))
-    return whole, counts
+    summary, with extra and updated_at; counts are backfilled and total.  Details are
+    joined once, with the candidates only."""
+    asked = _with_details(entries.where(_without_summary(source_id)), details.where(text("description") != ""))
+    stamped = F.when(F.col("_d").isNotNull(), F.lit(now).cast("timestamp")).otherwise(F.col("updated_at"))
+    new = asked.withColumns(_filled(F.col("extra")) | {"updated_at": stamped}).select(entries.columns)
+    counts = asked.agg(F.count("_d").alias("backfilled"), F.count("*").alias("total"))
+    return entries.where(~_without_summary(source_id)).unionByName(new), counts

@@ -138,3 +138,17 @@ def test_kinds_of_sources(spark):
         assert registry.with_sources(docs, sources).where("source_id = 7").count() == 1
     finally:
         registry._kinds.pop("paper")
+
+
+def test_details_are_read_once_and_entries_filled_in_place(spark):
+    body = lambda bvid, said: json.dumps({"ok": True, "data": json.dumps({"video": {"bvid": bvid, "description": said, "stats": {"view": 3}}})})
+    details = personal.parse_video_detail(personal.unpack_envelope(raw(spark, [body("a", "said"), body("b", ""), body("d", "said")])).where("error = ''"))
+    plan = details.where("description <> ''").select("bvid", "description", "view")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 2
+    rows = [(1, 1, "a", "", None, False), (2, 1, "b", None, None, False), (3, 1, "d", "", {"k": "v"}, True), (4, 2, "d", "", {"k": "v"}, False), (5, 1, "a", "own", None, None), (6, 1, None, "", None, False)]
+    entries = spark.createDataFrame(rows, "id long, source_id long, guid string, summary string, extra map<string,string>, deleted boolean").withColumn("updated_at", F.lit("2024-01-01").cast("timestamp"))
+    whole, counts = personal.backfill(entries, details, None, "2024-02-01")
+    extra = {"bili_view": "3", "bili_like": "0"}
+    assert sorted((r.id, r.summary, r.extra, r.updated_at.month) for r in whole.collect()) == [(1, "said", extra, 2), (2, None, None, 1), (3, "", {"k": "v"}, 1), (4, "said", {"k": "v"} | extra, 2), (5, "own", None, 1), (6, "", None, 1)]
+    assert tuple(counts.first()) == (2, 3)
+    assert tuple(personal.backfill(entries, details, 2, "2024-02-01")[1].first()) == (1, 1)
