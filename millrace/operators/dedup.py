@@ -118,7 +118,7 @@ def dedup_first_wins(cands: DataFrame, order_cols: list[str], layers: tuple[str,
 
 def _first_of_each(own: DataFrame, order_cols: list[str]) -> DataFrame:
     """The order columns, accepted, reason and winner of rows with one key at most."""
-    at, key = F.struct(*order_cols), F.col("ks")[0]
+    at, key = F.struct(*order_cols), F.get("ks", F.lit(0))  # null without a key
     owners = own.where(F.size("ks") > 0).groupBy(key["key"].alias("key")).agg(F.min(at).alias("first"))
     joined = own.join(owners, key["key"] == F.col("key"), "left")
     lost, none = F.col("first") < at, F.col("first").isNull()

@@ -79,6 +79,12 @@ def test_one_layer_takes_no_rounds(spark, monkeypatch):
     assert judged(spark, rows, layers=("hash",)) == one_by_one(rows) and tables == ["candidates"]
 
 
+def test_one_layer_with_rows_that_have_no_key(spark):
+    rows = [(1, i, "g", f"u{i}", f"h{i % 5}" if i % 4 else "") for i in range(40)] + [(2, 0, "", "", "h1")]
+    want = one_by_one([(s, i, "", "", h) for s, i, _, _, h in rows])
+    assert judged(spark, rows, layers=("hash",)) == want and sum(r == "no_identity" for _, r, _ in want.values()) == 10
+
+
 def test_scopes_and_hot_keys(spark):
     rows = [(1, 0, "g", "u1", "h1"), (2, 0, "g", "u2", "h2")] + [(3, i, "", "", "same") for i in range(3000)]
     got = judged(spark, rows)
